@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import flat_map_rows, fold, map_rows
 
 SAMPLE, VOCABULARY, HELD_OUT, THRESHOLD = 16_000, 2048, (3, 1), 0.7
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 PARTS = re.compile(r"[^.!?\n]*[.!?\n]*")
 #: Bytes: letters in lower case, the ends of sentences as line feeds, all else as spaces.
 MAP = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".!?\n" else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,7 +105,7 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
 
-def fit_noisy_or(data, size: int, steps: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_noisy_or(data, size: int, steps: int = 300, rate: float = 0.1, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the documents' likelihood under noisy-or (Adam on the whole sample)."""
     entry, feature, doc, times, empty, y = data
     n_docs, n_sent = len(y), len(doc)
@@ -119,7 +119,7 @@ def fit_noisy_or(data, size: int, steps: int = 300, rate: float = 0.1, ridge: fl
         slope = np.where(y == 1, -(1.0 - p) / p, 1.0) / max(1, n_docs)  # of the loss by a document's evidence
         d = times * slope[doc] / (1.0 + np.exp(-z))
         g = np.append(np.bincount(feature, d[entry], size), d.sum() + (slope * empty).sum() / (1.0 + math.exp(-w[-1])))
-        g[:-1] += ridge * w[:-1]
+        g[:-1] += ridge / max(1, n_docs) * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w[-1] = min(w[-1], -3.0)
