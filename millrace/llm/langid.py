@@ -2,7 +2,7 @@
 
 Texts, A-Z lower-cased, are cut into windows of ``WINDOW`` bytes. Filters of widths 2, 3
 and 4 over bytes, the maximum of each over a window, and softmax give a window's
-languages; a text's are those of all its windows, weighted by their bytes. Training is
+languages; a text's are the mean of its windows', weighted by their bytes. Training is
 plain numpy (Adam) on at most ``QUOTA`` documents of a language and ``CROPS`` windows of
 each; prediction covers every window of every text. For speed the filters are applied as
 sums of tables over byte pairs, which is the same network.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import SLICE, flat_map_rows, fold
 from millrace.session import ship
 
-WINDOW, WIDTHS, FILTERS, HELD_OUT = 256, (2, 3, 4), 8, (5, 0)
+WINDOW, WIDTHS, FILTERS, HELD_OUT = 128, (2, 3, 4), 8, (5, 0)
 QUOTA, CROPS, LANGUAGES, SEED = 1200, 4, 512, 5
 STEPS, BATCH, RATE = 500, 128, 0.01
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,6 +95,11 @@ class Network:
         pair = lambda w, o: (w[o][:, None, :] + w[o + 1][None, :, :]).reshape(65536, FILTERS)
         return np.hstack([pair(p["w2"], 0), pair(p["w3"], 0), pair(p["w4"], 0), pair(p["w4"], 2)]).astype(np.float32), p["w3"][2].astype(np.float32)
 
+    def probabilities(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        z = self.logits(x, tables).astype(np.float64)
+        q = np.exp(z - z.max(axis=1, keepdims=True))
+        return q / q.sum(axis=1, keepdims=True)
+
     def logits(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray], rows: int = 64) -> np.ndarray:
         two, last = tables
         out = np.empty((len(x), len(self.classes)), np.float32)
@@ -169,11 +174,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                         part = raw[at * WINDOW : (at + 4096) * WINDOW]
                         weight = np.full(-(-len(part) // WINDOW), float(WINDOW))
                         weight[-1] = len(part) - (len(weight) - 1) * WINDOW
-                        z += weight @ net.logits(windows(part), tables)
-                    z /= len(raw)
-                    q = np.exp(z - z.max())
-                    k = int(q.argmax())
-                    lang[i], score[i] = net.classes[k], float(q[k] / q.sum())
+                        z += weight @ net.probabilities(windows(part), tables)
+                    k = int(z.argmax())
+                    lang[i], score[i] = net.classes[k], min(1.0, float(z[k] / len(raw)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
     m, out = HELD_OUT
