@@ -209,13 +209,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     _, mixed, _ = mix(docs)
     runs = mixed.groupBy("doc_id", "tie", "a", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("runs"))
-    tie = F.xxhash64("doc_id", "source", "text")
     columns = docs.columns
-    own = docs.withColumn("tie", tie)
-    one = own.groupBy("doc_id", "tie").agg(*[F.first(c).alias(c) for c in columns if c != "doc_id"])
+    own = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    one = own.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "runs")
-    joined = one.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select(*columns, "runs")
-    kind = joined.select(*columns).schema
+    joined = one.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select(*[F.col("row")[c].alias(c) for c in columns], "runs")
+    kind = docs.schema
     names, at = list(columns), columns.index("text")
     n_at = names.index("n_chars") if "n_chars" in names else None
 

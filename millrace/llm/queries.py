@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import covertree, langid, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
+from millrace.llm import covertree, htmlmain, langid, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
 from millrace.sources.tables import table
 
 
@@ -46,6 +46,10 @@ def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 

@@ -79,10 +79,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest doc_id (of repeated ids one row, null ids are kept)."""
+    """``docs`` with one row of each group: that with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays, the first by a hash of the row; rows with
+    a null doc_id cannot be told apart by it and all stay. All columns stay.
+    """
     survivors = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    columns = docs.columns
-    chosen = docs.join(survivors, "doc_id").withColumn("_tie", F.xxhash64(*[c for c in columns if c != "doc_id"]))
-    once = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in columns]), "_tie").alias("row"))
-    return once.select("row.*").select(*columns).unionByName(nulls)
+    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = row.join(survivors, "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    every = once.select("row").unionByName(row.where("doc_id is null").select("row"))
+    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
