@@ -44,7 +44,7 @@ def without_userinfo(url: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Lower case, runs of other characters as one hyphen, trimmed, at most 64 (FUN10)."""
-    return F.left(F.trim(F.lit("-"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")), F.lit(64))
+    return F.left(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(64))
 
 
 def title_tokens(c: Column) -> Column:

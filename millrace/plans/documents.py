@@ -1 +1,242 @@
-"""Queries."""
+"""Text and path queries over documents, pages, benchmark and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import aggregates, classify, joins, linescan
+from millrace.plans.registry import query
+from millrace.sources.tables import table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents),
+m AS (SELECT *, CASE WHEN trim(line, ' ') <> '' THEN (4 * (length(regexp_extract(line, '^[ \t]*')) - length(replace(regexp_extract(line, '^[ \t]*'), chr(9), ''))) + length(replace(regexp_extract(line, '^[ \t]*'), chr(9), ''))) // 4 END AS ind FROM l)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE trim(line, ' ') <> '') AS BIGINT) AS loc, CAST(coalesce(sum(ind), 0) AS BIGINT) AS indent_sum, CAST(coalesce(max(ind), 0) AS BIGINT) AS indent_max,
+ CAST(count(*) FILTER (WHERE ind >= 4) AS BIGINT) AS n_deep, CAST(max(length(line)) AS BIGINT) AS longest FROM m GROUP BY 1""")
+def line_explode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line metrics of every document (SRC04, AGG21, FUN06)."""
+    return linescan.line_metrics(linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
+@query(r"""
+SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT suffix(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines,
+ length(text) > 2000000 OR contains(left(text, 1024), chr(0)) AS skipped, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newline count and size guard without an explode (SRC02, SRC03)."""
+    t = F.col("text")
+    guard = (F.length(t) > 2_000_000) | F.contains(F.left(t, F.lit(1024)), F.lit("\0"))
+    return documents(spark, sf_dir).select("doc_id", T.n_lines(t).cast("long").alias("n_lines"), guard.alias("skipped"), F.octet_length(t).cast("long").alias("n_bytes"))
+
+
+def _rule_sql() -> str:
+    q = lambda s: s.replace("'", "''")
+    one = lambda r: f"SELECT doc_id, '{r.name}' AS rule, '{r.family}' AS family FROM l WHERE regexp_matches(line, '{q(r.pattern)}')" + (f" AND NOT regexp_matches(line, '{q(r.exclude)}')" if r.exclude else "")
+    return r"WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents), h AS (" + " UNION ALL ".join(map(one, linescan.RULES)) + ") SELECT doc_id, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY ALL"
+
+
+@query(_rule_sql())
+def regex_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line rules in one pass over all lines, hits by document and rule (§2.13, AGG16, FUN32)."""
+    hits = linescan.scan_rules(linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text"), linescan.RULES)
+    return hits.groupBy("doc_id", "rule", "family").agg(F.count("*").alias("hits"))
+
+
+@query(r"""
+SELECT doc_id, substr(sha1(concat_ws('|', lang, source, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))), 1, 16) AS fingerprint, substr(sha256(text), 1, 8) AS block_hash FROM documents""")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content keys that ignore white space, and plain digests (FUN01, FUN14, STM06)."""
+    return documents(spark, sf_dir).select("doc_id", T.fingerprint(F.col("lang"), F.col("source"), F.col("text")).alias("fingerprint"), T.digest(F.col("text"), 8).alias("block_hash"))
+
+
+@query(r"""
+SELECT doc_id, sha256(left(regexp_replace(regexp_replace(text, '((?i:password|passwd|secret|token|api_?key)["'']?[ ]*[:=][ ]*["'']?[A-Za-z0-9+/_.=-]{4})[A-Za-z0-9+/_.=-]{8,}', '\1***', 'g'), '(AKIA|ghp_|xox[a-z]-|sk_live_)[A-Za-z0-9_-]{12,}', '\1***', 'g'), 4000)) AS redacted_hash FROM documents""")
+def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets masked before the cut (FUN03, FUN25)."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.redacted_cut(F.col("text"), 4000), 256).alias("redacted_hash"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:64] AS slug,
+ left(regexp_replace(regexp_replace(regexp_replace('failed on ' || url || ' with "' || page_id || '" after ' || page_id, 'https?://[^ \n"'']+', 'URL', 'g'), '"[^"]*"|''[^'']*''', '''?''', 'g'), '[0-9]+', 'N', 'g'), 160) AS error_class FROM pages""")
+def slug_and_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of URLs and masked messages (FUN10, FUN18)."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    message = F.concat(F.lit("failed on "), "url", F.lit(' with "'), F.col("page_id").cast("string"), F.lit('" after '), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", T.slug(bare).alias("slug"), T.error_class(message).alias("error_class"))
+
+
+@query(r"""SELECT page_id, regexp_replace('https://me:pw' || page_id || '@' || regexp_replace(url, '^[a-z]+://', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\1') AS bare,
+ regexp_replace(url, '^[a-z]+://', '') || ':' || page_id || '-' || (page_id + 3) AS cited, CAST(page_id AS INTEGER) AS lo, CAST(page_id + 3 AS INTEGER) AS hi FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[^:#\s]+$')""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Userinfo off URLs; citations built and parsed again (FUN04, FUN17)."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    p = table(spark, sf_dir, "pages").where(bare.rlike(r"^[^:#\s]+$"))
+    cited = F.concat(bare, F.lit(":"), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") + 3).cast("string"))
+    out = p.select("page_id", T.without_userinfo(F.concat(F.lit("https://me:pw"), F.col("page_id").cast("string"), F.lit("@"), bare)).alias("bare"), cited.alias("cited"))
+    return out.withColumn("c", T.citation(F.col("cited"))).select("page_id", "bare", "cited", "c.lo", "c.hi")
+
+
+@query(r"""SELECT item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS tokens FROM benchmark""")
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of each item (FUN09)."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(T.title_tokens(F.col("text"))).alias("tokens"))
+
+
+PATH_RULES = [("vendored", r"spam|farm"), ("generated", r"\.html$|\?page="), ("tests", r"/(en|fr)/[0-9]*[05]([/?#]|$)"), ("docs", r"^https?://(www|blog)\."), ("source", r"/en/")]
+
+
+def _case(rules, default, col="url"):
+    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{r}') THEN '{n}'" for n, r in rules) + f" ELSE '{default}' END"
+
+
+GLOBS = ["*.html", "en/*", "fr/**", "de/8*", "es"]
+
+
+@query(f"""SELECT page_id, {_case(PATH_RULES, 'other')} AS path_class FROM pages""")
+def path_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First matching rule gives the class (PRD01, PRD02, PRD14)."""
+    return table(spark, sf_dir, "pages").select("page_id", classify.first_match(F.col("url"), PATH_RULES, "other").alias("path_class"))
+
+
+_PATH = r"regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
+SELECT page_id, path, coalesce({", ".join(f"CASE WHEN regexp_matches(path, '{classify.glob_regex(g)}') THEN {str(not g.startswith('de')).lower()} END" for g in reversed(GLOBS))}) AS state,
+ CASE WHEN path = '' THEN 'root' WHEN regexp_matches(path, '[0-9]{{4,}}') THEN 'number' WHEN regexp_matches(path, '\\.html$') THEN 'suffix' WHEN NOT contains(path, '/') THEN 'flat' END AS reason,
+ CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) END AS top FROM p""")
+def path_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs where the last match wins, the first reason to leave a path out, its top segment (PRD04, PRD05, PRD06, PRD28)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1).alias("path"))
+    path = F.col("path")
+    reason = classify.first_reason([("root", path == ""), ("number", path.rlike("[0-9]{4,}")), ("suffix", path.rlike(r"\.html$")), ("flat", ~F.contains(path, F.lit("/")))])
+    state = classify.last_match(path, [(classify.glob_regex(g), not g.startswith("de")) for g in GLOBS])
+    return p.select("page_id", "path", state.alias("state"), reason.alias("reason"), classify.top_segment(path).alias("top"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[\n]', ' ', 'g'), ' ')) AS token FROM benchmark),
+t AS (SELECT token FROM w UNION SELECT token || '.md' FROM w UNION SELECT 'src/' || token FROM w UNION SELECT 'http://x/' || token FROM w UNION SELECT '3/4')
+SELECT token, regexp_matches(token, '^[A-Za-z0-9_.@-]+(/[A-Za-z0-9_.@-]+)*\.[A-Za-z][A-Za-z0-9]{0,5}$|^([A-Za-z0-9_.@-]+/)+[A-Za-z0-9_.@-]*$') AND NOT regexp_matches(token, '://|[<>{}$*]|^[0-9]+/[0-9]+$|\(\)$') AS is_path,
+ CASE WHEN regexp_matches(token, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') AND regexp_matches(token, '[A-Z]{2}') THEN 'upper' WHEN regexp_matches(token, '[a-z][A-Z]') THEN 'mixed' WHEN regexp_matches(token, '[A-Za-z0-9][_.-][A-Za-z0-9]') THEN 'separated' ELSE 'plain' END AS shape FROM t""")
+def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens look like paths, and the shape of names (PRD12, PRD13)."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.regexp_replace("text", r"[\n]", " "), " ")).alias("token")).distinct()
+    t = w.select(F.explode(F.array("token", F.concat("token", F.lit(".md")), F.concat(F.lit("src/"), "token"), F.concat(F.lit("http://x/"), "token"), F.lit("3/4"))).alias("token")).distinct()
+    return t.select("token", classify.is_path(F.col("token")).alias("is_path"), classify.name_shape(F.col("token")).alias("shape"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, lineno, line FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS lineno FROM documents)),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(The|Der|Les?|El|La) ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lineno ROWS UNBOUNDED PRECEDING) AS segment FROM l)
+SELECT doc_id, CAST(segment AS BIGINT) AS segment, CAST(min(lineno) AS BIGINT) AS lo, CAST(max(lineno) AS BIGINT) AS hi, bool_or(contains(line, '!!')) AS holds FROM s WHERE segment > 0 GROUP BY 1, 2""")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments between start lines and whether one of their lines holds a mark (FUN33, WIN22)."""
+    l = linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text")
+    return linescan.segments(l, "doc_id", F.col("line").rlike("^(The|Der|Les?|El|La) "), F.contains(F.col("line"), F.lit("!!")))
+
+
+@query(r"""WITH d AS (SELECT lang, quality = 1 AS actual, length(text) > 300 AND NOT regexp_matches(text, '[#*$%&]{3}') AS predicted FROM documents JOIN labels USING (doc_id))
+SELECT lang, CAST(count(*) FILTER (WHERE predicted AND actual) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE predicted) AS BIGINT) AS n_predicted, CAST(count(*) FILTER (WHERE actual) AS BIGINT) AS n_actual, CAST(count(*) FILTER (WHERE predicted AND NOT actual) AS BIGINT) AS decoys,
+ round(count(*) FILTER (WHERE predicted AND actual)::DOUBLE / nullif(count(*) FILTER (WHERE predicted), 0), 3) AS "precision", round(count(*) FILTER (WHERE predicted AND actual)::DOUBLE / nullif(count(*) FILTER (WHERE actual), 0), 3) AS recall FROM d GROUP BY 1""")
+def truth_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of a rule against labels, by language (AGG11)."""
+    predicted = (F.length("text") > 300) & ~F.col("text").rlike("[#*$%&]{3}")
+    d = documents(spark, sf_dir).select("doc_id", "lang", predicted.alias("predicted")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return aggregates.evaluation(d.withColumn("actual", F.col("quality") == 1), "lang")
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \t\n\r\f\v]+'))) AS word FROM documents),
+b AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(text, '[ \t\n\r\f\v]+'))) AS word FROM benchmark),
+u AS (SELECT DISTINCT word FROM b WHERE word <> '')
+SELECT word, word IN (SELECT word FROM w) AS present FROM u""")
+def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which whole words of the benchmark the corpus has (PRD22): token tables and one join."""
+    tokens = lambda df: df.select(F.explode(F.array_distinct(F.split("text", r"[ \t\n\r\f\x0B]+"))).alias("word")).where("word <> ''").distinct()
+    u, w = tokens(table(spark, sf_dir, "benchmark")), tokens(documents(spark, sf_dir)).withColumn("_p", F.lit(True))
+    return u.join(w, "word", "left").select("word", F.coalesce("_p", F.lit(False)).alias("present"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'role' WHEN text = '' THEN 'empty' WHEN length(text) > 1500 THEN 'long' WHEN turn < 0 THEN 'turn' END AS reason FROM conversations""")
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's first reject reason, null where it is valid (PRD10, PRD20)."""
+    reason = classify.first_reason([("role", ~F.col("role").isin("user", "assistant", "system")), ("empty", F.col("text") == ""), ("long", F.length("text") > 1500), ("turn", F.col("turn") < 0)])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS old, list_concat(list_concat(string_split(text, ' ')[1:2], ['new', 'words']), string_split(text, ' ')[3:]) AS one,
+ list_concat(list_concat(['x'], string_split(text, ' ')), ['y']) AS two FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, true AS one_span, false AS two_spans, false AS none FROM a""")
+def token_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text is another with one span put in (PRD23), on texts changed in known ways."""
+    old = F.split("text", " ")
+    one = F.concat(F.slice(old, 1, 2), F.array(F.lit("new"), F.lit("words")), F.slice(old, F.lit(3), F.size(old)))
+    two = F.concat(F.array(F.lit("x")), old, F.array(F.lit("y")))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    test = lambda new: classify.extends_by_one_span(old, new, 4)
+    return c.select("conv_id", "turn", test(one).alias("one_span"), test(two).alias("two_spans"), test(old).alias("none"))
+
+
+@query(r"""WITH r(raw) AS (SELECT raw FROM (SELECT unnest(['./a//b/', 'a\b\c.txt', '/abs/' || url, '../up/' || page_id, 'c:/x', 'src/./m/' || page_id || '.py', 'x/..', 'ok']) AS raw FROM pages)),
+p AS (SELECT raw, regexp_replace(regexp_replace(regexp_replace(replace(raw, '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '/\.?$', '') AS p FROM r)
+SELECT raw, CASE WHEN NOT (regexp_matches(p, '^/|(^|/)\.\.(/|$)|:') OR p = '') THEN p END AS path, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1, 2""")
+def path_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in one form, and those refused (PRD11)."""
+    i = F.col("page_id").cast("string")
+    raw = F.array(F.lit("./a//b/"), F.lit("a\\b\\c.txt"), F.concat(F.lit("/abs/"), "url"), F.concat(F.lit("../up/"), i), F.lit("c:/x"), F.concat(F.lit("src/./m/"), i, F.lit(".py")), F.lit("x/.."), F.lit("ok"))
+    r = table(spark, sf_dir, "pages").select(F.explode(raw).alias("raw"))
+    return r.select("raw", classify.canonical_path(F.col("raw")).alias("path")).groupBy("raw", "path").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS s FROM pages),
+u AS (SELECT page_id, unnest(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[1:i], '/'))) AS up, generate_subscripts(s, 1) AS depth FROM p),
+k AS (SELECT up, count(DISTINCT page_id) AS n FROM u GROUP BY 1 HAVING count(DISTINCT page_id) >= 3)
+SELECT page_id, max_by(k.up, depth) AS nearest FROM u LEFT JOIN k USING (up) GROUP BY 1""")
+def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest directory above a page that at least three pages share (JON29, GRF03)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1).alias("path"))
+    up = p.select("page_id", F.posexplode(joins.ancestors(F.col("path"))).alias("depth", "up"))
+    k = up.groupBy("up").agg(F.count_distinct("page_id").alias("n")).where("n >= 3").select("up")
+    best = up.join(k, "up").groupBy("page_id").agg(F.max_by("up", "depth").alias("nearest"))
+    return p.select("page_id").join(best, "page_id", "left")
+
+
+@query(r"""WITH v AS (SELECT p_partkey, (p_size % 5) || '.' || (p_partkey % 20) || '.' || (p_partkey % 7) AS version FROM part)
+SELECT p_partkey, version, (string_split(version, '.')[1]::INT, string_split(version, '.')[2]::INT) >= (2, 10) AS at_least,
+ CASE WHEN p_partkey % 4 = 0 THEN 'true' WHEN p_partkey % 4 = 1 THEN 'false' WHEN p_partkey % 4 = 3 THEN 'v' || p_partkey END AS cell,
+ '/' || lower('api') || '/v' || p_partkey || '/items' AS route, 'APP_RATE_' || p_partkey AS env FROM v JOIN part USING (p_partkey)""")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version floors, cell values, routes and environment names (FUN19, FUN20, FUN21)."""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    version = F.concat_ws(".", s(F.col("p_size") % 5), s(k % 20), s(k % 7))
+    raw = F.when(k % 4 == 0, "`Yes`").when(k % 4 == 1, "off").when(k % 4 == 2, "n/a").otherwise(F.concat(F.lit("'V"), s(k), F.lit("'")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        version.alias("version"),
+        T.at_least(version, F.lit("2.10")).alias("at_least"),
+        T.cell_value(raw).alias("cell"),
+        T.joined_route(F.lit("/api/"), F.concat(F.lit("/v"), s(k)), F.lit("items/")).alias("route"),
+        T.env_name(F.concat(F.lit("app.rate-"), s(k))).alias("env"),
+    )
+
+
+@query(r"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(event_type || 'HTTPServerCount', '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '$', '').lower() AS snake,
+ CASE WHEN contains('x = 1 # ' || event_type, '#') THEN event_type END AS note, CASE WHEN event_type IN ('error', 'click') AND event_id % 7 BETWEEN 1 AND 5 THEN CAST(event_id % 7 AS INTEGER) ELSE 2 END AS severity,
+ CASE WHEN value BETWEEN 0 AND 10 THEN round(value, 3) END AS bounded, repeat('`', CAST(greatest(3, event_id % 6 + 1) AS INTEGER)) AS fence FROM events""")
+def scalar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snake case, comments, trusted severities, bounded numbers and fences (FUN08, FUN11, FUN15, FUN22, FUN23)."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    return e.select(
+        "event_id",
+        T.snake(F.concat("event_type", F.lit("HTTPServerCount"))).alias("snake"),
+        T.comment(F.concat(F.lit("x = 1 # "), "event_type"), F.lit("#")).alias("note"),
+        T.severity(F.col("event_type"), (i % 7).cast("string"), ("error", "click"), F.lit(2)).alias("severity"),
+        F.round(T.bounded_float(F.col("value").cast("string")), 3).alias("bounded"),
+        T.fence(F.concat(F.lit("a"), F.repeat(F.lit("`"), (i % 6).cast("int")), F.lit("b"))).alias("fence"),
+    )

@@ -130,9 +130,6 @@ def failure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("value", F.round("value", 6))
 
 
-_LAST = "SELECT user_id, event_type, {} FROM events GROUP BY 1, 2"
-
-
 @query("SELECT user_id, event_type, max(event_id) AS event_id, round(max_by(value, event_id), 6) AS value FROM events GROUP BY 1, 2")
 def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of each key (AGG18, JON10)."""

@@ -1 +1,48 @@
-"""Queries."""
+"""Streaming queries over the event table as a file stream; each has its batch equivalent as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.plans.registry import query
+from millrace.sources.tables import table
+from millrace.streaming import operators as S
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    # a stream reads a folder; the glob names the table whether it is one file or many
+    return S.read_events(spark, f"{sf_dir}/events.parquet*", schema)
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS started, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by type."""
+    out = S.drained(S.tumbling(stream(spark, sf_dir), "event_type", "1 day", "1 hour"), "complete")
+    return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH m AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM m)
+SELECT min(ts) AS started, user_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, no""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user with a gap of six hours."""
+    out = S.drained(S.session_counts(stream(spark, sf_dir), "user_id", "6 hours", "1 hour"), "complete")
+    return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "user_id", "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user and type once, with a watermark longer than the history."""
+    s = S.first_seen(stream(spark, sf_dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "400 days")
+    return S.drained(s.select("user_id", "event_type"), "append")
+
+
+@query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last seen of each user (STM01)."""
+    out = S.drained(S.latest_state(stream(spark, sf_dir), "user_id"), "complete")
+    return out.select("user_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
