@@ -52,7 +52,8 @@ def _mapped(df: DataFrame, make: Callable, rows: Callable, schema: str) -> DataF
                     columns = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    # by place, as names may clash
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def fold(key: str, modulus: int) -> F.Column:
