@@ -24,9 +24,9 @@ def co_occurrence(df: DataFrame, basket: str, item: str, most: int = 50, support
     """Pairs of items that share baskets (JON02): ``a, b, shared, ratio`` with ratio = 2 shared / (n_a + n_b)."""
     one = small_baskets(df, basket, item, most)
     counts = one.groupBy(item).agg(F.count("*").alias("_n"))
-    left = one.select(basket, F.col(item).alias("a"))
-    right = one.select(basket, F.col(item).alias("b"))
-    pairs = left.join(right, basket).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= support)
+    left = one.select(F.col(basket).alias("_basket"), F.col(item).alias("a"))
+    right = one.select(F.col(basket).alias("_basket"), F.col(item).alias("b"))
+    pairs = left.join(right, "_basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= support)
     for side in ("a", "b"):
         pairs = pairs.join(counts.select(F.col(item).alias(side), F.col("_n").alias(f"_{side}")), side)
     share = 2.0 * F.col("shared") / (F.col("_a") + F.col("_b"))
