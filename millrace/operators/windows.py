@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 
 def longest_run(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The longest run of equal consecutive values of each key; null values are transparent (WIN05)."""
@@ -32,24 +34,44 @@ def sessions(df: DataFrame, key: str, at: str, gap: Column | float, tie: str) ->
     return df.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Global 1-based positions in a total order (WIN01), without a single-task window.
+
+    Rows are range-partitioned and sorted; each partition's rows are numbered by themselves
+    and shifted by the sizes of the partitions before it, of which the driver holds a list.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    laid = laid.withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = {r["_part"]: r["count"] for r in laid.groupBy("_part").count().collect()}
+    start, at = 0, []
+    for k in sorted(sizes):
+        at.append((k, start))
+        start += sizes[k]
+    shift = spark.createDataFrame(at, "_part int, _start long")
+    return laid.join(F.broadcast(shift), "_part").withColumn(name, F.col("_n") + F.col("_start") + 1).drop("_part", "_n", "_start")
+
+
 def greedy_top(df: DataFrame, priority: str, key: str, group: str, n: int, spread: float) -> DataFrame:
     """Top n by priority with at most ceil(spread n) of a group: position, in_top, spread_capped (WIN01, WIN02).
 
     The greedy walk takes exactly the first n rows whose ordinal in their group is within
-    the cap, so the result comes from ordinals and one running count over the rows within
-    the cap; of each group at most cap rows reach that count's single task.
+    the cap. So only the first ``cap`` rows of each group compete (a window group limit
+    drops the others before the shuffle), the n-th of them in order is the last chosen, and
+    each row's flags follow from its place before or after that one.
     """
     cap = -(-n * spread // 1)
     order = [F.desc(priority), F.asc(key)]
-    ranked = df.withColumn("_g", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("_ok", F.col("_g") <= cap)
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy(*order))).withColumn(
-        "_c", F.sum(F.col("_ok").cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ).select(
-        *df.columns,
-        F.col("position").cast("long").alias("position"),
-        (F.col("_ok") & (F.col("_c") <= n)).alias("in_top"),
-        (~F.col("_ok") & (F.col("_c") < n)).alias("spread_capped"),
-    )
+    best = df.select(key, priority, group).withColumn("_g", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_g") <= cap)
+    chosen = best.orderBy(*order).limit(int(n))
+    last = chosen.agg(F.count("*").alias("_chosen"), F.min(F.struct(F.col(priority).alias("p"), (-F.col(key)).alias("k"))).alias("_last"))
+    ok = best.select(F.col(key).alias("_key"), F.lit(True).alias("_ok"))
+    place = F.struct(F.col(priority).alias("p"), (-F.col(key)).alias("k"))
+    out = numbered(df, order).join(ok, F.col(key) == F.col("_key"), "left").join(F.broadcast(last))  # one row
+    within = (F.col("_chosen") < n) | (place >= F.col("_last"))
+    eligible = F.coalesce("_ok", F.lit(False))
+    return out.select(*df.columns, "position", (eligible & within).alias("in_top"), (~eligible & within).alias("spread_capped"))
 
 
 def cap_per_group(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
