@@ -211,6 +211,86 @@ def joined_lines(text: str | None, most: int = 200) -> Iterator[tuple[int, int,
         yield at, at + len(part) - 1, " ".join(x for x in part if x)
 
 
+def front_matter(text: str | None) -> Iterator[tuple[str, str]]:
+    """``(key, value)`` of simple pairs in the front matter between two ``---`` lines (SRC20)."""
+    m = re.match(r"---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\Z)", (text or "").replace("\r\n", "\n"), re.S)
+    for line in m[1].split("\n") if m else ():
+        if pair := re.match(r"([A-Za-z_][\w-]*):[ \t]*(.*?)[ \t]*$", line):
+            yield pair[1], pair[2].strip("\"'")
+
+
+def md_tables(text: str | None) -> Iterator[tuple[int, int, str, str]]:
+    """``(table line, row, column name, cell)`` of the cells of Markdown tables (SRC34)."""
+    cells = lambda line: [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", line.strip().removeprefix("|").removesuffix("|"))]
+    for _, kind, at, _, _, body in md_blocks(text):
+        if kind == "table":
+            head, _, *rest = body.split("\n")
+            names = cells(head)
+            for n, line in enumerate(rest):
+                for name, cell in zip(names, cells(line), strict=False):
+                    yield at, n, name, cell
+
+
+#: What to look for in the body of a Python loop.
+SMELLS = {
+    "io-in-loop": re.compile(r"\b(open|requests\.(get|post)|urlopen|execute|fetch\w*)\s*\("),
+    "regex-in-loop": re.compile(r"\bre\.(compile|match|search|sub|findall)\s*\("),
+    "sort-in-loop": re.compile(r"\b(sorted\s*\(|\w+\.sort\s*\()"),
+    "membership-in-loop": re.compile(r"\bif\s+\w+\s+(not\s+)?in\s+\w*(list|items|rows)\b"),
+}
+
+
+def loop_smells(text: str | None) -> Iterator[tuple[str, int, int]]:
+    """``(rule, line, loop line)`` of costly calls in loops, told once against the outermost loop (FUN29)."""
+    outer: tuple[int, int] | None = None
+    for at, line in enumerate((text or "").split("\n"), 1):
+        bare = re.sub(r"#.*$", "", line)
+        if not bare.strip():
+            continue
+        depth = len(bare) - len(bare.lstrip())
+        if outer and depth <= outer[1]:
+            outer = None
+        if outer:
+            for rule, smell in SMELLS.items():
+                if smell.search(bare):
+                    yield rule, at, outer[0]
+        elif re.match(r"\s*(for|while)\b.*:", bare):
+            outer = (at, depth)
+
+
+def calls_without(text: str | None, call: str = r"requests\.(?:get|post|put|delete)", argument: str = "timeout", most: int = 20) -> Iterator[tuple[int, int, str]]:
+    """``(l0, l1, call)`` of calls, at most ``most`` lines long, that lack a named argument (FUN30)."""
+    lines = (text or "").split("\n")
+    for n, line in enumerate(lines):
+        for m in re.finditer(rf"\b({call})\s*\(", line):
+            depth, body, last = 0, "", n
+            for last in range(n, min(len(lines), n + most)):
+                part = lines[last][m.start() :] if last == n else lines[last]
+                body += part + "\n"
+                depth += part.count("(") - part.count(")")
+                if depth <= 0:
+                    break
+            if depth <= 0 and not re.search(rf"\b{argument}\s*=", body):
+                yield n + 1, last + 1, m[1]
+
+
+def cli_options(text: str | None) -> Iterator[tuple[str, str | None, list[str], bool | None]]:
+    """``(name, default, choices, required)`` of argparse options in Python source; required is null when it is not said (FUN36, FUN37)."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "add_argument":
+            names = [a.value for a in x.args if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+            named = {k.arg: k.value for k in x.keywords}
+            value = lambda k: named[k].value if isinstance(named.get(k), ast.Constant) else None  # noqa: B023, E731
+            choices = [str(e.value) for e in getattr(named.get("choices"), "elts", []) if isinstance(e, ast.Constant)]
+            if names:
+                default = value("default")
+                yield max(names, key=len), None if default is None else str(default), choices, value("required")
+
+
 #: EXT01: the table functions with their schemas.
 FUNCTIONS = {
     "md_blocks": (md_blocks, "idx int, kind string, l0 int, l1 int, parent int, text string"),
@@ -219,6 +299,11 @@ FUNCTIONS = {
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
     "swallowed": (swallowed, "line int, body string, name string"),
     "boundaries": (boundaries, "field string, rule string, value string, expected string"),
+    "front_matter": (front_matter, "key string, value string"),
+    "md_tables": (md_tables, "at int, row int, name string, cell string"),
+    "loop_smells": (loop_smells, "rule string, line int, loop int"),
+    "calls_without": (calls_without, "l0 int, l1 int, call string"),
+    "cli_options": (cli_options, "name string, default string, choices array<string>, required boolean"),
     "joined_lines": (joined_lines, "l0 int, l1 int, statement string"),
 }
 

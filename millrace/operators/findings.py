@@ -35,3 +35,36 @@ def unwrapped(reply: Column) -> Column:
     inner = F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
     body = F.coalesce(inner, F.trim(reply))
     return F.when(F.try_parse_json(body).isNotNull(), body)
+
+
+def redacted_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nested columns with every string in them redacted, by way of their JSON (NRM13)."""
+    from millrace.functions.text import redacted
+
+    for c in columns:
+        df = df.withColumn(c, F.from_json(redacted(F.to_json(c)), df.schema[c].dataType))
+    return df
+
+
+def coverage_problems(claims: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, line, times`` of lines that claims ``(doc, lo, hi)`` do not cover exactly once (EXT07)."""
+    covered = claims.select("doc", F.explode(F.sequence("lo", "hi")).alias("line")).groupBy("doc", "line").agg(F.count("*").alias("times"))
+    every = texts.select("doc", F.explode(F.sequence(F.lit(1), "n_lines")).alias("line"))
+    return every.join(covered, ["doc", "line"], "full").select("doc", "line", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1")
+
+
+def citation_subject(citations: DataFrame, names: DataFrame, reach: int = 120) -> DataFrame:
+    """The name a citation is about: the nearest before it within reach, else the nearest after (JON19)."""
+    j = citations.join(names, "doc").where((F.col("name_at") >= F.col("at") - reach) & (F.col("name_at") <= F.col("at") + reach))
+    order = F.struct((F.col("name_at") > F.col("at")).alias("after"), F.abs(F.col("at") - F.col("name_at")).alias("d"), "name")
+    best = j.groupBy("doc", "at").agg(F.min_by("name", order).alias("name"))
+    return citations.join(best, ["doc", "at"], "left")
+
+
+def work_plan(df: DataFrame, role: str, order: list[str], most: int) -> DataFrame:
+    """``id, role`` and the rows' columns: numbered work items, at most ``most`` (EXT09, SRT08)."""
+    from pyspark.sql import Window
+
+    first = df.orderBy(*order).limit(most)
+    n = F.row_number().over(Window.orderBy(*order))  # over at most ``most`` rows
+    return first.select(F.format_string(f"{role}-%03d", n).alias("id"), F.lit(role).alias("role"), *df.columns)

@@ -184,3 +184,27 @@ def routes(lines: DataFrame) -> DataFrame:
     method = F.coalesce(get(r"@(Get|Post|Put|Delete|Patch)Mapping\b", 1), get(r"\b(?:app|router)\.(get|post|put|delete|patch)\(", 1))
     own = F.coalesce(get(r"@(?:Get|Post|Put|Delete|Patch)Mapping\(\s*\"([^\"]*)\"", 1), get(r"\b(?:app|router)\.(?:get|post|put|delete|patch)\(\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
     return lines.select("path", "lineno", F.upper(method).alias("method"), T.joined_route(F.coalesce(prefix, F.lit("")), own).alias("route")).where("method is not null")
+
+
+def at_snapshot(tree: DataFrame, snapshot: str) -> DataFrame:
+    """``path, content`` of one snapshot of a table partitioned by it (SRC09): the filter prunes the other partitions."""
+    return tree.where(F.col("snapshot") == snapshot).drop("snapshot")
+
+
+def artefacts(files: DataFrame, classes: list[tuple[str, str]]) -> DataFrame:
+    """``path, class`` and class-specific columns, null elsewhere: cells of notebooks, pointers to large files (SRC30)."""
+    from millrace.operators.classify import first_match
+
+    c = first_match(F.col("path"), classes, "other")
+    pointer = F.startswith("text", F.lit("version https://git-lfs"))
+    cells = F.size(F.from_json("text", "cells array<struct<cell_type string>>")["cells"])
+    out = files.withColumn("class", c).where("class <> 'other'")
+    return out.select("path", "class", F.when(F.col("class") == "large", pointer).alias("pointer"), F.when(F.col("class") == "notebook", cells).alias("n_cells"))
+
+
+def environment(manifest: DataFrame, image: DataFrame, config: DataFrame) -> DataFrame:
+    """``name, value, source``: settings by environment name; the manifest wins over the image, the image over the configuration (SRC36, EXT08)."""
+    part = lambda df, rank, source: df.select(T.env_name(F.col("name")).alias("name"), "value", F.lit(source).alias("source"), F.lit(rank).alias("_r"))
+    every = part(manifest, 0, "manifest").unionByName(part(image, 1, "image")).unionByName(part(config, 2, "config"))
+    best = every.groupBy("name").agg(F.min_by(F.struct("value", "source"), F.struct("_r", "value")).alias("b"))
+    return best.select("name", "b.value", "b.source")

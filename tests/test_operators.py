@@ -271,3 +271,36 @@ def test_fact_rules(spark):
     h = spark.createDataFrame([("a.py", 1, "x", 0.9, "2020-01-01"), ("b.py", 9, "y", 0.9, "2024-01-01")], "file string, rank int, top_author string, share double, last_active string").withColumn("last_active", F.to_date("last_active"))
     got = facts.ownership_rules(h, ["b.py"], F.lit("2024-02-01").cast("date")).collect()
     assert sorted((r.rule, r.file, r.severity) for r in got) == [("ownership.former-contributor", "a.py", 2), ("ownership.knowledge-island", "a.py", 4), ("ownership.knowledge-island", "b.py", 3), ("ownership.unowned-hotspot", "a.py", 2)]
+
+
+def test_more_table_functions():
+    assert list(tables.front_matter("---\na: 1\nb: 'x'\n---\nc: 2")) == [("a", "1"), ("b", "x")] and list(tables.front_matter("a: 1")) == []
+    assert list(tables.md_tables("a | b\n--|--\n1 | 2\n3 | x\\|y")) == [(1, 0, "a", "1"), (1, 0, "b", "2"), (1, 1, "a", "3"), (1, 1, "b", "x|y")]
+    code = "for x in y:\n  for z in x:\n    re.match(z)\n    # open(\nopen(a)\nwhile 1:\n  q.sort()"
+    assert list(tables.loop_smells(code)) == [("regex-in-loop", 3, 1), ("sort-in-loop", 7, 6)]
+    assert list(tables.calls_without("requests.get(a,\n  timeout=3)\nrequests.post(b)")) == [(3, 3, "requests.post")]
+    assert list(tables.cli_options("p.add_argument('-x', '--xx', default=3, choices=['a', 'b'], required=True)\np.add_argument('--y')")) == [("--xx", "3", ["a", "b"], True), ("--y", None, [], None)]
+
+
+def test_more_findings(spark):
+    from millrace.operators import findings
+
+    d = spark.createDataFrame([(1, ["token='abcdefghijklmnop'", None])], "id int, x array<string>")
+    assert findings.redacted_rows(d, ["x"]).first().x == ["token='abcd***'", None]
+    c = spark.createDataFrame([("d", 1, 2), ("d", 2, 3), ("d", 9, 9)], "doc string, lo int, hi int")
+    t = spark.createDataFrame([("d", 4)], "doc string, n_lines int")
+    assert sorted(map(tuple, findings.coverage_problems(c, t).collect())) == [("d", 2, 2), ("d", 4, 0)]
+    cite = spark.createDataFrame([("d", 200), ("d", 900)], "doc string, at int")
+    names = spark.createDataFrame([("d", 90, "far"), ("d", 150, "near"), ("d", 205, "after")], "doc string, name_at int, name string")
+    assert sorted(map(tuple, findings.citation_subject(cite, names).collect()), key=str) == [("d", 200, "near"), ("d", 900, None)]
+    assert [r.id for r in findings.work_plan(cite, "scout", ["at"], 1).collect()] == ["scout-001"]
+    r = spark.createDataFrame([('```json\n{"a":1}\n```',), ("{bad",), (None,), (' {"a":2} ',)], "r string")
+    assert [x[0] for x in r.select(findings.unwrapped(F.col("r"))).collect()] == ['{"a":1}', None, None, '{"a":2}']
+
+
+def test_config():
+    from millrace import config
+
+    assert config.merged({"a": {"x": 1, "y": [1]}, "b": 2}, {"a": {"y": [2]}, "c": 3}) == {"a": {"x": 1, "y": [2]}, "b": 2, "c": 3}
+    got, warnings = config.checked({"coupling": {"bulk": "x", "ratio": 1}, "odd": 1, "suppress": [1]})
+    assert got["coupling"] == {"bulk": 50, "support": 3, "ratio": 1} and got["suppress"] == [1] and warnings == ["coupling.bulk should be int", "unknown key odd"]

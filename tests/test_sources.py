@@ -64,3 +64,14 @@ def test_build_and_routes(spark):
     assert sorted(map(tuple, files.flattened(s, {"yaml": 0, "env": 1}).collect())) == [("j", "3", "yaml"), ("k", "2", "yaml")]
     t = spark.createDataFrame([("f", i, f"l{i}") for i in range(12)], "path string, lineno int, line string")
     assert files.tail(t, "path", 2).first().tail == "l10\nl11"
+
+
+def test_snapshots_artefacts_environment(spark):
+    t = spark.createDataFrame([("s1", "a", "x"), ("s2", "a", "y")], "snapshot string, path string, content string")
+    assert [tuple(r) for r in files.at_snapshot(t, "s2").collect()] == [("a", "y")]
+    f = spark.createDataFrame([("n.ipynb", '{"cells":[{"cell_type":"code"},{"cell_type":"x"}]}'), ("m.bin", "version https://git-lfs.github.com"), ("o.txt", "t")], "path string, text string")
+    got = {r.path: (r["class"], r.pointer, r.n_cells) for r in files.artefacts(f, [("notebook", "ipynb$"), ("large", "bin$")]).collect()}
+    assert got == {"n.ipynb": ("notebook", None, 2), "m.bin": ("large", True, None)}
+    e = lambda *x: spark.createDataFrame(list(x), "name string, value string")
+    out = files.environment(e(("DB_URL", "1")), e(("db.url", "2"), ("PORT", "3")), e(("port", "4"), ("z", "5")))
+    assert sorted(map(tuple, out.collect())) == [("DB_URL", "1", "manifest"), ("PORT", "3", "image"), ("Z", "5", "config")]
