@@ -12,14 +12,21 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from millrace.session import cut, ship
 
-#: Rows that a worker turns into Python objects at a time.
-SLICE = 256
+#: Rows that a worker turns into Python objects at a time, and about how many bytes of them.
+SLICE, SLICE_BYTES = 256, 8 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``SLICE`` rows, fewer where rows are long."""
+    step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row per input row: ``make()`` gives, once per partition, a function of the row's values.
 
-    Rows are handled in slices of ``SLICE``, so that a worker holds few texts at a time.
+    Rows are handled in slices of ``SLICE``, fewer of them where they are long, so that a worker holds few texts at a time.
     """
 
     def rows(batch: pa.RecordBatch, f: Callable[..., tuple]) -> Iterable[tuple]:
@@ -46,8 +53,8 @@ def _mapped(df: DataFrame, make: Callable, rows: Callable, schema: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                out = rows(batch.slice(start, SLICE), f)
+            for part in slices(batch):
+                out = rows(part, f)
                 if out:
                     columns = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)

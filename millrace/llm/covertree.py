@@ -23,8 +23,8 @@ from millrace.llm.common import components
 from millrace.session import cut, ship
 
 COSINE, BLOCK, LEAF = 0.98, 1024, 4
-#: At most so many pivots over all labels, and of one label; so many sampled points for each pivot.
-PIVOTS, LABEL_PIVOTS, PER_PIVOT = 2048, 32, 8
+#: At most so many pivots over all labels, and of one label; so many sampled points for each pivot; so many numbers in all of them.
+PIVOTS, LABEL_PIVOTS, PER_PIVOT, NUMBERS = 2048, 32, 8, 4_000_000
 SLACK = 1e-7
 
 
@@ -135,17 +135,18 @@ def linked(i: np.ndarray, j: np.ndarray, ids: np.ndarray, weight: np.ndarray) ->
 def _pivots(points: DataFrame) -> tuple[dict[tuple[int, int], np.ndarray], list]:
     """Pivots of labels with more than a block, and the distances between them; both of bounded size."""
     counts = points.groupBy("label", "dim").count().where(F.col("count") > BLOCK).orderBy(F.desc("count"), "label", "dim").limit(PIVOTS // 2).collect()
-    budget, want = PIVOTS, {}
+    budget, numbers, want = PIVOTS, NUMBERS, {}
     for r in counts:
-        k = min(LABEL_PIVOTS, -(-r["count"] // BLOCK), budget, (16 << 20) // (8 * r.dim))
+        k = min(LABEL_PIVOTS, -(-r["count"] // BLOCK), budget, numbers // (PER_PIVOT * r.dim))
         if k > 1:
             want[(r.label, r.dim)] = (k, min(1.0, PER_PIVOT * k / r["count"]))
             budget -= k
+            numbers -= PER_PIVOT * k * r.dim
     if not want:
         return {}, []
     chosen = F.create_map(*[F.lit(v) for (label, dim), (_, share) in want.items() for v in (f"{label}/{dim}", share)])
     share = F.coalesce(chosen[F.concat_ws("/", "label", "dim")], F.lit(0.0))
-    rows = points.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("label", "dim", "vec_id").limit(2 * PER_PIVOT * PIVOTS).collect()
+    rows = points.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("vec_id"), "label", "dim").limit(2 * PER_PIVOT * sum(k for k, _ in want.values())).collect()
     pivots, apart = {}, []
     for (label, dim), (k, _) in want.items():
         own = [r.embedding for r in rows if r.label == label and r.dim == dim]

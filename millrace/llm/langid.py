@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE, flat_map_rows, fold
+from millrace.llm.common import flat_map_rows, fold, slices
 from millrace.session import ship
 
 WINDOW, WIDTHS, FILTERS, HELD_OUT = 128, (2, 3, 4), 8, (5, 0)
@@ -162,8 +162,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
+            for batch in slices(whole):
                 lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
                 for i, text in enumerate(batch.column(2).to_pylist()) if net else ():
                     if text is None or not LETTER.search(text):
