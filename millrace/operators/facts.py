@@ -1,7 +1,7 @@
 """Deterministic fact rules over structured configuration: ``rule, file, line, note, severity``.
 
 Workflows and manifests come as JSON text (YAML is converted on the way in), Dockerfiles as
-lines. Each rule is one predicate; hits of a file are collapsed by ``aggregates.collapse_hits``.
+lines. Rule ids, notes and severities are fixed values. Each rule is one predicate; hits of a file are collapsed by ``aggregates.collapse_hits``.
 """
 
 from __future__ import annotations

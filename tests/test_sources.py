@@ -29,8 +29,8 @@ def test_log_refs_blame_hunks(spark):
     assert [(x.line, x.author, x.epoch) for x in files.blame(b).orderBy("line").collect()] == [(1, "Ann", 5), (2, "Bob", 6)]
     d = lines(spark, "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -3 +3,2 @@ def\n-x\n+y\n+z\n@@ -9,0 +11 @@\n+w")
     assert [(x.file, x.old_start, x.old_end, x.new_start, x.new_end, x.text) for x in files.hunks(d).orderBy("new_start").collect()] == [("f", 3, 3, 3, 4, "-x\n+y\n+z"), ("f", 9, 8, 11, 11, "+w")]
-    m = spark.createDataFrame([("s1", "t\n\nDrift-Base: abc\n"), ("s2", "none")], "sha string, message string")
-    assert [tuple(x) for x in files.trailers(m, "Drift-Base").collect()] == [("s1", "abc")]
+    m = spark.createDataFrame([("s1", "t\n\nBase-Commit: abc\n"), ("s2", "none")], "sha string, message string")
+    assert [tuple(x) for x in files.trailers(m, "Base-Commit").collect()] == [("s1", "abc")]
     i = spark.createDataFrame([("100644 x 0\ta",), ("120000 x 0\tl",), ("160000 x 0\tm",)], "value string")
     assert [x.kind for x in files.index_listing(i).collect()] == ["file", "link", "module"]
 
