@@ -26,7 +26,7 @@ from millrace.llm.common import flat_map_rows
 from millrace.session import cut, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK, SHARD_SLOTS, ROUNDS, SEED = 128, 2048, 16, 17
+BLOCK, SHARD_SLOTS, SLOTS_PER_TASK, ROUNDS, SEED = 128, 2048, 200_000, 16, 17
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Source tables up to this many rows are broadcast (a row has under 200 bytes), larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -116,11 +116,13 @@ def slots(spark, planned: list[dict], seed: int = SEED) -> DataFrame:
                 yield pd.DataFrame({"shard": shard, "src": at.astype(np.int32), "n": counts[at]})
 
     ship(spark)
-    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    drawn = spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, src int, n long") if total else spark.createDataFrame([], "shard long, src int, n long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(0, shards, 1, min(shards, parts)).mapInPandas(draw, "shard long, src int, n long") if total else spark.createDataFrame([], "shard long, src int, n long")
     drawn = running_start(drawn.withColumn("bucket", F.floor(F.col("shard") / 256)), "src", "bucket", ["shard"], "n", "first")
     got = {r.src: r.n for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
-    every = drawn.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    # a drawn row stands for many slots: dealt out by number of slots, not by its few bytes
+    dealt = drawn.select("shard", "src", "first", "n").repartition(max(parts, total // SLOTS_PER_TASK), "shard", "src")
+    every = dealt.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     # the draws' excess over each quota, in order, is handed to the sources that are short
     excess, start, short, at = [], 0, [], 0
     for s, q in enumerate(quota.tolist()):
