@@ -29,6 +29,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (the pattern also finds numerals such as superscripts)."""
+    m = LETTER.search(text)
+    return bool(m) and (m[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def windows(raw: bytes) -> np.ndarray:
     """The bytes as rows of ``WINDOW``, the last padded with zeros."""
     n = -(-len(raw) // WINDOW)
@@ -140,7 +146,7 @@ def training(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.nda
         def one(i, lang, text):
             x = windows(text.encode("utf-8", "surrogatepass").translate(LOWER))
             at = sorted({int(k) for k in np.linspace(0, len(x) - 1, CROPS)}) if len(x) else []
-            return [(i, n, lang, x[n].tobytes()) for n in at] if LETTER.search(text) else []
+            return [(i, n, lang, x[n].tobytes()) for n in at] if has_letter(text) else []
 
         return one
 
@@ -177,7 +183,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             for batch in slices(whole):
                 lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
                 for i, text in enumerate(batch.column(2).to_pylist()) if net else ():
-                    if text is None or not LETTER.search(text):
+                    if text is None or not has_letter(text):
                         continue
                     raw = text.encode("utf-8", "surrogatepass").translate(LOWER)
                     z, opens, n = np.zeros(len(net.classes)), 0.0, -(-len(raw) // WINDOW)

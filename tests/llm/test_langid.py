@@ -50,7 +50,7 @@ def test_gradient_is_the_slope_of_the_loss():
 def test_whole_text_counts(spark):
     net = langid.Network(["x", "y"])
     text = "a" * 5000 + "zq" * 5000
-    docs = spark.createDataFrame([(0, text), (1, text[:5000]), (2, None), (3, "12 34 !"), (4, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, text), (1, text[:5000]), (2, None), (3, "12 34 ! ² ½"), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in langid.predict(docs, net).collect()}
     assert got[0].score != got[1].score
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (2, 3, 4))
