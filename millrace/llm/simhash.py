@@ -10,43 +10,92 @@ fingerprints within 2 bits always share such a key (change one differing bit in
 and an entry holds at most 65 different fingerprints, however large a group of near
 copies is; a key of one bare segment would hold the whole group. What a table entry
 gathers is linked to its smallest fingerprint and the complete distance is verified.
+
+Near copies (``near_copies``, which the pipeline takes out) are texts whose sets of
+``COPY_SHINGLE``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. Their
+fingerprints differ by up to a dozen bits, where no multi-index search is selective; so
+candidates meet by ``BANDS`` min-hash bands as well as by links, and each is confirmed
+on the texts themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, map_rows
+from millrace.llm.common import components, flat_map_rows, map_rows
 from millrace.session import cut
 
 SEGMENTS, BITS, SHINGLE, SEED = 4, 64, 3, 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit integer; no words or null: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0
+#: Words of a shingle and least similarity of near copies. Two texts at 0.8 share a band with a probability of 0.9996.
+COPY_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 20, 5
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+FACTORS, TERMS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], size: int, step: int = 65536) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of at least one word, repeats included, at most ``step`` at a time; fewer words than ``size``: all of them are one."""
     whole = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    k = max(1, len(words) - SHINGLE + 1)
+    k = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    lasts = (ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]) - 1
-    votes, n = np.zeros(BITS, np.int64), 0
+    lasts = (ends[size - 1 :] if len(words) >= size else ends[-1:]) - 1
     firsts, lasts = starts[:k].tolist(), lasts.tolist()
-    for at in range(0, k, 65536):  # bounds memory for very long texts
-        h = np.fromiter((digest(whole[a:b], SEED) for a, b in zip(firsts[at : at + 65536], lasts[at : at + 65536], strict=True)), "<u8")
+    for at in range(0, k, step):  # bounds memory for very long texts
+        n = len(firsts[at : at + step])
+        yield np.fromiter((digest(whole[a:b], SEED) for a, b in zip(firsts[at : at + step], lasts[at : at + step], strict=True)), "<u8", n)
+
+
+def fingerprint_of(words: list[bytes]) -> int:
+    if not words:
+        return 0
+    votes, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(words, SHINGLE):
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     bits = np.packbits(2 * votes > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The fingerprint as a signed 64-bit integer; no words or null: 0."""
+    return fingerprint_of(words_of(text))
+
+
+def node_of(words: list[bytes]) -> int:
+    """What texts of the same words, case of A-Z aside, have in common."""
+    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def bands_of(words: list[bytes]) -> list[int]:
+    """A hash of each band of the text's min-hashes; none for no words."""
+    if not words:
+        return []
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for h in shingle_hashes(words, COPY_SHINGLE, 2048):
+        np.minimum(low, (h.astype(np.uint64) * FACTORS + TERMS).min(axis=1), out=low)
+    return [xxhash.xxh64_intdigest(band.tobytes(), seed=k) - (1 << 63) for k, band in enumerate(low.reshape(BANDS, BAND_ROWS))]
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """The Jaccard similarity of the two texts' sets of ``COPY_SHINGLE``-word shingles; of no words and no words 1."""
+    x, y = (np.unique(np.concatenate([*shingle_hashes(w, COPY_SHINGLE)])) if (w := words_of(t)) else np.zeros(0, np.uint64) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / n if (n := len(x) + len(y) - both) else 1.0
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp)`` for each row; one pass over the texts, no shuffle."""
     return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), lambda: lambda i, t: (i, fingerprint(t)), "doc_id long, fp long")
@@ -78,13 +127,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(linked, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
+def candidates(distinct: DataFrame) -> DataFrame:
+    """``(u, v)``, u < v: nodes that may be near copies; ``distinct(node, fp, bands)`` holds each node once.
+
+    Those that share a band meet its smallest and its largest node and those of linked
+    fingerprints the smallest of theirs, so pairs grow with a group's size and not its square.
+    """
+    banded = distinct.select("node", F.explode("bands").alias("band"))
+    ends = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = banded.join(ends, "band").select("node", F.explode(F.array("low", "high")).alias("hub"))
+    lowest = cut(distinct.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = distinct.join(lowest, "fp").select("node", "hub")
+    one, two = (lowest.select(F.col("fp").alias(x), F.col("hub").alias(n)) for x, n in (("u", "node"), ("v", "hub")))
+    linked = links(lowest.select("fp")).join(one, "u").join(two, "v").select("node", "hub")
+    every = met.union(same).union(linked).where("node <> hub")
+    return every.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose texts are alike."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = map_rows(docs.select("text"), lambda: lambda t: (node_of(words_of(t)), t), "node long, text string")
+    texts = cut(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(t)) for x, t in (("u", "a"), ("v", "b")))
+
+    def make():
+        return lambda u, v, a, b: [(u, v)] if similarity(a, b) >= SIMILARITY else []
+
+    return flat_map_rows(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b"), make, "u long, v long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, component_id`` (the smallest doc_id reachable by near copies); null keys as in ``near_duplicates``."""
+
+    def make():
+        def one(i, t):
+            words = words_of(t)
+            return i, node_of(words), fingerprint_of(words), bands_of(words)
+
+        return one
+
+    prints = cut(map_rows(docs.select("doc_id", "text"), make, "doc_id long, node long, fp long, bands array<long>"))
+    distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    roots = components(confirmed(docs, cut(candidates(distinct)))).withColumnRenamed("node", "_node")
+    rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
+    return prints.join(linked, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest doc_id.
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id.
 
     Of rows that repeat that doc_id one stays, the first by a hash of the row; rows with
     a null doc_id cannot be told apart by it and all stay. All columns stay.
     """
-    survivors = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    survivors = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     once = row.join(survivors, "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     every = once.select("row").unionByName(row.where("doc_id is null").select("row"))

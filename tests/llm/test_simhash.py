@@ -76,3 +76,33 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 4, 6]
     assert simhash.keep_one(no_docs).collect() == []
+
+
+def plain_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_are_those_of_five_word_shingles(spark):
+    import random
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice((40, 120, 400)))]
+        texts.append(words)
+        for share in (0.005, 0.01, 0.02, 0.04, 0.1):
+            texts.append([f"x{r.randrange(5000)}" if r.random() < share else w for w in words])
+    texts = [" ".join(w) for w in texts] + ["Two words", "two  WORDS", "", " "]
+    root = list(range(len(texts)))
+    far = 0
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if plain_similarity(a, b) >= 0.8:
+                far += ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) % (1 << 64)).bit_count() > 2
+                x, y = root[i], root[j]
+                root = [min(x, y) if k in (x, y) else k for k in root]
+    assert far > 10  # pairs that links of two bits do not hold
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()} == dict(enumerate(root))
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == sorted(set(root))
