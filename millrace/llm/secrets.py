@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and Shannon entropy in windows that slide over candidate strings.
 
 Spans are in code points, end exclusive. ``base`` spans come from the three patterns;
-``entropy`` spans are candidate strings (runs of one token alphabet) in which some
-window of a character class has an entropy over that class's threshold. The entropy of
-successive windows is kept by incremental counts: one symbol leaves, one enters.
+``entropy`` spans are candidate strings (runs of one token alphabet, less the base spans in
+them) in which some window has an entropy over the threshold of the window's own character
+class. The entropy and class of successive windows are kept by incremental counts: one
+symbol leaves, one enters.
 Allow-listed strings (digests with a known prefix, UUIDs, versions, paths, words)
 are suppressed. Null texts are empty; a text of any length is scanned whole.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ DIGIT = re.compile(r"[0-9]")
 WINDOW = 20
 #: Bits a character that a window of each class must reach (the most that 20 characters allow is 4.32).
 THRESHOLD = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Allow list: whole candidates of these forms are no secrets.
+#: Allow list: whole candidates of these forms, and whole parts between base spans, are no secrets.
 ALLOW = [
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
     re.compile(r"[0-9]+([-_/=+][0-9]+)*"),  # numbers, dates
@@ -42,33 +44,38 @@ ALLOW = [
 ]
 
 
-def window_entropy(s: str, width: int = WINDOW) -> float:
-    """The largest Shannon entropy (bits a character) of any ``width``-character window of ``s``."""
+#: What a character is to a window's class: digit, a-f, A-F, another letter, a sign.
+SORT = {c: n for n, cs in enumerate(("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in cs}
+
+
+def windows(s: str, width: int = WINDOW) -> Iterator[tuple[float, str]]:
+    """Shannon entropy (bits a character) and class of each ``width``-character window of ``s``."""
     width = min(width, len(s))
     if not width:
-        return 0.0
+        return
     term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
+    sorts = [0] * 5
     total = 0.0  # the sum of c log c over the counts
-    best = 0.0
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
         total += term[c + 1] - term[c]
         counts[ch] = c + 1
+        sorts[SORT.get(ch, 4)] += 1
         if i >= width:
             out = s[i - width]
             c = counts[out]
             total += term[c - 1] - term[c]
             counts[out] = c - 1
+            sorts[SORT.get(out, 4)] -= 1
         if i >= width - 1:
-            best = max(best, math.log2(width) - total / width)
-    return best
+            _, low, high, letter, sign = sorts
+            yield math.log2(width) - total / width, "base64" if sign else "alnum" if letter or (low and high) else "hex"
 
 
-def character_class(s: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return "hex"
-    return "alnum" if s.isalnum() else "base64"
+def window_entropy(s: str, width: int = WINDOW) -> float:
+    """The largest Shannon entropy (bits a character) of any ``width``-character window of ``s``."""
+    return max((e for e, _ in windows(s, width)), default=0.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,14 +91,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of high entropy that no base span overlaps."""
-    found = []
+    """Candidates of high entropy, and the parts that base spans leave of a candidate, of ``WINDOW`` characters or more; ``base`` is sorted."""
+    found, first = [], 0
     for m in CANDIDATE.finditer(text):
-        s, a, b = m[0], m.start(), m.end()
-        if not DIGIT.search(s) or any(x < b and a < y for x, _, y in base) or any(p.fullmatch(s) for p in ALLOW):
+        s, at, end = m[0], m.start(), m.end()
+        if not DIGIT.search(s) or any(p.fullmatch(s) for p in ALLOW):
             continue
-        if window_entropy(s) >= THRESHOLD[character_class(s)]:
-            found.append((a, 3, b))
+        parts = []
+        while first < len(base) and base[first][2] <= at:
+            first += 1
+        k = first
+        while k < len(base) and base[k][0] < end:
+            parts.append((at, base[k][0]))
+            at, k = max(at, base[k][2]), k + 1
+        for a, b in [*parts, (at, end)]:
+            if b - a >= WINDOW and DIGIT.search(s := text[a:b]) and not any(p.fullmatch(s) for p in ALLOW) and any(e >= THRESHOLD[c] for e, c in windows(s)):
+                found.append((a, 3, b))
     return found
 
 
