@@ -157,32 +157,38 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return flat_map_rows(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b"), make, "u long, v long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, component_id`` (the smallest doc_id reachable by near copies); null keys as in ``near_duplicates``."""
+def near_copies(docs: DataFrame, *extra: F.Column) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, component_id`` (the smallest doc_id reachable by near copies), ``root`` (the component's own number) and ``extra`` columns.
+
+    Null keys as in ``near_duplicates``; components whose rows all lack a key differ by ``root``.
+    """
 
     def make():
-        def one(i, t):
+        def one(i, t, *more):
             words = words_of(t)
-            return i, node_of(words), fingerprint_of(words), bands_of(words)
+            return i, node_of(words), fingerprint_of(words), bands_of(words), *more
 
         return one
 
-    prints = cut(map_rows(docs.select("doc_id", "text"), make, "doc_id long, node long, fp long, bands array<long>"))
+    own = docs.select("doc_id", "text", *extra)
+    more = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:]]
+    prints = cut(map_rows(own, make, ", ".join(["doc_id long", "node long", "fp long", "bands array<long>", *more])))
     distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     roots = components(confirmed(docs, cut(candidates(distinct)))).withColumnRenamed("node", "_node")
     rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    linked = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
-    return prints.join(linked, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id", "root")
+    return prints.join(linked, F.col("node") == F.col("_node")).select("doc_id", "component_id", "root", *own.columns[2:])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays, the first by a hash of the row; rows with
-    a null doc_id cannot be told apart by it and all stay. All columns stay.
+    Of rows that repeat that doc_id, or of a group without any, the first by a hash of
+    the row stays; other rows of the same doc_id stay where they are no near copies. All columns stay.
     """
-    survivors = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    once = row.join(survivors, "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    every = once.select("row").unionByName(row.where("doc_id is null").select("row"))
-    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_hash", F.xxhash64("row"))
+    found = near_copies(docs, F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("f"))
+    chosen = first.select(F.col("f.doc_id").alias("_id"), F.col("f._hash").alias("_h"))
+    once = row.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi").groupBy("doc_id", "_hash").agg(F.first("row").alias("row"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -106,3 +106,10 @@ def test_near_copies_are_those_of_five_word_shingles(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()} == dict(enumerate(root))
     assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(7, one), (7, two), (7, one), (3, two), (None, three), (None, three), (None, one), (None, "alone")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, two), (7, one), (None, three), (None, "alone")], key=str)
