@@ -1,18 +1,19 @@
-"""Main text of HTML pages, with a host suffix array for what the markup leaves open.
+"""Main text of HTML pages, with a host's table of repeated runs for what the markup leaves open.
 
 A page is read once into blocks, each in a zone: ``article`` (inside such an element),
 ``main`` (inside what is marked as the main part), ``chrome`` (menus, headers, footers, asides,
 forms, notices, adverts, comments, by element, role, class or id) or ``open`` (none of these).
 A page with text in articles, or else in its main part, is decided by its markup;
 text there stays even if other pages repeat it, as articles share licence lines and
-passages. A page without is decided by its host's suffix array: the token streams outside
-articles of all the host's pages are laid end to end, their suffixes sorted by the first
-``RUN`` tokens, and every run that stands on two or more different pages is boilerplate;
-what no such run covers of its open blocks is kept.
-
-The array is distributed: suffixes meet by a hash of host and first tokens, equal streams
-are counted before they are cut up, and smallest and largest page are combined before the
-shuffle, so a host with a third of all pages is no group of its own.
+passages. A page without is decided by its host's repeated runs: a run of ``RUN`` tokens
+or more that stands on two or more different pages, outside articles, is boilerplate. An
+open block goes if such runs cover all of it; one that only shares phrases stays whole.
+
+No suffixes are sorted. The tokens that common prefixes of ``RUN`` or more cover, between
+suffixes of different pages in a suffix array, are those of the ``RUN``-token windows that
+stand on two pages, and windows are found by grouping on a hash of host and tokens: equal
+streams are counted before they are cut up, and smallest and largest page are combined
+before the shuffle, so a host with a third of all pages is no group of its own.
 """
 
 from __future__ import annotations
@@ -176,14 +177,14 @@ def undecided(found: list[tuple[str, str]]) -> bool:
     return any(z == "open" for z, _ in found) and not any(z in ("article", "main") for z, _ in found)
 
 
-def kept_runs(found: list[tuple[str, str]], covered: set[int]) -> str:
-    """The open blocks without covered tokens; ``covered`` counts tokens through the page's single stream."""
+def kept_blocks(found: list[tuple[str, str]], covered: set[int]) -> str:
+    """The open blocks that are not covered whole; ``covered`` counts tokens through the page's single stream."""
     out, at = [], 0
     for zone, text in found:
-        words = text.split(" ")
-        if zone == "open" and (left := [w for k, w in enumerate(words, at) if k not in covered]):
-            out.append(" ".join(left))
-        at += len(words)
+        n = text.count(" ") + 1
+        if zone == "open" and not covered.issuperset(range(at, at + n)):
+            out.append(text)
+        at += n
     return "\n\n".join(out)
 
 
@@ -229,8 +230,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. Pages without article text and without
     repeated runs keep all their open blocks. Null ids, null URLs (host: empty) and
-    repeated rows are handled like any other; equal rows are one page to the suffix
-    array. Extra columns are ignored.
+    repeated rows are handled like any other; equal rows are one page to the
+    table of runs. Extra columns are ignored.
     """
     own = pages.select("page_id", "url", "html")
 
@@ -261,7 +262,7 @@ def extract(pages: DataFrame) -> DataFrame:
         def one(i, url, found, at):
             found = [tuple(b) for b in found]
             n = sum(len(t.split(" ")) for _, t in found)
-            text = kept_runs(found, {k + j for k in at or () for j in range(min(RUN, n))})
+            text = kept_blocks(found, {k + j for k in at or () for j in range(min(RUN, n))})
             return [(i, url, text, len(text))]
 
         return one

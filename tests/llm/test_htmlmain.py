@@ -53,3 +53,33 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {r.page_id: r.text for r in got}[2] == "open text"
     assert {r.page_id: r.n_chars for r in got}[3] == 20_000 * 6 - 2
     assert bag(htmlmain.extract(df.limit(0))) == []
+
+
+def test_prose_that_shares_phrases_stays_whole(spark):
+    one = "In the spring the river rose as a matter of fact and nobody could cross it for a week"
+    two = "The council met on Monday and as a matter of fact and law it could not decide anything"
+    line = "All rights kept by the h house"
+    rows = [(k, f"http://h.org/{k}", page(f"<p>{t}</p><div>{line}</div>")) for k, t in enumerate((one, two))]
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: one, 1: two}
+
+
+def test_runs_cover_what_a_sorted_suffix_array_does(spark):
+    import random
+
+    r = random.Random(2)
+    phrases = [[r.choice("abcdefgh") for _ in range(r.randint(2, 12))] for _ in range(12)]
+    texts = [[w for _ in range(8) for w in r.choice([*phrases, [f"u{i}x{r.random()}"]])] for i in range(6)]
+    suffixes = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t)))
+    want = {i: set() for i in range(6)}
+    for n, (s, i, k) in enumerate(suffixes):
+        for step in (-1, 1):  # the nearest suffix of another page on each side shares most
+            m = n + step
+            while 0 <= m < len(suffixes) and suffixes[m][1] == i:
+                m += step
+            if 0 <= m < len(suffixes):
+                common = next((j for j, (x, y) in enumerate(zip(s, suffixes[m][0], strict=False)) if x != y), min(len(s), len(suffixes[m][0])))
+                want[i] |= set(range(k, k + common)) if common >= htmlmain.RUN else set()
+    df = spark.createDataFrame([(i, "http://h/", page(f"<p>{' '.join(t)}")) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {x.stream: {k + j for k in x.covered for j in range(htmlmain.RUN)} for x in htmlmain.repeated_runs(df).collect()}
+    assert any(want.values()) and {i: got.get(" ".join(t), set()) for i, t in enumerate(texts)} == want
