@@ -8,6 +8,7 @@ text there stays even if other pages repeat it, as articles share licence lines
 passages. A page without is decided by its host's repeated runs: a run of ``RUN`` tokens
 or more that stands on two or more different pages, outside articles, is boilerplate. An
 open block goes if such runs cover all of it; one that only shares phrases stays whole.
+Blocks of a main part that stand beside articles are judged in the same way.
 
 No suffixes are sorted. The tokens that common prefixes of ``RUN`` or more cover, between
 suffixes of different pages in a suffix array, are those of the ``RUN``-token windows that
@@ -156,6 +157,17 @@ def main_text(found: list[tuple[str, str]]) -> str:
     return "\n\n".join(t for z, t in found if z == zone)
 
 
+GAP = "\0"
+
+
+def judged(found: list[tuple[str, str]]) -> str | None:
+    """The zone that the markup leaves open: what a main part has beside articles, open blocks of a page without either."""
+    zones = {z for z, _ in found}
+    if "article" in zones:
+        return "main" if "main" in zones else None
+    return "open" if "open" in zones and "main" not in zones else None
+
+
 def host(url: str | None) -> str:
     m = re.search(r"://([^/?#]*)", url or "")
     return m[1].lower() if m else ""
@@ -173,18 +185,26 @@ def streams(found: list[tuple[str, str]]) -> list[str]:
     return out
 
 
-def undecided(found: list[tuple[str, str]]) -> bool:
-    return any(z == "open" for z, _ in found) and not any(z in ("article", "main") for z, _ in found)
+def whole_stream(found: list[tuple[str, str]]) -> str:
+    """All text outside articles, each row of article blocks one ``GAP``."""
+    out: list[str] = []
+    for zone, text in found:
+        if zone != "article":
+            out.append(text)
+        elif out[-1:] != [GAP]:
+            out.append(GAP)
+    return " ".join(out)
 
 
 def kept_blocks(found: list[tuple[str, str]], covered: set[int]) -> str:
-    """The open blocks that are not covered whole; ``covered`` counts tokens through the page's single stream."""
-    out, at = [], 0
+    """Article blocks, and those of the judged zone that are not covered whole; ``covered`` counts tokens through ``whole_stream``."""
+    out, at, before, zone_ = [], 0, "", judged(found)
     for zone, text in found:
-        n = text.count(" ") + 1
-        if zone == "open" and not covered.issuperset(range(at, at + n)):
+        n = 1 if zone == "article" else text.count(" ") + 1
+        if zone == "article" or (zone == zone_ and not covered.issuperset(range(at, at + n))):
             out.append(text)
-        at += n
+        at += 0 if zone == before == "article" else n
+        before = zone
     return "\n\n".join(out)
 
 
@@ -200,13 +220,13 @@ def grams(stream: str) -> list[int]:
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
-    """``host, stream, covered``: streams of hosts with an undecided page and the tokens that repeated runs cover."""
+    """``host, stream, covered``: streams of hosts with a page that has a judged zone and the tokens that repeated runs cover."""
 
     def make():
         def one(i, url, page):
             found = blocks(page)
-            open_, key = undecided(found), page_hash(i, url, page)
-            return [(host(url), s, key, open_) for s in streams(found)]
+            open_, key = judged(found) is not None, page_hash(i, url, page)
+            return [(host(url), s, key, open_) for s in ([whole_stream(found)] if open_ else streams(found))]
 
         return one
 
@@ -228,8 +248,8 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: ``page_id, url, text, n_chars``.
 
-    Null or empty html gives an empty text. Pages without article text and without
-    repeated runs keep all their open blocks. Null ids, null URLs (host: empty) and
+    Null or empty html gives an empty text. Judged blocks that no
+    repeated runs cover all stay. Null ids, null URLs (host: empty) and
     repeated rows are handled like any other; equal rows are one page to the
     table of runs. Extra columns are ignored.
     """
@@ -238,7 +258,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def decided():
         def one(i, url, page):
             found = blocks(page)
-            if undecided(found):
+            if judged(found):
                 return []
             text = main_text(found)
             return [(i, url, text, len(text))]
@@ -248,7 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def left_open():
         def one(i, url, page):
             found = blocks(page)
-            return [(i, url, host(url), [list(b) for b in found], " ".join(t for _, t in found))] if undecided(found) else []
+            return [(i, url, host(url), [list(b) for b in found], whole_stream(found))] if judged(found) else []
 
         return one
 
@@ -256,15 +276,15 @@ def extract(pages: DataFrame) -> DataFrame:
     done = flat_map_rows(own, decided, schema)
     rest = flat_map_rows(own, left_open, "page_id long, url string, host string, blocks array<array<string>>, stream string")
     runs = repeated_runs(own).select(F.col("host").alias("_h"), F.col("stream").alias("_s"), "covered")
-    judged = rest.join(runs, (F.col("host") == F.col("_h")) & (F.col("stream") == F.col("_s")), "left").select("page_id", "url", "blocks", "covered")
+    with_runs = rest.join(runs, (F.col("host") == F.col("_h")) & (F.col("stream") == F.col("_s")), "left").select("page_id", "url", "blocks", "covered")
 
     def keep():
         def one(i, url, found, at):
             found = [tuple(b) for b in found]
-            n = sum(len(t.split(" ")) for _, t in found)
+            n = whole_stream(found).count(" ") + 1
             text = kept_blocks(found, {k + j for k in at or () for j in range(min(RUN, n))})
             return [(i, url, text, len(text))]
 
         return one
 
-    return done.unionByName(flat_map_rows(judged, keep, schema))
+    return done.unionByName(flat_map_rows(with_runs, keep, schema))

@@ -83,3 +83,12 @@ def test_runs_cover_what_a_sorted_suffix_array_does(spark):
     df = spark.createDataFrame([(i, "http://h/", page(f"<p>{' '.join(t)}")) for i, t in enumerate(texts)], "page_id long, url string, html string")
     got = {x.stream: {k + j for k in x.covered for j in range(htmlmain.RUN)} for x in htmlmain.repeated_runs(df).collect()}
     assert any(want.values()) and {i: got.get(" ".join(t), set()) for i, t in enumerate(texts)} == want
+
+
+def test_main_text_beside_articles_stays_unless_the_host_repeats_it(spark):
+    line = "Subscribe to the letter of the h house"
+    body = lambda k: f"<main><p>Main words of page {k} itself</p><article><p>Teaser {k}</p><p>more</p></article><p>{line}</p><p>Closing words of page {k} itself</p></main>"
+    rows = [(k, f"http://h.org/{k}", page(body(k))) for k in range(3)] + [(3, "http://other.org/", page(body(3)))]
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda k, *between: "\n\n".join([f"Main words of page {k} itself", f"Teaser {k}", "more", *between, f"Closing words of page {k} itself"])
+    assert got == {0: own(0), 1: own(1), 2: own(2), 3: own(3, line)}
