@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and Shannon entropy in windows that slide over candidate strings.
 
 Spans are in code points, end exclusive. ``base`` spans come from the three patterns;
-``entropy`` spans are candidate strings (runs of one token alphabet, less the base spans in
-them) in which some window has an entropy over the threshold of the window's own character
-class. The entropy and class of successive windows are kept by incremental counts: one
-symbol leaves, one enters.
-Allow-listed strings (digests with a known prefix, UUIDs, versions, paths, words)
-are suppressed. Null texts are empty; a text of any length is scanned whole.
+``entropy`` spans are parts of candidate strings (runs of one token alphabet, cut where base
+spans begin and end) in which some window has an entropy over the threshold of the window's
+own character class. Parts inside base spans are judged as well: an entropy span there says
+which string of a match is random and where it lies. The entropy and class of successive
+windows are kept by incremental counts: one symbol leaves, one enters.
+Allow-listed strings (digests with a known prefix, UUIDs, versions, paths, words in ordinary
+or camel case, access ids, which are names) are suppressed. Null texts are empty; a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -28,18 +29,20 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 12, 18, 16
 KINDS = ("assign", "access", "hex", "entropy")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Candidate strings: 20 or more characters of the token alphabet with a digit among them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
-WINDOW = 20
-#: Bits a character that a window of each class must reach (the most that 20 characters allow is 4.32).
-THRESHOLD = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+#: Candidate strings: 16 or more characters of the token alphabet; windows are of 20 characters, or the whole of a shorter part.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST, WINDOW = 16, 20
+#: Different characters that a class has, as far as they count in a window, and the share of the most bits a character that a window must reach.
+ALPHABET = {"hex": 16, "letters": 52, "alnum": 62, "base64": 64}
+THRESHOLD = {"hex": 0.75, "letters": 0.9, "alnum": 0.833, "base64": 0.88}
 #: Allow list: whole candidates of these forms, and whole parts between base spans, are no secrets.
 ALLOW = [
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
     re.compile(r"[0-9]+([-_/=+][0-9]+)*"),  # numbers, dates
-    re.compile(r"([A-Za-z]+[-_/=+])*[A-Za-z]+[0-9]{0,4}"),  # words, slugs and paths, a short number at the end
+    re.compile(r"[-_/=+]*((([A-Z]?[a-z]+)|[A-Z]+)[-_/=+]+)*(([A-Z]?[a-z]+)|[A-Z]+)?[0-9]{0,4}"),  # words, slugs and paths, a short number at the end
+    re.compile(r"[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+[0-9]{0,4}"),  # camel case
     re.compile(r"(sha1|sha256|sha384|sha512|md5)[-_=/][A-Za-z0-9+/=]+"),  # named digests
+    ACCESS,  # the name of a key, not the key
     re.compile(r"(.)\1+"),  # one character
 ]
 
@@ -69,8 +72,9 @@ def windows(s: str, width: int = WINDOW) -> Iterator[tuple[float, str]]:
             counts[out] = c - 1
             sorts[SORT.get(out, 4)] -= 1
         if i >= width - 1:
-            _, low, high, letter, sign = sorts
-            yield math.log2(width) - total / width, "base64" if sign else "alnum" if letter or (low and high) else "hex"
+            digit, low, high, letter, sign = sorts
+            kind = "base64" if sign else "hex" if not letter and not (low and high) else "alnum" if digit else "letters"
+            yield math.log2(width) - total / width, kind
 
 
 def window_entropy(s: str, width: int = WINDOW) -> float:
@@ -78,6 +82,12 @@ def window_entropy(s: str, width: int = WINDOW) -> float:
     return max((e for e, _ in windows(s, width)), default=0.0)
 
 
+def is_random(s: str) -> bool:
+    """Whether some window reaches its class's share of the most that its width and alphabet allow."""
+    most = {k: THRESHOLD[k] * math.log2(min(WINDOW, len(s), n)) for k, n in ALPHABET.items()}
+    return any(e >= most[k] for e, k in windows(s))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` of the three patterns."""
     found = []
@@ -91,22 +101,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of high entropy, and the parts that base spans leave of a candidate, of ``WINDOW`` characters or more; ``base`` is sorted."""
+    """Parts of candidates, inside and between base spans, of ``LEAST`` characters or more and of high entropy; ``base`` is sorted."""
     found, first = [], 0
+    allowed = lambda s: any(p.fullmatch(s) for p in ALLOW)
     for m in CANDIDATE.finditer(text):
-        s, at, end = m[0], m.start(), m.end()
-        if not DIGIT.search(s) or any(p.fullmatch(s) for p in ALLOW):
+        if allowed(m[0]):
             continue
-        parts = []
+        at, end = m.span()
         while first < len(base) and base[first][2] <= at:
             first += 1
-        k = first
+        k, marks = first, {at, end}
         while k < len(base) and base[k][0] < end:
-            parts.append((at, base[k][0]))
-            at, k = max(at, base[k][2]), k + 1
-        for a, b in [*parts, (at, end)]:
-            if b - a >= WINDOW and DIGIT.search(s := text[a:b]) and not any(p.fullmatch(s) for p in ALLOW) and any(e >= THRESHOLD[c] for e, c in windows(s)):
-                found.append((a, 3, b))
+            marks |= {x for x in (base[k][0], base[k][2]) if at < x < end}
+            k += 1
+        marks = sorted(marks)
+        found += [(a, 3, b) for a, b in zip(marks, marks[1:]) if b - a >= LEAST and not allowed(s := text[a:b]) and is_random(s)]
     return found
 
 

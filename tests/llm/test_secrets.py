@@ -84,3 +84,24 @@ def test_a_window_has_its_own_class():
     r = random.Random(1)
     keys = ["".join(r.choices("0123456789ABCDEF", k=32)) for _ in range(300)]
     assert sum(secrets.scan(f"KEY_{k}")[1] == [(0, 3, 36)] for k in keys) > 295
+
+
+def test_the_method_judges_what_base_patterns_match(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.01"
+    spans = lambda: sum(x.startswith("entropy") for r in queries.op10_secret_scan(spark, sf_dir).collect() for x in r.spans.split(","))
+    texts = [d.text or "" for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert spans() == sum(k == 3 for t in texts for _, k, _ in secrets.scan(t)[1]) > 0
+    monkeypatch.setattr(secrets, "is_random", lambda s: False)
+    assert not any(k == 3 for t in texts for _, k, _ in secrets.scan(t)[1])
+    monkeypatch.undo()
+    # a value without entropy is matched by the pattern and not confirmed
+    assert secrets.scan('token = "aaaaaaaaaaaaaaaaaaaa"')[1] == [(0, 0, 29)]
+    assert secrets.scan('token = "x9F3kQ0zP7LmT2vB8cN4"')[1] == [(0, 0, 29), (9, 3, 29)]
+
+
+def test_strings_without_digits_and_long_texts():
+    found = lambda t: [t[a:b] for a, k, b in secrets.scan(t)[1] if k == 3]
+    assert found("x kJhGfDsApOiUyTrEwQzX y") == ["kJhGfDsApOiUyTrEwQzX"]
+    assert found("getUserAccountSettingsById Donaudampfschiffahrtsgesellschaft thanwhtion_anthrererendanhe UNABHAENGIGKEITSERKLAERUNG") == []
+    many = " ".join(["x9F3kQ0zP7LmT2vB8cN4", "plainwordsofletters"] * 20_000)
+    assert len(found(many)) == 20_000
