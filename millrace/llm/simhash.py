@@ -3,13 +3,17 @@
 Fingerprints: A-Z lower-cased, words of ``[^\\x20\\x09-\\x0D]+``, 3-word shingles with
 repeats, XXH64 (seed 42) of each, majority vote per bit (a tie gives 0).
 
-Links: the 64 bits are cut into ``SEGMENTS`` segments. For each segment every value in
-the Hamming ball of radius 1 about the fingerprint's own is enumerated and looked up in
-that segment's table, whose key also holds the other segments as they are. Two
-fingerprints within 2 bits always share such a key (change one differing bit in each),
-and an entry holds at most 65 different fingerprints, however large a group of near
-copies is; a key of one bare segment would hold the whole group. What a table entry
-gathers is linked to its smallest fingerprint and the complete distance is verified.
+Links: the 64 bits are two segments of 32. Of two fingerprints within 2 bits, either the
+second segments are equal or the first differ by at most one bit; so the balls have radius 1
+in the first segment and 0 in the second (the radii need only sum to bits - segments + 1).
+Each segment's table is keyed by its value; every value in a fingerprint's ball is looked up
+in it, and the complete distance of what it holds is verified.
+
+A group of near copies fills an entry, as all agree in that segment. An entry of more than
+``CROWDED`` fingerprints is therefore not compared pair by pair: those that look it up go to
+a table whose key is the whole value, all other segments included, with the ball of radius 1
+over all 64 bits. Any two within 2 bits share such a key, and it holds at most 65
+fingerprints; each is linked to the smallest.
 
 Near copies (``near_copies``, which the pipeline takes out) are texts whose sets of
 ``COPY_SHINGLE``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. Their
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, flat_map_rows, map_rows
 from millrace.session import cut
 
-SEGMENTS, BITS, SHINGLE, SEED = 4, 64, 3, 42
+BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 2
+#: Radius of the ball in each of the segments; the most fingerprints of a table entry that are compared one by one.
+RADII, CROWDED = (1, 0), 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -101,15 +107,39 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), lambda: lambda i, t: (i, fingerprint(t)), "doc_id long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``(u, v)`` fingerprints within 2 bits whose closure is that of all such pairs; ``distinct(fp)`` holds each once."""
-    width = BITS // SEGMENTS
-    ball = [F.lit(64).cast("tinyint")] + [F.lit(s * width + b).cast("tinyint") for s in range(SEGMENTS) for b in range(width)]
-    flipped = F.expr("case when b = 64 then 0L else shiftleft(1L, cast(b as int)) end")
+def close(a: str, b: str) -> F.Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+
+
+def looked_up(distinct: DataFrame, radii=RADII) -> DataFrame:
+    """``fp, other, crowded``: what fingerprints find in the segments' tables, not yet verified; ``other`` is null for a crowded entry."""
+    width = BITS // len(radii)
+    value = lambda s: F.shiftrightunsigned("fp", (len(radii) - 1 - s) * width).bitwiseAND(F.lit((1 << width) - 1))
+    own = [F.struct(F.lit(s).cast("tinyint").alias("segment"), value(s).alias("value")) for s in range(len(radii))]
+    flips = [F.struct(F.lit(s).cast("tinyint").alias("segment"), value(s).bitwiseXOR(F.lit(1 << b)).alias("value")) for s, r in enumerate(radii) if r for b in range(width)]
+    key = ["segment", "value"]
+    entries = distinct.select("fp", F.inline(F.array(*own)))
+    sizes = entries.groupBy(*key).agg(F.count("*").alias("n"))
+    members = entries.join(sizes.where(F.col("n") <= CROWDED), key).groupBy(*key).agg(F.collect_list("fp").alias("members"))
+    crowded = sizes.where(F.col("n") > CROWDED).select(*key, F.lit(None).cast("array<long>").alias("members"))
+    probes = distinct.select("fp", F.inline(F.array(*own, *flips)))
+    return probes.join(members.union(crowded), key).select("fp", F.explode_outer("members").alias("other"), F.col("members").isNull().alias("crowded"))
+
+
+def whole_values(distinct: DataFrame) -> DataFrame:
+    """``(u, v)`` within 2 bits whose closure is that of all such pairs, by keys of all 64 bits with at most one changed."""
+    ball = [F.lit(BITS).cast("tinyint"), *(F.lit(b).cast("tinyint") for b in range(BITS))]
+    flipped = F.expr(f"case when b = {BITS} then 0L else shiftleft(1L, cast(b as int)) end")
     probes = distinct.select("fp", F.explode(F.array(*ball)).alias("b")).select(F.col("fp").bitwiseXOR(flipped).alias("entry"), "b")
     table = probes.withColumn("fp", F.col("entry").bitwiseXOR(flipped)).withColumn("hub", F.min("fp").over(Window.partitionBy("entry")))
-    verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 2
-    return table.where((F.col("fp") != F.col("hub")) & verified).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    return table.where((F.col("fp") != F.col("hub")) & close("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+
+
+def links(distinct: DataFrame, radii=RADII) -> DataFrame:
+    """``(u, v)`` fingerprints within 2 bits whose closure is that of all such pairs; ``distinct(fp)`` holds each once."""
+    found = cut(looked_up(distinct, radii).where(F.col("crowded") | ((F.col("fp") != F.col("other")) & close("fp", "other"))).distinct())
+    near = found.where("not crowded").select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    return near.union(whole_values(found.where("crowded").select("fp").distinct()))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

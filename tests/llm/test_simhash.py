@@ -113,3 +113,32 @@ def test_repeated_and_null_ids_lose_no_text(spark):
     rows = [(7, one), (7, two), (7, one), (3, two), (None, three), (None, three), (None, one), (None, "alone")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(3, two), (7, one), (None, three), (None, "alone")], key=str)
+
+
+def test_segments_balls_and_verification_carry_the_links(spark, monkeypatch):
+    import random
+
+    from millrace.llm.common import components
+
+    r = random.Random(11)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    # each link differs in one bit of either segment: an exact look-up alone finds none of them
+    base = [r.getrandbits(64) for _ in range(40)]
+    apart = [b ^ (1 << r.randrange(32)) ^ (1 << 32 + r.randrange(32)) for b in base]
+    far = [b ^ 0b10101 for b in base]  # same first segment, three bits away: found in the table, refused by the distance
+    one = spark.createDataFrame([(signed(x),) for x in {*base, *apart, *far}], "fp long")
+    got = {(r.u, r.v) for r in simhash.links(one).collect()}
+    every = sorted({*base, *apart, *far})
+    assert got == {(signed(x), signed(y)) for x in every for y in every if x != y and (x ^ y).bit_count() <= 2}
+    assert len(got) >= 80
+    assert simhash.looked_up(one).where("fp <> other").count() > len(got)
+    assert simhash.links(one, radii=(0, 0)).count() < len(got) - 79
+    # a crowded entry: many share a segment
+    left = r.getrandbits(32) << 32
+    crowd = {left | r.getrandbits(9) for _ in range(400)} | {left ^ (1 << 40) | r.getrandbits(9) for _ in range(5)}
+    monkeypatch.setattr(simhash, "CROWDED", 16)
+    df = spark.createDataFrame([(signed(x),) for x in crowd], "fp long")
+    assert simhash.looked_up(df).where("crowded").count() > 0
+    roots = {r.node: r.root for r in components(simhash.links(df)).collect()}
+    want = closure([(signed(x), x) for x in crowd])
+    assert {x: roots.get(x, x) for x in want} == want
