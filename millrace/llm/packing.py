@@ -1,18 +1,20 @@
 """Packing documents into sequences of a fixed length, by best fit and swap-based local search.
 
 Tokenising gives each document's pieces (length and digest; ids on request), without a
-shuffle. Pieces are dealt by a hash into groups of about ``GROUP`` documents and each group
-is packed in one task: best fit decreasing, then moves, one-for-one, two-for-one and
-one-for-two exchanges out of the emptiest bins, always those that raise the sum of
-squared fills most, until bins empty. The search of a group ends at its lower bound,
-where no exchange helps, or after ``STEPS`` exchanges; no piece is ever dropped.
+shuffle. Pieces are dealt evenly into groups of about ``GROUP`` documents and each group is
+packed in one task: best fit, then swap-based local search. The emptiest bin that is not
+full gives one or two of its pieces to another bin and takes none, one or two back
+(moves, one-for-one, one-for-two, two-for-one): first exchanges that fill the other bin to
+the brim, else the one that raises the sum of squared fills most. The search of a group ends
+at its lower bound or where no exchange of any two bins raises that sum; it looks at all
+pieces of all bins, and no piece is ever dropped.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import flat_map_rows
 from millrace.session import ship
 
-CAPACITY, END, GROUP, STEPS, SLOTS = 1024, 2, 8192, 20_000, 6
+CAPACITY, END, GROUP = 1024, 2, 8192
+#: About so many bytes are a token, to estimate the number of pieces before texts are read as ids.
+TOKEN_BYTES = 4
 VOCABULARY = "byte_bpe_50k"
 #: Characters on which the two tokenizer libraries' patterns surely agree; texts with others take the slower one.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞₠-₿]")
@@ -78,12 +82,12 @@ def tokenised(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY)
     return flat_map_rows(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Best fit decreasing; bins as lists of positions in ``lengths``."""
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, decreasing: bool = True) -> list[list[int]]:
+    """Best fit, of the longest first or in the order given; bins as lists of positions in ``lengths``."""
     bins: list[list[int]] = []
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     present = 0  # bit g: some bin has a gap of g
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in np.argsort(-lengths, kind="stable").tolist() if decreasing else range(len(lengths)):
         n = int(lengths[i])
         fits = present >> n
         if fits:
@@ -101,84 +105,110 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
-    """Exchanges out of the emptiest bins until the lower bound or no gain; ``bins`` is not changed."""
-    bins = [list(b) for b in bins]
-    size = lambda i: int(lengths[i])
-    fill = np.array([sum(map(size, b)) for b in bins], np.int64)
-    need = -(-int(fill.sum()) // capacity)
-    pairs = list(combinations(range(SLOTS), 2))
-    left, right = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
-    big = 4 * capacity
-    one = np.full((len(bins), SLOTS), big, np.int64)  # lengths of some items of each bin, the shortest of different lengths
-
-    def note(b: int) -> None:
-        bins[b].sort(key=size)
-        some = [size(i) for i in bins[b][:SLOTS]]
-        one[b] = some + [big] * (SLOTS - len(some))
-
-    for b in range(len(bins)):
-        note(b)
-    two = one[:, left] + one[:, right]
-    live, stuck = int((fill > 0).sum()), set()
-
-    def gain(out: int, offered: np.ndarray, s: int, gap: np.ndarray) -> tuple[int, tuple[int, ...]]:
-        """The best target for giving ``out`` and taking an entry of ``offered`` (bins by entries) back."""
-        delta = out - offered
-        worth = np.where((delta > 0) & (delta <= gap[:, None]), 2 * delta * (fill[:, None] - fill[s] + delta), -1)
-        worth[s] = -1
-        at = int(worth.argmax())
-        return int(worth.flat[at]), divmod(at, offered.shape[1])
-
-    for _ in range(steps):
-        if live <= need:
-            break
-        order = np.where((fill > 0) & (fill < capacity), fill, big)
-        for b in stuck:
-            order[b] = big
-        s = int(order.argmin())
-        if order[s] == big:
-            break
-        gap = np.where((fill > 0) & (fill >= fill[s]), capacity - fill, -1)
-        none = np.zeros((len(bins), 1), np.int64)
-        best = (0, None)
-        mine = sorted(bins[s], key=size)[-8:]
-        for give in [(i,) for i in mine] + list(combinations(mine, 2)):
-            out = sum(map(size, give))
-            for kind, offered in ((0, none), (1, one), (2, two)):
-                if kind == 2 and len(give) == 2:
-                    continue
-                w, (b, k) = gain(out, offered, s, gap)
-                if w > best[0]:
-                    best = (w, (give, b, kind, k))
-            if len(give) == 1 and best[1] and best[1][2] == 0:
-                break  # a plain move is hard to better
-        if best[1] is None:
-            stuck.add(s)
-            if len(stuck) >= 24:
-                break
-            continue
-        give, b, kind, k = best[1]
-        back = [bins[b][j] for j in ((), (k,), pairs[k] if kind == 2 else ())[kind]]
-        bins[s] = [i for i in bins[s] if i not in give] + back
-        bins[b] = [i for i in bins[b] if i not in back] + list(give)
+class Search:
+    """Local search over the bins of one group; ``run`` gives those that are left."""
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int = CAPACITY):
+        self.size, self.capacity = lengths.tolist(), capacity
+        self.bins = [list(b) for b in bins]
+        self.fill = [sum(self.size[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)  # what is offered of a bin holds for one version of it
+        #: By the most that a bin takes in such an exchange: ``(bin, version, length given back, pieces given back)``.
+        self.offers: list[list[tuple[int, int, int, tuple[int, ...]]]] = [[] for _ in range(2 * capacity + 1)]
+        self.live, self.need = sum(f > 0 for f in self.fill), -(-sum(self.fill) // capacity)
+        for b in range(len(bins)):
+            self._offer(b)
+
+    def _sums(self, b: int) -> dict[int, tuple[int, ...]]:
+        """Pieces for each different length that one or two pieces of the bin have together, and none for 0."""
+        same: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            same.setdefault(self.size[i], []).append(i)
+        out: dict[int, tuple[int, ...]] = {0: ()} | {n: (own[0],) for n, own in same.items()}
+        lengths = sorted(same)
+        for k, n in enumerate(lengths):
+            if len(same[n]) > 1:
+                out.setdefault(2 * n, (same[n][0], same[n][1]))
+            for m in lengths[k + 1 :]:
+                out.setdefault(n + m, (same[n][0], same[m][0]))
+        return out
+
+    def _offer(self, b: int) -> None:
+        gap = self.capacity - self.fill[b]
+        if gap and self.fill[b]:
+            for n, pieces in self._sums(b).items():
+                self.offers[n + gap].append((b, self.version[b], n, pieces))
+
+    def _current(self, most: int) -> list:
+        self.offers[most] = [e for e in self.offers[most] if self.version[e[0]] == e[1]]
+        return self.offers[most]
+
+    def _find(self, s: int) -> tuple[tuple[int, ...], int, tuple[int, ...]] | None:
+        """``(pieces given, bin, pieces taken back)`` of the exchange to make out of bin ``s``."""
+        mine = self._sums(s)
+        del mine[0]
+        outs = sorted(mine, key=lambda n: (len(mine[n]), -n))
+        two = lambda give, back: len(give) == len(back) == 2
+        for out in outs:  # fills the other bin, so it surely raises the sum
+            for b, _, n, back in reversed(self._current(out)):
+                if b != s and n < out and not two(mine[out], back):
+                    return mine[out], b, back
+        best, found = 0, None
+        for out in outs:
+            for most in range(out + 1, 2 * self.capacity + 1):
+                for b, _, n, back in self._current(most) if self.offers[most] else ():
+                    more = out - n
+                    gain = 2 * more * (self.fill[b] - self.fill[s] + more)
+                    if b != s and more > 0 and gain > best and not two(mine[out], back):
+                        best, found = gain, (mine[out], b, back)
+        return found
+
+    def _swap(self, s: int, give: tuple[int, ...], b: int, back: tuple[int, ...]) -> None:
+        more = sum(self.size[i] for i in give) - sum(self.size[i] for i in back)
+        self.bins[s] = [i for i in self.bins[s] if i not in give] + list(back)
+        self.bins[b] = [i for i in self.bins[b] if i not in back] + list(give)
+        self.fill[s] -= more
+        self.fill[b] += more
         for x in (s, b):
-            fill[x] = sum(map(size, bins[x]))
-            note(x)
-            two[x] = one[x, left] + one[x, right]
-        live -= not bins[s]
-        stuck.clear()
-    return [b for b in bins if b]
+            self.version[x] += 1
+            self._offer(x)
+        self.live -= not self.fill[s]
+
+    def run(self) -> list[list[int]]:
+        gained = True
+        while gained and self.live > self.need:
+            gained = False
+            heap = [(f, b) for b, f in enumerate(self.fill) if 0 < f < self.capacity]
+            heapq.heapify(heap)
+            while heap and self.live > self.need:
+                f, s = heapq.heappop(heap)
+                if f != self.fill[s] or not (found := self._find(s)):
+                    continue  # tried anew in the next pass, if this one gains anything
+                give, b, back = found
+                self._swap(s, give, b, back)
+                gained = True
+                for x in (s, b):
+                    if 0 < self.fill[x] < self.capacity:
+                        heapq.heappush(heap, (self.fill[x], x))
+        return [b for b in self.bins if b]
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int = CAPACITY) -> list[list[int]]:
+    """Exchanges out of the emptiest bins until the lower bound or no gain; ``bins`` is not changed."""
+    return Search(lengths, bins, capacity).run()
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(lengths, best_fit(lengths, capacity), capacity)
 
 
-def packed(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: groups by a hash of document and piece, packed one by one."""
+def packed(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``: dealt into so many groups and packed one by one.
+
+    The hash that deals them has a piece's place in its table beside document and digest, so
+    that rows that repeat do not meet in one group.
+    """
     ship(pieces.sparkSession)
-    groups = max(1, -(-n_docs // group))
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
@@ -193,14 +223,17 @@ def packed(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group: int
         return p.assign(sequence_id=sequence, offset=offset).drop(columns="_group")
 
     kind = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.withColumn("doc_id", F.col("doc_id").cast("string")).schema)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(max(1, groups)))
+    dealt = pieces.withColumn("_group", group).withColumn("doc_id", F.col("doc_id").cast("string"))
     return dealt.groupBy("_group").applyInPandas(pack, kind + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one piece of the end token. Null doc_ids and repeated rows are
-    packed as documents of their own; an empty table gives no rows. Extra columns are ignored.
+    packed as documents of their own; an empty table gives no rows. A text of any length is
+    cut whole, and its pieces are dealt over the groups. Extra columns are ignored.
     """
-    return packed(tokenised(docs), docs.count())
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    return packed(tokenised(docs), -(-(size.n + (size.bytes or 0) // (TOKEN_BYTES * CAPACITY)) // group))

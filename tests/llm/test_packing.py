@@ -1,6 +1,7 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -23,20 +24,64 @@ def test_cuts():
 
 def test_local_search_empties_bins():
     r = np.random.default_rng(0)
+    emptied = 0
     for _ in range(20):
         lengths = r.integers(1, r.integers(100, 1024), int(r.integers(1, 400)))
-        first = packing.best_fit(lengths)
+        first, plain = packing.best_fit(lengths), packing.best_fit(lengths, decreasing=False)
         bad = [[i] for i in range(len(lengths))]
-        for bins in (first, packing.local_search(lengths, first), packing.local_search(lengths, bad, steps=3000)):
+        for bins in (first, plain, packing.local_search(lengths, first), packing.local_search(lengths, plain), packing.local_search(lengths, bad)):
             assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
             assert all(lengths[b].sum() <= 1024 for b in bins)
         assert len(packing.local_search(lengths, first)) <= len(first)
-        assert len(packing.local_search(lengths, bad, steps=3000)) < max(2, len(bad))
+        emptied += len(plain) - len(packing.local_search(lengths, plain))
+        least = -(-int(lengths.sum()) // 1024)
+        assert len(packing.local_search(lengths, bad)) <= 1.06 * least + 1
+    assert emptied > 20
+
+
+def test_search_ends_where_no_exchange_helps():
+    """Brute force over all bins and all one or two pieces of each, where the bound is not reached."""
+    from itertools import combinations
+
+    r = np.random.default_rng(4)
+    for _ in range(10):
+        lengths = r.integers(250, 800, 40)
+        bins = packing.local_search(lengths, packing.best_fit(lengths, decreasing=False))
+        if len(bins) <= -(-int(lengths.sum()) // 1024):
+            continue
+        some = lambda b: [(), *((i,) for i in b), *combinations(b, 2)]
+        total = lambda x: int(sum(lengths[i] for i in x))
+        for s in bins:
+            for b in bins:
+                for give in some(s) if b is not s and total(b) < 1024 else ():
+                    for back in some(b) if give else ():
+                        more = total(give) - total(back)
+                        if len(give) < 2 or len(back) < 2:
+                            assert not (0 < more <= 1024 - total(b) and 2 * more * (total(b) - total(s) + more) > 0)
 
 
 def test_one_for_one_and_two_for_one():
-    assert len(packing.local_search(np.array([600, 400, 500, 300, 200]), [[0, 4], [1, 2], [3]], steps=50)) == 2
-    assert len(packing.local_search(np.array([1000, 24, 500, 500, 24]), [[0], [2, 3, 1], [4]], steps=50)) == 2
+    assert len(packing.local_search(np.array([600, 400, 500, 300, 200]), [[0, 4], [1, 2], [3]])) == 2
+    assert len(packing.local_search(np.array([1000, 24, 500, 500, 24]), [[0], [2, 3, 1], [4]])) == 2
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    """A group of copies is many groups of the packing, not one."""
+    docs = spark.createDataFrame([(5, "the same words in every row")] * 3000, "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, group=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3000 and len(sizes) >= 30 and max(sizes.values()) < 160
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 1024 and sorted(o for o, _ in b) == [k * b[0][1] for k in range(len(b))] for b in bins.values())
+
+
+def test_fast_ids_are_the_library_ids_of_every_document():
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.encoder()
+    for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        assert ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
 def test_round_trip_on_a_table(spark, sf_dir):
