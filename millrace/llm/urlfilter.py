@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions, hash prefixes, full digests.
 
-A URL's host gives its suffixes at label boundaries, its path the prefixes that a rule can
-have: up to each ``/``, the whole path, and any other length that some rule's path has.
-Their digests' first ``PREFIX`` hex digits are joined with the rules', the full digests
+A URL's host gives those of its suffixes at label boundaries that have as many labels as
+some rule's host, its path those prefixes that are as long as some rule's path: what a URL
+is expanded into is bounded by the rules, however many labels or slashes it has. The
+digests' first ``PREFIX`` hex digits are joined with the rules', the full digests
 confirmed, and the longest rule wins. All in built-in expressions.
 """
 
@@ -33,8 +34,8 @@ def parts(url: str | Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> tuple[DataFrame, list[int]]:
-    """``prefix, digest, rule, verdict, n_host, n_path`` and the lengths of paths that end inside a segment.
+def rule_table(spark: SparkSession, rules=RULES) -> tuple[DataFrame, list[int], list[int]]:
+    """``prefix, digest, rule, verdict, n_host, n_path``; the numbers of labels of hosts; the lengths of paths.
 
     Of rules for one host and path the last counts.
     """
@@ -43,7 +44,7 @@ def rule_table(spark: SparkSession, rules=RULES) -> tuple[DataFrame, list[int]]:
     frame = spark.createDataFrame(rows, "rule string, h string, p string, verdict string, n_host int, n_path int")
     digest = F.sha2(F.concat_ws("\n", "h", "p"), 256)
     frame = frame.select(F.substr(digest, F.lit(1), F.lit(PREFIX)).alias("prefix"), digest.alias("digest"), "rule", "verdict", "n_host", "n_path")
-    return (F.broadcast(frame) if len(rows) <= BROADCAST_RULES else frame), sorted({len(p) for _, p in last if not p.endswith("/")})
+    return (F.broadcast(frame) if len(rows) <= BROADCAST_RULES else frame), sorted({h.count(".") + 1 for h, _ in last}), sorted({len(p) for _, p in last})
 
 
 def judge(pages: DataFrame, rules=RULES, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
@@ -52,19 +53,17 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", key: str = "pag
     The longest fitting rule wins: longest host, then longest path. No rule: null and
     ``default``. Null and malformed URLs have empty host and path and fit nothing. Repeated
     rows are each judged; extra columns are ignored. An empty rule list judges all by default.
+    URLs of any length are judged whole.
     """
     host, path = parts(F.col(url))
     own = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    table, lengths = rule_table(pages.sparkSession, rules)
+    table, labels, lengths = rule_table(pages.sparkSession, rules)
     # each different host and path is expanded and judged once
     seen = own.where("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    steps = F.split("path", "/", -1)
-    # the path up to each slash; a path without one has none
-    slashes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    others = [F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in lengths]
-    prefixes = F.array_distinct(F.array_compact(F.concat(slashes, F.array(F.col("path"), *others))))
+    n_labels = F.length("host") - F.length(F.translate("host", ".", "")) + 1
+    some = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
+    suffixes = some([F.when(n_labels >= n, F.substring_index("host", ".", -n)) for n in labels])
+    prefixes = some([F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in lengths])
     expressions = seen.select("host", "path", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("host", "path", "h", F.explode("ps").alias("p"))
     own_digest = F.sha2(F.concat_ws("\n", "h", "p"), 256)
     found = expressions.select("host", "path", own_digest.alias("full")).withColumn("prefix", F.substr("full", F.lit(1), F.lit(PREFIX))).join(table, "prefix").where("full = digest")

@@ -42,3 +42,9 @@ def test_whole_table_and_empty(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.op6_url_filter(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_urls_are_expanded_no_further_than_rules_reach(spark):
+    urls = ["http://" + "l." * 20_000 + "net/es/" + "s/" * 20_000, "http://example.com/en/" + "x" * 300_000, "http://" + "a" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert bag(urlfilter.judge(pages)) == sorted([(i, *plain(u)) for i, u in enumerate(urls)], key=str)
