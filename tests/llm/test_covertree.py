@@ -42,7 +42,7 @@ def test_dual_walk_finds_exactly_the_pairs():
         r = np.random.default_rng(seed)
         x, y = (covertree.unit([e for _, e, _ in clustered(int(r.integers(1, 160)), seed + k)]) for k in (0, 1))
         for other in (None, y):
-            i, j = covertree.dual_walk(x, other, 0.98)
+            i, j = covertree.dual_walk(covertree.CoverTree(x), None if other is None else covertree.CoverTree(other), 0.98)
             s = np.einsum("ij,kj->ik", x, x if other is None else y) >= 0.98
             want = set(zip(*np.nonzero(np.triu(s, 1) if other is None else s)))
             assert set(zip(i.tolist(), j.tolist())) == {(int(a), int(b)) for a, b in want} and len(i) == len(want)
@@ -70,3 +70,35 @@ def test_odd_rows(spark):
     assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[9] == (3, 1, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 10, 11, 12)) and got[None] == (0, None, False)
     assert covertree.near_vectors(df.limit(0)).collect() == []
+
+
+def test_trees_are_nested_nets_of_halving_radii_that_cover_their_points():
+    for seed, n in ((1, 300), (2, 40), (3, 1)):
+        x = covertree.unit([e for _, e, _ in clustered(n, seed)])
+        t = covertree.CoverTree(x)
+        assert sorted(t.order.tolist()) == list(range(n))
+        for k in range(len(t.centre)):
+            d = covertree.distance(x[t.centre[k]][None, :], x[t.points(k)])
+            assert abs(d.max() - t.radius[k]) < 1e-6 and t.centre[k] in t.points(k)
+            kids = t.below(k)
+            if t.count[k]:
+                assert sorted(np.concatenate([t.points(c) for c in kids])) == sorted(t.points(k))
+                apart = covertree.distance(x[t.centre[kids]], x[t.centre[kids]])[~np.eye(len(kids), dtype=bool)]
+                assert apart.min() >= t.radius[kids].max() - 1e-6  # centres are further apart than the level's radius, which covers
+        same, ids, weight = covertree.unpacked_tree(covertree.packed_tree(t, x, np.arange(n), np.ones(n, int)))
+        assert np.allclose(same.x, x) and all((getattr(same, f) == getattr(t, f)).all() for f in t.FIELDS) and len(ids) == len(weight) == n
+
+
+def test_radii_prune(monkeypatch):
+    """Of two far clusters no pair is brought to the leaves; without covering radii links are lost."""
+    r = np.random.default_rng(0)
+    x = covertree.unit(np.concatenate([c + 0.02 * r.normal(size=(200, 16)) for c in (np.eye(16)[0], np.eye(16)[1])]))
+    seen = []
+    plain = covertree.distance
+    monkeypatch.setattr(covertree, "distance", lambda a, b: (seen.append(len(a) * len(b)), plain(a, b))[1])
+    t = covertree.CoverTree(x)
+    seen.clear()
+    i, _ = covertree.dual_walk(t, None, 0.9999)
+    assert sum(seen) < 0.5 * 400 * 400
+    t.radius = np.zeros_like(t.radius)
+    assert len(covertree.dual_walk(t, None, 0.9999)[0]) < len(i) or len(i) == 0
