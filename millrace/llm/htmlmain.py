@@ -1,34 +1,48 @@
-"""Main text of HTML pages, with a host's table of repeated runs for what the markup leaves open.
-
-A page is read once into blocks, each in a zone: ``article`` (inside such an element),
-``main`` (inside what is marked as the main part), ``chrome`` (menus, headers, footers, asides,
-forms, notices, adverts, comments, by element, role, class or id) or ``open`` (none of these).
-A page with text in articles, or else in its main part, is decided by its markup;
-text there stays even if other pages repeat it, as articles share licence lines and
-passages. A page without is decided by its host's repeated runs: a run of ``RUN`` tokens
-or more that stands on two or more different pages, outside articles, is boilerplate. An
-open block goes if such runs cover all of it; one that only shares phrases stays whole.
-Blocks of a main part that stand beside articles are judged in the same way.
-
-No suffixes are sorted. The tokens that common prefixes of ``RUN`` or more cover, between
-suffixes of different pages in a suffix array, are those of the ``RUN``-token windows that
-stand on two pages, and windows are found by grouping on a hash of host and tokens: equal
-streams are counted before they are cut up, and smallest and largest page are combined
-before the shuffle, so a host with a third of all pages is no group of its own.
+"""Main text of HTML pages, with a suffix array of each host's repeated runs.
+
+A page is read into blocks, each in a zone: ``article`` (inside such an element), ``main``
+(inside what is marked as the main part), ``fixed`` (elements and roles that never hold main
+text: menus, headers, footers, asides, forms, hidden parts), ``named`` (elements that a class or id
+calls an advert, a notice, a comment and so on) or ``open`` (none of these).
+
+Every page's text outside its articles goes into its host's array, one stream for each part
+of a zone; equal streams of a host count once, with the smallest and largest of their
+pages. Suffixes, as ids of their first ``PREFIX`` tokens, are dealt by host and first
+``RUN`` tokens and sorted; where the common prefix of neighbours is ``RUN`` or more they are one
+interval, and an interval with suffixes of two different pages is a repeated run. Dealing by the first
+``RUN`` tokens cuts the array only where common prefixes are shorter, so no interval is lost, and
+copies of a suffix are one row before they are dealt, so that no passage is a group of its own.
+
+A block whose tokens runs cover whole is boilerplate. Text inside an article, or on a page
+without any inside the marked main part, is protected: articles share licence lines and
+passages, and those stay. Of the rest, blocks of a main part beside articles and, on pages
+without either, ``open`` blocks stay if runs do not cover them whole, so prose that only shares
+phrases is kept. ``named`` blocks that runs leave go by their names, as adverts and comments
+also come once.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import flat_map_rows
-
-RUN = 5
+from millrace.session import cut, ship
+
+#: Tokens of the shortest run, and of a suffix as far as it is sorted.
+RUN, PREFIX = 6, 12
+#: Covered runs are broadcast up to so many numbers (16 bytes each, and 50 for each stream), beyond that joined by page.
+BROADCAST_RUNS = 500_000
+#: Suffixes that a task emits at a time.
+EMIT = 16_384
 #: Elements by role in a page.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -55,21 +69,22 @@ MAIN = frozenset("main content maincontent article-body articlebody article-cont
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
-def is_chrome(name: str, attributes: str, inside_main: bool) -> bool:
+def chrome_zone(name: str, attributes: str, inside_main: bool) -> str | None:
+    """``fixed``, ``named`` or neither."""
     if name in CHROME or (name == "header" and not inside_main):
-        return True
+        return "fixed"
     if not attributes or name in ("html", "body", "main"):
-        return False
-    names = ASIDE if name == "article" else NAMES
+        return None
+    names, zone = ASIDE if name == "article" else NAMES, None
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and any(w in names and not (inside_main and w == "header") for w in re.split(r"[^a-z]+", value)):
-            return True
+            zone = "named"
         if key == "hidden" or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true"):
-            return True
+            return "fixed"
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return "fixed"
+    return zone
 
 
 def is_main(name: str, attributes: str) -> bool:
@@ -84,25 +99,39 @@ def is_main(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, str]]:
-    """``(zone, text)`` of the page's blocks in order; text decoded, white space single."""
+def blocks(page: str | None) -> list[tuple[str, str, int]]:
+    """``(zone, text, part)`` of the page's blocks in order; text decoded, white space single.
+
+    ``part`` numbers the stretches of a page that lie in one zone and, if it is ``fixed`` or ``named``, in one such element.
+    """
     page = page or ""
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # name; article, main and chrome depth outside it
-    article = main = chrome = at = 0
+    stack: list[tuple[str, int, int, str, int]] = []  # name; article and main depth, chrome zone and its number outside it
+    last_blocks: list[int] = []  # places in the stack of elements that an opening tag may end
+    opened: Counter[str] = Counter()
+    article = main = number = chrome_number = at = 0
+    chrome, before, part = "", None, -1
 
     def flush() -> None:
+        nonlocal before, part
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(("chrome" if chrome else "article" if article else "main" if main else "open", text))
+                zone = chrome or ("article" if article else "main" if main else "open")
+                part += (zone, chrome_number) != before
+                before = (zone, chrome_number)
+                out.append((zone, text, part))
             parts.clear()
 
     def close(n: int) -> None:
-        nonlocal article, main, chrome
-        _, article, main, chrome = stack[n]
+        nonlocal article, main, chrome, chrome_number
+        _, article, main, chrome, chrome_number = stack[n]
+        for name, *_ in stack[n:]:
+            opened[name] -= 1
         del stack[n:]
+        while last_blocks and last_blocks[-1] >= n:
+            last_blocks.pop()
 
     while True:
         m = MARKUP.search(page, at)
@@ -124,48 +153,50 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    flush()
-                    close(n)
-                    break
+            if opened[name]:  # each element that is passed here is closed, so this is no search of the whole stack again and again
+                n = len(stack) - 1
+                while stack[n][0] != name:
+                    n -= 1
+                flush()
+                close(n)
             continue
         if name in VOID:
             continue
         ended = {"p"} if name in BLOCKS else set()
         ended |= CLOSES.get(name, set())
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] in ended:
-                close(n)
-                break
-            if stack[n][0] in BLOCKS:
-                break
-        new_chrome, new_main = is_chrome(name, m[3], article + main > 0), is_main(name, m[3])
+        if last_blocks and stack[last_blocks[-1]][0] in ended:
+            close(last_blocks[-1])
+        new_chrome, new_main = chrome_zone(name, m[3], article + main > 0), is_main(name, m[3])
         if new_chrome or new_main or name == "article":
             flush()
-        stack.append((name, article, main, chrome))
+        if name in BLOCKS or name == "option":
+            last_blocks.append(len(stack))
+        stack.append((name, article, main, chrome, chrome_number))
+        opened[name] += 1
         article += name == "article"
         main += new_main
-        chrome += new_chrome
+        if new_chrome and chrome != "fixed" and (not chrome or new_chrome == "fixed"):
+            number += 1
+            chrome, chrome_number = new_chrome, number
     flush()
     return out
 
 
-def main_text(found: list[tuple[str, str]]) -> str:
-    """Text of the articles; without any, of the main part."""
-    zone = "article" if any(z == "article" for z, _ in found) else "main"
-    return "\n\n".join(t for z, t in found if z == zone)
+def protected(found: list[tuple[str, str, int]]) -> str:
+    """The zone whose text stays whatever other pages repeat; none on a page without articles and main part."""
+    zones = {z for z, *_ in found}
+    return "article" if "article" in zones else "main" if "main" in zones else ""
 
 
-GAP = "\0"
+def judged(found: list[tuple[str, str, int]]) -> str:
+    """The zone whose blocks stay unless repeated runs cover them: a main part beside articles, open blocks of a page without either."""
+    return {"article": "main", "main": "", "": "open"}[protected(found)]
 
 
-def judged(found: list[tuple[str, str]]) -> str | None:
-    """The zone that the markup leaves open: what a main part has beside articles, open blocks of a page without either."""
-    zones = {z for z, _ in found}
-    if "article" in zones:
-        return "main" if "main" in zones else None
-    return "open" if "open" in zones and "main" not in zones else None
+def main_text(found: list[tuple[str, str, int]], boilerplate: set[int] | None = None) -> str:
+    """The page's main text in page order; ``boilerplate`` has the numbers of blocks that repeated runs cover. None: protected text alone."""
+    safe, open_ = protected(found), judged(found)
+    return "\n\n".join(t for k, (z, t, _) in enumerate(found) if z == safe or (boilerplate is not None and z == open_ and k not in boilerplate))
 
 
 def host(url: str | None) -> str:
@@ -173,118 +204,192 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def streams(found: list[tuple[str, str]]) -> list[str]:
-    """The text outside articles and main parts, in pieces between them."""
-    out, part = [], []
-    for zone, text in [*found, ("main", "")]:
-        if zone in ("chrome", "open"):
-            part.append(text)
-        elif part:
-            out.append(" ".join(part))
-            part = []
+def streams(found: list[tuple[str, str, int]]) -> list[tuple[int, list[str]]]:
+    """``(number of the first block, texts)`` of the page's parts outside the protected zone."""
+    safe, out, last = protected(found), [], None
+    for k, (zone, text, part) in enumerate(found):
+        if zone != safe:
+            if part != last:
+                out.append((k, []))
+                last = part
+            out[-1][1].append(text)
     return out
 
 
-def whole_stream(found: list[tuple[str, str]]) -> str:
-    """All text outside articles, each row of article blocks one ``GAP``."""
-    out: list[str] = []
-    for zone, text in found:
-        if zone != "article":
-            out.append(text)
-        elif out[-1:] != [GAP]:
-            out.append(GAP)
-    return " ".join(out)
+def digest(*values: object) -> bytes:
+    return xxhash.xxh3_128_digest(repr(values).encode("utf-8", "surrogatepass"))
 
 
-def kept_blocks(found: list[tuple[str, str]], covered: set[int]) -> str:
-    """Article blocks, and those of the judged zone that are not covered whole; ``covered`` counts tokens through ``whole_stream``."""
-    out, at, before, zone_ = [], 0, "", judged(found)
-    for zone, text in found:
-        n = 1 if zone == "article" else text.count(" ") + 1
-        if zone == "article" or (zone == zone_ and not covered.issuperset(range(at, at + n))):
-            out.append(text)
-        at += 0 if zone == before == "article" else n
-        before = zone
-    return "\n\n".join(out)
+def stream_key(url: str | None, texts: list[str]) -> bytes:
+    return digest(host(url), texts)
 
 
-def page_hash(page_id, url, page) -> int:
-    return xxhash.xxh64_intdigest(repr((page_id, url, page)).encode("utf-8", "surrogatepass")) - (1 << 63)
+def token_ids(stream: str) -> np.ndarray:
+    """A 32-bit id of each token; a run of ``RUN`` equal ids is taken for equal tokens."""
+    return np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in stream.split(" ")], ">u4")
 
 
-def grams(stream: str) -> list[int]:
-    """A hash of the first ``RUN`` tokens of each suffix that has as many; a shorter stream is one of its own."""
-    words = stream.split(" ")
-    n = max(1, len(words) - RUN + 1)
-    return [xxhash.xxh64_intdigest(" ".join(words[k : k + RUN]).encode("utf-8", "surrogatepass")) - (1 << 63) for k in range(n)]
+def suffixes(distinct: DataFrame) -> DataFrame:
+    """``host, prefix, stream, at, low, high``: each suffix of ``RUN`` tokens or more of ``distinct(host, stream, text, low, high)``, as ids."""
+    ship(distinct.sparkSession)
+    binary, wide = pa.binary(), 4 * PREFIX
+    schema = pa.schema([("host", pa.int64()), ("prefix", binary), ("stream", binary), ("at", pa.int32()), ("low", binary), ("high", binary)])
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h, key, text, low, high = (c[row].as_py() for c in batch.columns)
+                ids = np.append(token_ids(text), np.zeros(PREFIX, ">u4"))
+                raw, most = ids.tobytes(), len(ids) - PREFIX
+                for start in range(0, most - RUN + 1, EMIT):
+                    at = range(start, min(most - RUN + 1, start + EMIT))
+                    n = len(at)
+                    # a suffix shorter than PREFIX ends with its tokens
+                    prefix = [raw[4 * k : min(4 * k + wide, 4 * most)] for k in at]
+                    columns = ([h] * n, prefix, [key] * n, list(at), [low] * n, [high] * n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
-def repeated_runs(pages: DataFrame) -> DataFrame:
-    """``host, stream, covered``: streams of hosts with a page that has a judged zone and the tokens that repeated runs cover."""
+    return distinct.select("host", "stream", "text", "low", "high").mapInArrow(emit, "host long, prefix binary, stream binary, at int, low binary, high binary")
 
-    def make():
-        def one(i, url, page):
-            found = blocks(page)
-            open_, key = judged(found) is not None, page_hash(i, url, page)
-            return [(host(url), s, key, open_) for s in ([whole_stream(found)] if open_ else streams(found))]
 
-        return one
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Tokens that two prefixes begin with alike."""
+    if a == b:
+        return len(a) // 4
+    return next((k // 4 for k in range(0, min(len(a), len(b)), 4) if a[k : k + 4] != b[k : k + 4]), min(len(a), len(b)) // 4)
 
-    every = flat_map_rows(pages, make, "host string, stream string, page long, open boolean")
-    # equal streams of a host count once, with the smallest and largest of their pages
-    distinct = every.groupBy("host", "stream").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("open").alias("open"))
-    hosts = distinct.where("open").select("host").distinct()
-    distinct = distinct.join(hosts, "host", "left_semi")
 
-    def suffixes():
-        return lambda h, s, low, high, open_: [(h, s if open_ else None, g, k, low, high, len(s.split(" "))) for k, g in enumerate(grams(s))]
+def intervals(array: DataFrame) -> DataFrame:
+    """``host, run, longest``: runs of suffixes in ``array(host, prefix, low, high)`` that stand on two different pages, and their longest common prefix.
 
-    array = flat_map_rows(distinct, suffixes, "host string, stream string, gram long, at int, low long, high long, n int")
-    twice = array.groupBy("host", "gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("host", "gram")
-    hit = array.where("stream is not null").join(twice, ["host", "gram"])
-    return hit.groupBy("host", "stream").agg(F.collect_set("at").alias("covered"))
+    Rows are dealt by host and first ``RUN`` tokens and sorted; one pass over neighbours
+    keeps the open interval's smallest and largest page only.
+    """
+    ship(array.sparkSession)
+    run = F.substring("prefix", 1, 4 * RUN)
+    parts = int(array.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = array.withColumn("run", run).repartition(parts, "host", "run").sortWithinPartitions("host", "prefix").select("host", "prefix", "low", "high")
+    schema = pa.schema([("host", pa.int64()), ("run", pa.binary()), ("longest", pa.int32())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, low, high, longest, out = None, b"", b"", 0, []
+
+        def flush(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for h, prefix, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                common = common_prefix(before[1], prefix) if before and before[0] == h else 0
+                if common >= RUN:
+                    low, high, longest = min(low, a), max(high, b), max(longest, common)
+                else:
+                    if before and low < high:
+                        out.append((before[0], before[1][: 4 * RUN], longest))
+                    low, high, longest = a, b, len(prefix) // 4 if a < b else 0
+                longest = max(longest, len(prefix) // 4 if a < b else 0)
+                before = (h, prefix)
+            if out:
+                yield flush(out)
+                out = []
+        if before and low < high:
+            yield flush([(before[0], before[1][: 4 * RUN], longest)])
+
+    return ordered.mapInArrow(scan, "host long, run binary, longest int")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: ``page_id, url, text, n_chars``.
+def repeated_runs(pages: DataFrame) -> DataFrame:
+    """``stream, covered``: streams with tokens that runs on two pages of their host cover; ``covered`` has the runs' first tokens.
 
-    Null or empty html gives an empty text. Judged blocks that no
-    repeated runs cover all stay. Null ids, null URLs (host: empty) and
-    repeated rows are handled like any other; equal rows are one page to the
-    table of runs. Extra columns are ignored.
+    A stream of fewer than ``RUN`` tokens is a run if another page of the host has it: ``covered`` is then ``[0]``.
     """
-    own = pages.select("page_id", "url", "html")
 
-    def decided():
+    def make():
         def one(i, url, page):
-            found = blocks(page)
-            if judged(found):
-                return []
-            text = main_text(found)
-            return [(i, url, text, len(text))]
+            found, key, h = blocks(page), digest(i, url, page), host(url)
+            number = xxhash.xxh64_intdigest(h.encode("utf-8", "surrogatepass")) - (1 << 63)
+            return [(number, digest(h, texts), " ".join(texts), key) for _, texts in streams(found)]
 
         return one
 
-    def left_open():
-        def one(i, url, page):
-            found = blocks(page)
-            return [(i, url, host(url), [list(b) for b in found], whole_stream(found))] if judged(found) else []
+    every = flat_map_rows(pages, make, "host long, stream binary, text string, page binary")
+    # equal streams of a host count once, with the smallest and largest of their pages
+    distinct = cut(every.groupBy("host", "stream", "text").agg(F.min("page").alias("low"), F.max("page").alias("high")))
+    long = suffixes(distinct)
+    array = long.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = intervals(array).select("host", "run")
+    hit = long.withColumn("run", F.substring("prefix", 1, 4 * RUN)).join(runs, ["host", "run"], "left_semi")
+    covered = hit.groupBy("stream").agg(F.sort_array(F.collect_list("at")).alias("covered"))
+    short = distinct.where(F.size(F.split("text", " ")) < RUN).where("low < high").select("stream", F.array(F.lit(0)).alias("covered"))
+    return covered.union(short)
+
+
+def covered_blocks(texts: list[str], starts: list[int]) -> tuple[list[bool], int]:
+    """Which of a stream's blocks runs cover whole, and the number of tokens that they cover."""
+    sizes = np.array([t.count(" ") + 1 for t in texts])
+    mark = np.zeros(int(sizes.sum()) + 1, np.int64)
+    at = np.asarray(starts, np.int64)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, np.minimum(at + RUN, len(mark) - 1), -1)
+    inside = np.cumsum(mark[:-1]) > 0
+    return [bool(x) for x in np.logical_and.reduceat(inside, np.cumsum(sizes) - sizes)], int(inside.sum())
+
+
+def extracted(page: str | None, url: str | None, get: Callable[[bytes], list[int] | None]) -> tuple[str, int]:
+    """The main text, and the tokens outside it that runs cover; ``get`` gives a stream's ``covered``."""
+    found = blocks(page)
+    boilerplate, n = set(), 0
+    for first, texts in streams(found):
+        starts = get(stream_key(url, texts))
+        if starts is not None:
+            whole, tokens = covered_blocks(texts, starts)
+            boilerplate |= {first + k for k, x in enumerate(whole) if x}
+            n += tokens
+    return main_text(found, boilerplate), n
+
+
+def extract(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Per row of ``pages``: ``page_id, url, text, n_chars, n_repeated`` (tokens outside the protected text that repeated runs cover).
+
+    Null or empty html gives an empty text. Null ids, null URLs (host: empty) and
+    repeated rows are handled like any other; equal rows are one page to the
+    array. Extra columns are ignored. Pages are read once for the array and once for their text, which
+    is never shuffled while the runs are few enough to broadcast (``most`` numbers); beyond that pages are joined with their runs.
+    """
+    spark = pages.sparkSession
+    own = pages.select("page_id", "url", "html")
+    runs = cut(repeated_runs(own))
+    size = runs.agg(F.count("*").alias("n"), F.sum(F.size("covered").cast("long")).alias("numbers")).first()
+    schema = "page_id long, url string, text string, n_chars long, n_repeated long"
+    if size.n + (size.numbers or 0) <= (BROADCAST_RUNS if most is None else most):
+        known = spark.sparkContext.broadcast({bytes(r.stream): np.array(r.covered, np.int32) for r in runs.toLocalIterator()})
 
-        return one
+        def one_pass():
+            get = known.value.get
+
+            def one(i, url, page):
+                text, n = extracted(page, url, get)
+                return [(i, url, text, len(text), n)]
+
+            return one
+
+        return flat_map_rows(own, one_pass, schema)
+
+    def keyed():
+        return lambda i, url, page: [(digest(i, url, page), stream_key(url, texts)) for _, texts in streams(blocks(page))]
+
+    wanted = flat_map_rows(own, keyed, "page binary, stream binary").distinct().join(runs, "stream")
+    by_page = wanted.groupBy("page").agg(F.collect_list(F.struct("stream", "covered")).alias("runs")).withColumnRenamed("page", "_page")
+
+    def with_key():
+        return lambda i, url, page: [(i, url, page, digest(i, url, page))]
 
-    schema = "page_id long, url string, text string, n_chars long"
-    done = flat_map_rows(own, decided, schema)
-    rest = flat_map_rows(own, left_open, "page_id long, url string, host string, blocks array<array<string>>, stream string")
-    runs = repeated_runs(own).select(F.col("host").alias("_h"), F.col("stream").alias("_s"), "covered")
-    with_runs = rest.join(runs, (F.col("host") == F.col("_h")) & (F.col("stream") == F.col("_s")), "left").select("page_id", "url", "blocks", "covered")
+    both = flat_map_rows(own, with_key, "page_id long, url string, html string, page binary").join(by_page, F.col("page") == F.col("_page"), "left")
 
-    def keep():
-        def one(i, url, found, at):
-            found = [tuple(b) for b in found]
-            n = whole_stream(found).count(" ") + 1
-            text = kept_blocks(found, {k + j for k in at or () for j in range(min(RUN, n))})
-            return [(i, url, text, len(text))]
+    def joined():
+        def one(i, url, page, found):
+            text, n = extracted(page, url, {bytes(r["stream"]): r["covered"] for r in found or ()}.get)
+            return [(i, url, text, len(text), n)]
 
         return one
 
-    return done.unionByName(flat_map_rows(with_runs, keep, schema))
+    return flat_map_rows(both.select("page_id", "url", "html", "runs"), joined, schema)

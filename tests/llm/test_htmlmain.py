@@ -81,8 +81,8 @@ def test_runs_cover_what_a_sorted_suffix_array_does(spark):
                 common = next((j for j, (x, y) in enumerate(zip(s, suffixes[m][0], strict=False)) if x != y), min(len(s), len(suffixes[m][0])))
                 want[i] |= set(range(k, k + common)) if common >= htmlmain.RUN else set()
     df = spark.createDataFrame([(i, "http://h/", page(f"<p>{' '.join(t)}")) for i, t in enumerate(texts)], "page_id long, url string, html string")
-    got = {x.stream: {k + j for k in x.covered for j in range(htmlmain.RUN)} for x in htmlmain.repeated_runs(df).collect()}
-    assert any(want.values()) and {i: got.get(" ".join(t), set()) for i, t in enumerate(texts)} == want
+    got = {bytes(x.stream): {k + j for k in x.covered for j in range(htmlmain.RUN)} for x in htmlmain.repeated_runs(df).collect()}
+    assert any(want.values()) and {i: got.get(htmlmain.stream_key("http://h/", [" ".join(t)]), set()) for i, t in enumerate(texts)} == want
 
 
 def test_main_text_beside_articles_stays_unless_the_host_repeats_it(spark):
@@ -92,3 +92,45 @@ def test_main_text_beside_articles_stays_unless_the_host_repeats_it(spark):
     got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     own = lambda k, *between: "\n\n".join([f"Main words of page {k} itself", f"Teaser {k}", "more", *between, f"Closing words of page {k} itself"])
     assert got == {0: own(0), 1: own(1), 2: own(2), 3: own(3, line)}
+
+
+def open_pages(n=40):
+    """Pages without articles: a menu and a closing line of the host in plain divs, prose of their own between."""
+    menu = "<div>Home</div><div>News</div><div>About</div><div>Jobs</div><div>Press</div><div>Contact us</div>"
+    line = "<div>All rights kept by the h house</div>"
+    own = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(n)]
+    return own, [(k, f"http://h.org/{k}", page(f"{menu}<p>{t}</p>{line}")) for k, t in enumerate(own)]
+
+
+def test_the_array_decides_pages_without_marked_parts(spark, monkeypatch):
+    own, rows = open_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_repeated) for r in htmlmain.extract(df).collect()}
+    assert got == {k: (t, 14) for k, t in enumerate(own)}
+    joined = {r.page_id: (r.text, r.n_repeated) for r in htmlmain.extract(df, most=0).collect()}
+    assert joined == got  # more runs than may be broadcast
+    monkeypatch.setattr(htmlmain, "repeated_runs", lambda pages: pages.sparkSession.createDataFrame([], "stream binary, covered array<int>"))
+    assert all("All rights" in r.text and "Home" in r.text for r in htmlmain.extract(df).collect())  # without the array the boilerplate stays
+
+
+def test_the_array_finds_repeats_of_a_table(spark):
+    rows = htmlmain.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert sum(r.n_repeated > 0 for r in rows) > 0.2 * len(rows)
+
+
+def test_intervals_have_two_pages_and_their_longest_common_prefix(spark):
+    ids = lambda s: htmlmain.token_ids(s).tobytes()[: 4 * htmlmain.PREFIX]
+    rows = [(1, ids("a b c d e f g"), b"1", b"1"), (1, ids("a b c d e f h"), b"2", b"2"), (1, ids("a b c d e x y"), b"3", b"3"),
+            (1, ids("p q r s t u v w"), b"4", b"5"), (2, ids("a b c d e f g"), b"6", b"6"), (2, ids("a b c d e f g h"), b"6", b"6")]
+    got = htmlmain.intervals(spark.createDataFrame(rows, "host long, prefix binary, low binary, high binary")).collect()
+    assert {(r.host, bytes(r.run), r.longest) for r in got} == {(1, ids("a b c d e f"), 6), (1, ids("p q r s t u"), 8)}
+
+
+def test_a_long_open_page_and_deep_nesting(spark):
+    words = " ".join(f"w{k}" for k in range(200_000))
+    deep = "<div>" * 100_000 + "deep" + "</div>" * 100_000
+    mixed = "<b>" * 50_000 + "<p>x</p>" * 50_000 + "</i>" * 50_000
+    rows = [(1, "http://h/1", f"<p>{words}</p>"), (2, "http://h/2", deep), (3, "http://h/3", mixed), (4, "http://h/4", f"<p>{words} more</p>")]
+    got = {r.page_id: r for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text == "" and got[1].n_repeated == 200_000  # page 4 has all of it
+    assert got[4].text == f"{words} more" and got[2].text == "deep" and got[3].n_chars == 3 * 50_000 - 2
