@@ -8,8 +8,9 @@ documents. Only text is an input of a score.
 
 Training takes at most ``SAMPLE`` labelled documents outside the held-out fold, in the
 order of a hash of doc_id: one pass counts features by class on the executors, a second
-sends the driver those documents' sentences as lists of the ``VOCABULARY`` most telling
-features. Scoring covers every whole text.
+makes those documents' sentences lists of the ``VOCABULARY`` most telling features. The driver
+gets at most ``SAMPLE`` rows of them, and ``ENTRIES`` features in all: equal rows are one, and a
+document of more than ``LONGEST`` features is not trained on. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import flat_map_rows, fold, map_rows
+from millrace.session import cut
 
 SAMPLE, VOCABULARY, HELD_OUT, THRESHOLD = 16_000, 2048, (3, 1), 0.7
+ENTRIES, LONGEST = 16_000_000, 1_000_000
 STEMS = (4, 5, 6, 7)
 PARTS = re.compile(r"[^.!?\n]*[.!?\n]*")
 #: Bytes: letters in lower case, the ends of sentences as line feeds, all else as spaces.
@@ -43,11 +46,11 @@ def word_features(word: bytes) -> list[bytes]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``text, toxic`` of the sampled labelled rows; the sample's ids (at most ``sample`` longs) are broadcast."""
+    """``h, text, toxic`` of the sampled labelled rows; the sample's ids (at most ``sample`` longs) are broadcast. Equal rows have one ``h``."""
     m, out = HELD_OUT
     known = labels.where("doc_id is not null and toxic is not null").where(fold("doc_id", m) != out)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic")
 
 
 def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
@@ -60,7 +63,7 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
 
         return one
 
-    by = flat_map_rows(train, make, "f binary, toxic int").groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    by = flat_map_rows(train.select("text", "toxic"), make, "f binary, toxic int").groupBy("f").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     n = train.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
     pos, neg = n.pos or 0, n.neg or 0
     if not pos or not neg:
@@ -71,12 +74,15 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return sorted(bytes(r.f) for r in rows)
 
 
-def bags(train: DataFrame, words: list[bytes]):
-    """The training documents' sentences as sparse rows: ``(sentence of entry, feature of entry, document of sentence, empties, y)``."""
+def bags(train: DataFrame, words: list[bytes], sample: int = SAMPLE, most: int = ENTRIES, longest: int = LONGEST):
+    """The training documents' sentences as sparse rows: ``(sentence of entry, feature of entry, document of sentence, times, empties, y)``.
+
+    In the order of their hashes, as many documents as ``sample`` and ``most`` features allow.
+    """
     number = {w: i for i, w in enumerate(words)}
 
     def make():
-        def one(text, toxic):
+        def one(h, text, toxic):
             found, empty = Counter(), 0
             for s in sentences(text):
                 ids = sorted(number[f] for w in s for f in word_features(w) if f in number)
@@ -84,42 +90,50 @@ def bags(train: DataFrame, words: list[bytes]):
                     found[tuple(ids)] += 1
                 else:
                     empty += 1
-            return ([list(k) for k in found], list(found.values()), empty, int(toxic))
+            pack = lambda x: np.fromiter(x, "<i4").tobytes()
+            return (h, int(toxic), empty, sum(map(len, found)), pack(f for k in found for f in k), pack(map(len, found)), pack(found.values()))
 
         return one
 
-    rows = map_rows(train, make, "bags array<array<int>>, n array<long>, empty long, y int").collect()
-    entry, feature, doc, times, empty, y = [], [], [], [], [], []
-    for r in rows:
-        for b, n in zip(r.bags, r.n, strict=True):
-            feature += b
-            entry += [len(doc)] * len(b)
-            doc.append(len(y))
-            times.append(n)
-        empty.append(r.empty)
-        y.append(r.y)
-    return tuple(np.array(x, np.int64) for x in (entry, feature, doc, times, empty, y))
+    rows = cut(map_rows(train, make, "h long, y int, empty long, n long, features binary, lengths binary, times binary").dropDuplicates(["h"]))
+    sizes = rows.where(F.col("n") <= longest).select("h", "n").orderBy("h").limit(sample).collect()
+    last = int(np.searchsorted(np.cumsum([r.n for r in sizes] or [0]), most, "right"))
+    if not sizes or not last:
+        return None
+    got = rows.where((F.col("n") <= longest) & (F.col("h") <= sizes[min(last, len(sizes)) - 1].h)).orderBy("h").collect()
+    ints = lambda name: [np.frombuffer(r[name], "<i4").astype(np.int64) for r in got]
+    lengths = ints("lengths")
+    doc = np.repeat(np.arange(len(got)), [len(x) for x in lengths])
+    entry = np.repeat(np.arange(len(doc)), np.concatenate(lengths))
+    return entry, np.concatenate(ints("features")), doc, np.concatenate(ints("times")), np.array([r.empty for r in got], np.int64), np.array([r.y for r in got], np.int64)
 
 
 def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
 
+def loss_and_gradient(w: np.ndarray, data) -> tuple[float, np.ndarray]:
+    """The documents' mean loss under noisy-or, and its slope by the weights and the bias (the last of ``w``)."""
+    entry, feature, doc, times, empty, y = data
+    size, n_docs, n_sent = len(w) - 1, max(1, len(y)), len(doc)
+    z = w[-1] + np.bincount(entry, w[feature], n_sent)
+    evidence = np.maximum(np.bincount(doc, times * softplus(z), len(y)) + empty * softplus(w[-1]), 1e-9)
+    p = -np.expm1(-evidence)
+    loss = np.where(y == 1, -np.log(p), evidence).sum() / n_docs
+    slope = np.where(y == 1, -(1.0 - p) / p, 1.0) / n_docs  # of the loss by a document's evidence
+    d = times * slope[doc] / (1.0 + np.exp(-z))
+    return float(loss), np.append(np.bincount(feature, d[entry], size), d.sum() + (slope * empty).sum() / (1.0 + math.exp(-w[-1])))
+
+
 def fit_noisy_or(data, size: int, steps: int = 300, rate: float = 0.1, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the documents' likelihood under noisy-or (Adam on the whole sample)."""
-    entry, feature, doc, times, empty, y = data
-    n_docs, n_sent = len(y), len(doc)
+    n_docs = max(1, len(data[-1]))
     w = np.zeros(size + 1)
     w[-1] = -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = w[-1] + np.bincount(entry, w[feature], n_sent)
-        evidence = np.bincount(doc, times * softplus(z), n_docs) + empty * softplus(w[-1])
-        p = -np.expm1(-np.maximum(evidence, 1e-9))
-        slope = np.where(y == 1, -(1.0 - p) / p, 1.0) / max(1, n_docs)  # of the loss by a document's evidence
-        d = times * slope[doc] / (1.0 + np.exp(-z))
-        g = np.append(np.bincount(feature, d[entry], size), d.sum() + (slope * empty).sum() / (1.0 + math.exp(-w[-1])))
-        g[:-1] += ridge / max(1, n_docs) * w[:-1]
+        _, g = loss_and_gradient(w, data)
+        g[:-1] += ridge / n_docs * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w[-1] = min(w[-1], -3.0)
@@ -186,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     words = vocabulary(rows)
     if not words:
         return None
-    data = bags(rows, words)
+    data = bags(rows, words, sample)
+    if data is None:
+        return None
     w, b = fit_noisy_or(data, len(words))
     entry, feature, doc, times, empty, y = data
     z = b + np.bincount(entry, w[feature], len(doc))
@@ -221,7 +237,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic; a row is judged by its own text."""
+    """``docs`` without the rows predicted toxic; a row is judged by its own text.
+
+    Null and empty texts have no evidence and stay, rows that repeat stay or go alike, and
+    without both classes among the labels all stay. All columns stay, whatever their names.
+    """
     model = train(docs, labels)
     if model is None:
         return docs
