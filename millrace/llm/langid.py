@@ -4,7 +4,8 @@ Texts, A-Z lower-cased, are cut into windows of ``WINDOW`` bytes. Filters of wid
 and 4 over bytes, the maximum of each over a window, and softmax give a window's
 languages; a text's are the mean of its windows', weighted by their bytes, with a share
 for how it opens that is chosen on the training rows (texts go on in other languages). Training is
-plain numpy (Adam) on at most ``QUOTA`` documents of a language and ``CROPS`` windows of
+plain numpy (Adam) on at most ``QUOTA`` documents of a language (fewer where languages
+are so many that all would exceed ``DOCUMENTS``; each learned value keeps some) and ``CROPS`` windows of
 each; prediction covers every window of every text. For speed the filters are applied as
 sums of tables over byte pairs, which is the same network.
 """
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import flat_map_rows, fold, slices
 from millrace.session import ship
 
 WINDOW, WIDTHS, FILTERS, HELD_OUT = 128, (2, 3, 4), 8, (5, 0)
-QUOTA, CROPS, LANGUAGES, SEED = 1200, 4, 512, 5
+#: At most so many documents of a language are learned from, so many windows of each, and so many documents in all, shared evenly.
+QUOTA, CROPS, DOCUMENTS, SEED = 1200, 4, 200_000, 5
 STEPS, BATCH, RATE = 500, 128, 0.01
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LETTER = re.compile(r"[^\W\d_]")
@@ -132,29 +134,43 @@ class Network:
         return out
 
 
-def training(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages (the ``LANGUAGES`` most frequent), windows, their languages, and numbers of their documents."""
+def training(docs: DataFrame, quota: int = QUOTA, most: int = DOCUMENTS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, windows, their languages, and numbers of their documents; equal rows are one document.
+
+    One row per language reaches the driver and is broadcast. A hash thins large languages to
+    about twice their quota before a window over what is left takes the first by that hash.
+    """
     m, out = HELD_OUT
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold("doc_id", m) != out)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    none = [], np.empty((0, WINDOW), np.uint8), np.empty(0, int), np.empty(0, int)
     if not counts:
-        return [], np.empty((0, WINDOW), np.uint8), np.empty(0, int), np.empty(0, int)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, QUOTA / r["count"]))])
-    chosen = known.withColumn("_share", share[F.col("lang")]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("doc_id", "lang", "text")
+        return none
+    quota = max(1, min(quota, most // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (2 * quota + 20) / n)) for lang, n in counts.items()], "lang string, _share double")
+    chosen = known.join(F.broadcast(shares), "lang").withColumn("_h", F.xxhash64("doc_id", "text", "lang"))
+    chosen = chosen.where(F.pmod("_h", F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("_h", "lang", "text")
 
     def make():
-        def one(i, lang, text):
+        def one(h, lang, text):
+            if not has_letter(text):
+                return []
             x = windows(text.encode("utf-8", "surrogatepass").translate(LOWER))
             at = sorted({int(k) for k in np.linspace(0, len(x) - 1, CROPS)}) if len(x) else []
-            return [(i, n, lang, x[n].tobytes()) for n in at] if has_letter(text) else []
+            return [(h, lang, x[at].tobytes())]
 
         return one
 
-    rows = sorted(flat_map_rows(chosen, make, "i long, n int, lang string, x binary").collect(), key=lambda r: (r.i, r.lang, r.n, bytes(r.x)))
+    each = flat_map_rows(chosen, make, "h long, lang string, x binary").dropDuplicates(["h", "lang"])
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= quota)
+    rows = sorted(ranked.select("h", "lang", "x").collect(), key=lambda r: (r.lang, r.h))
+    if not rows:
+        return none
     classes = sorted({r.lang for r in rows})
+    number = {c: i for i, c in enumerate(classes)}
+    lengths = [len(r.x) // WINDOW for r in rows]
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(-1, WINDOW)
-    new = [k == 0 or (rows[k].i, rows[k].lang, rows[k].n) <= (rows[k - 1].i, rows[k - 1].lang, rows[k - 1].n) or (rows[k].i, rows[k].lang) != (rows[k - 1].i, rows[k - 1].lang) for k in range(len(rows))]
-    return classes, x, np.array([classes.index(r.lang) for r in rows], int), np.cumsum(new)
+    return classes, x, np.repeat([number[r.lang] for r in rows], lengths), np.repeat(np.arange(len(rows)), lengths)
 
 
 def train(docs: DataFrame) -> Network | None:
