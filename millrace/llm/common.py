@@ -68,6 +68,14 @@ def fold(key: str, modulus: int) -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def row_hash(df: DataFrame) -> F.Column:
+    """A hash of the whole row, columns that cannot be hashed as JSON."""
+    kind = {f.name: f.dataType.typeName() for f in df.schema}
+    plain = [F.col(f"`{c}`") for c in df.columns if kind[c] in ("string", "long", "integer", "double", "boolean")]
+    others = [F.col(f"`{c}`") for c in df.columns if kind[c] not in ("string", "long", "integer", "double", "boolean")]
+    return F.xxhash64(*plain, *([F.to_json(F.struct(*others))] if others else []))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs): ``(node, root)`` with root the smallest node reachable.
 

@@ -2,34 +2,34 @@
 
 Each source's documents, one after another in a fixed order, are a stream of words cut
 into blocks of ``BLOCK``. An output shard is a run of slots whose sources are drawn by a
-multinomial over the targets. A source's slots, numbered over all shards, pass through
+multinomial over the targets: first counts for groups of ``TOGETHER`` sources, then, within a
+group, for its sources. A source's slots, numbered over all shards, pass through
 pseudorandom permutations of its block numbers (one for each time through the source),
 and the slots are joined with the blocks by index. What the draws give a source beyond
 its target goes to the sources that fell short, so each ends on its target, and since a
 permutation meets a block once and no target is above twice its source, no document is
 taken more than twice.
 
-Only one row per source reaches the driver (its number of words); everything else, draws
-and running offsets included, is distributed.
+Sources are a table like any other: targets, quotas, draws and running offsets are distributed.
+The driver gets one number for each ``TOGETHER`` sources.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import flat_map_rows
+from millrace.llm.common import flat_map_rows, row_hash
+from millrace.operators.windows import numbered
 from millrace.session import cut, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK, SHARD_SLOTS, SLOTS_PER_TASK, ROUNDS, SEED = 128, 2048, 200_000, 16, 17
+BLOCK, SHARD_SLOTS, SLOTS_PER_TASK, ROUNDS, SEED, TOGETHER = 128, 2048, 200_000, 16, 17, 256
+#: Slots that change their source meet the sources that fell short in stretches of so many.
+STRETCH = 1024
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Source tables up to this many rows are broadcast (a row has under 200 bytes), larger ones are joined by shuffle.
-BROADCAST_SOURCES = 20_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -37,7 +37,10 @@ def n_words(text: str | Column) -> Column:
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[dict]:
-    """Targets of the sources by code point, null last: shares by weight, none above ``most`` times its size."""
+    """Targets of the sources by code point, null last: shares by weight, none above ``most`` times its size.
+
+    The definition, in one place for a list of sources; ``plan`` gives the same for a table of any number.
+    """
     rows = [
         {"source": s, "source_size": n, "weight": weights[i % len(weights)], "target": 0.0}
         for i, (s, n) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0] or "")))
@@ -80,76 +83,91 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("doc_id", "source", "text").alias("tie"))
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[dict]:
-    """The targets with each source's number, blocks and slots."""
-    sizes = [(r.source, int(r.n or 0)) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    out = targets(sizes, weights, share, most)
-    for i, r in enumerate(out):
-        r["src"], r["blocks"] = i, math.ceil(r["source_size"] / BLOCK)
-        exact = r["target"] * r["blocks"] / r["source_size"] if r["source_size"] else 0.0
-        r["slots"] = math.ceil(exact - 1e-9)
-        r["part"] = exact - (r["slots"] - 1)  # what the last slot takes of its block
-    return out
-
-
-def _sources(spark, planned: list[dict]) -> DataFrame:
-    frame = spark.createDataFrame(
-        [(r["src"], r["source"], r["source_size"], float(r["target"]), r["blocks"], r["slots"], float(r["part"])) for r in planned],
-        "src int, source string, source_size long, target double, blocks long, slots long, part double",
-    )
-    return F.broadcast(frame) if len(planned) <= BROADCAST_SOURCES else frame
-
+def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``src, source, source_size, target, blocks, slots, part``: a row for each source, in order of ``src``.
 
-def slots(spark, planned: list[dict], seed: int = SEED) -> DataFrame:
-    """``shard, src, j``: the source of every slot of every shard and its number within the source."""
-    quota = np.array([r["slots"] for r in planned], np.int64)
+    ``part`` is what the last slot takes of its block. Raising the words that a unit of weight
+    gets, until no further source reaches its cap, takes an aggregate of three numbers a round.
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = numbered(sizes.withColumn("_none", F.col("source").isNull()), [F.asc("_none"), F.asc("source")], "src")
+    n = len(weights)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("src", F.lit(n)).cast("int") + 1)
+    ranked = cut(ranked.withColumn("src", F.col("src") - 1).select("src", "source", "source_size", weight.alias("weight")))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    unit, before = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(unit) > F.lit(most) * F.col("source_size")
+        r = ranked.agg(F.sum(full.cast("long")), F.sum(F.when(full, F.col("source_size")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not r[2] or r[0] == before:
+            break
+        unit, before = (share * total - most * r[1]) / r[2], r[0]
+    capped = F.lit(most) * F.col("source_size")
+    target = F.when(F.col("weight") * F.lit(unit) > capped, capped).otherwise(F.col("weight") * F.lit(unit))
+    out = ranked.withColumn("target", target).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK))
+    exact = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    out = out.withColumn("_exact", exact).withColumn("slots", F.ceil(F.col("_exact") - 1e-9))
+    return cut(out.select("src", "source", "source_size", "target", "blocks", "slots", (F.col("_exact") - (F.col("slots") - 1)).alias("part")))
+
+
+def drawn(sources: DataFrame, seed: int = SEED) -> tuple[DataFrame, int]:
+    """``shard, src, n``: how many slots of each shard the draw gives a source; and the number of all slots."""
+    spark = sources.sparkSession
+    ship(spark)
+    group = F.floor(F.col("src") / TOGETHER).alias("part")
+    quota = np.array([r.n for r in sources.groupBy(group).agg(F.sum("slots").alias("n")).orderBy("part").collect()], np.int64)
     total = int(quota.sum())
-    shards = max(1, math.ceil(total / SHARD_SLOTS))
-    share = quota / max(1, total)
+    if not total:
+        return spark.createDataFrame([], "shard long, src long, n long"), 0
+    shards, share = -(-total // SHARD_SLOTS), quota / total
 
-    def draw(batches):
+    def groups(batches):
         for p in batches:
             for shard in p.id:
                 n = min(SHARD_SLOTS, total - shard * SHARD_SLOTS)
                 counts = np.random.default_rng([seed, shard]).multinomial(n, share)
                 at = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "src": at.astype(np.int32), "n": counts[at]})
+                yield pd.DataFrame({"shard": shard, "part": at.astype(np.int64), "n": counts[at]})
+
+    def within(batches):
+        for p in batches:
+            for shard, part, n, slots in zip(p.shard, p.part, p.n, p.slots, strict=True):
+                counts = np.random.default_rng([seed, shard, part]).multinomial(n, slots / slots.sum())
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({"shard": shard, "src": at + part * TOGETHER, "n": counts[at]})
 
-    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = spark.range(0, shards, 1, min(shards, parts)).mapInPandas(draw, "shard long, src int, n long") if total else spark.createDataFrame([], "shard long, src int, n long")
-    drawn = running_start(drawn.withColumn("bucket", F.floor(F.col("shard") / 256)), "src", "bucket", ["shard"], "n", "first")
-    got = {r.src: r.n for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}
+    by_group = spark.range(0, shards, 1, min(shards, parts)).mapInPandas(groups, "shard long, part long, n long")
+    lists = sources.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("src", "slots"))), lambda x: x["slots"]).alias("slots"))
+    return by_group.join(lists, "part").select("shard", "part", "n", "slots").mapInPandas(within, "shard long, src long, n long"), total
+
+
+def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """``shard, src, j``: the source of every slot of every shard and its number within the source."""
+    spark = sources.sparkSession
+    draws, total = drawn(sources, seed)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = cut(running_start(draws.withColumn("bucket", F.floor(F.col("shard") / 256)), "src", "bucket", ["shard"], "n", "first"))
     # a drawn row stands for many slots: dealt out by number of slots, not by its few bytes
-    dealt = drawn.select("shard", "src", "first", "n").repartition(max(parts, total // SLOTS_PER_TASK), "shard", "src")
+    dealt = draws.select("shard", "src", "first", "n").repartition(max(parts, total // SLOTS_PER_TASK), "shard", "src")
     every = dealt.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     # the draws' excess over each quota, in order, is handed to the sources that are short
-    excess, start, short, at = [], 0, [], 0
-    for s, q in enumerate(quota.tolist()):
-        over = got.get(s, 0) - q
-        excess.append((s, q, start))
-        start += max(0, over)
-        if over < 0:
-            short.append((at, at - over, s, got.get(s, 0)))
-            at -= over
-    if not start:
-        return every
-    e = _small(spark.createDataFrame(excess, "src int, quota long, start long"), len(excess))
-    k = _small(spark.createDataFrame(short, "low long, high long, to int, base long"), len(short))
-    tagged = every.join(e, "src").withColumn("x", F.when(F.col("j") >= F.col("quota"), F.col("start") + F.col("j") - F.col("quota")))
-    moved = tagged.where("x is not null").join(k, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-    return tagged.where("x is null").select("shard", "src", "j").union(moved.select("shard", F.col("to").alias("src"), (F.col("base") + F.col("x") - F.col("low")).alias("j")))
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
-
-
-def places(rows: DataFrame, planned: list[dict]) -> DataFrame:
+    got = sources.join(draws.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").select("src", "slots", F.coalesce("got", F.lit(0)).alias("got"))
+    got = got.withColumn("over", F.greatest(F.col("got") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("got"), F.lit(0)))
+    got = got.withColumn("_all", F.lit(0)).withColumn("bucket", F.floor(F.col("src") / TOGETHER))
+    excess = running_start(got, "_all", "bucket", ["src"], "over", "start").select("src", F.col("slots").alias("quota"), "start")
+    short = running_start(got, "_all", "bucket", ["src"], "under", "low").where("under > 0").select(F.col("src").alias("to"), "got", "low", (F.col("low") + F.col("under")).alias("high"))
+    tagged = every.join(excess, "src").withColumn("x", F.when(F.col("j") >= F.col("quota"), F.col("start") + F.col("j") - F.col("quota")))
+    met = short.select("*", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor((F.col("high") - 1) / STRETCH))).alias("stretch"))
+    moved = tagged.where("x is not null").withColumn("stretch", F.floor(F.col("x") / STRETCH)).join(met, "stretch").where("x >= low and x < high")
+    return tagged.where("x is null").select("shard", "src", "j").union(moved.select("shard", F.col("to").alias("src"), (F.col("got") + F.col("x") - F.col("low")).alias("j")))
+
+
+def places(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``src, doc_id, tie, size, a``: each document's place in its source's stream."""
     spark = rows.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 20_000)
-    known = _sources(spark, planned).select("src", F.col("source").alias("_s"))
+    known = sources.select("src", F.col("source").alias("_s"))
     numbered = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     dealt = numbered.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     return running_start(dealt, "src", "bucket", ["doc_id", "tie", "size"], "size", "a").drop("bucket")
@@ -170,18 +188,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     ``placed``: a row per document, ``doc_id, tie, src, size, a`` (its place in its source's stream).
     ``mixed``: ``shard, src, j, epoch, doc_id, tie, a, size, word, words``: what each slot takes, as
-    words ``word .. word + words - 1`` of a document. ``sources``: targets, broadcast if small.
+    words ``word .. word + words - 1`` of a document. ``sources``: the table of ``plan``.
 
     Null texts have size 0 and are in no block; a null source is a source of its own, the
     last; null doc_ids and repeated rows each have their own place in the stream. An empty
     table gives an empty mix. Extra columns are ignored.
     """
-    spark = docs.sparkSession
     rows = cut(sized(docs))
-    planned = plan(rows, weights, share, most)
-    sources = _sources(spark, planned)
-    placed = cut(places(rows, planned))
-    taken = slots(spark, planned, seed).join(sources.select("src", "blocks", "slots", "part", "source_size"), "src").withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
+    sources = plan(rows, weights, share, most)
+    placed = cut(places(rows, sources))
+    taken = slots(sources, seed).join(sources.select("src", "blocks", "slots", "part", "source_size"), "src").withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
     block = permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("src"), F.col("epoch"))
     length = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     taken = taken.withColumn("block", block).select(
@@ -208,12 +224,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows with the columns of ``docs``: for each time through a source, a document's
     runs of taken words, each cut from its text with the white space inside it; ``n_chars`` is
     counted anew. A document that is taken whole keeps its text as it is.
+
+    Null and empty texts are in no run and give no row. Of rows that share doc_id, source and text
+    the one that is first by a hash of its other columns lends them to each taken copy.
     """
     _, mixed, _ = mix(docs)
     runs = mixed.groupBy("doc_id", "tie", "a", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("runs"))
     columns = docs.columns
-    own = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    one = own.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
+    own = docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), row_hash(docs).alias("order"))
+    one = own.groupBy("doc_id", "tie").agg(F.min_by("row", "order").alias("row"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "runs")
     joined = one.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select(*[F.col("row")[c].alias(c) for c in columns], "runs")
     kind = docs.schema

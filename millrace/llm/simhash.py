@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, flat_map_rows, map_rows
+from millrace.llm.common import components, flat_map_rows, map_rows, row_hash
 from millrace.session import cut
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 2
@@ -216,8 +216,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat that doc_id, or of a group without any, the first by a hash of
     the row stays; other rows of the same doc_id stay where they are no near copies. All columns stay.
     """
-    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_hash", F.xxhash64("row"))
-    found = near_copies(docs, F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_hash"))
+    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("_hash"))
+    found = near_copies(docs, row_hash(docs).alias("_hash"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("f"))
     chosen = first.select(F.col("f.doc_id").alias("_id"), F.col("f._hash").alias("_h"))
     once = row.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi").groupBy("doc_id", "_hash").agg(F.first("row").alias("row"))

@@ -60,3 +60,57 @@ def test_odd_rows(odd_docs, no_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns and sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in rows)
     assert mixing.taken_words(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
+
+
+def test_plan_of_a_table_is_that_of_the_definition(spark):
+    r = random.Random(3)
+    sizes = [(f"é{r.randrange(10**6)}", int(10 ** r.uniform(0, 6))) for _ in range(700)] + [(None, 50), ("", 0), ("A", 3), ("a", 10**7)]
+    rows = spark.createDataFrame([(s, n) for s, n in sizes], "source string, size long")
+    got = mixing.plan(rows).orderBy("src").collect()
+    want = mixing.targets(sizes)
+    assert [(x.source, x.source_size) for x in got] == [(w["source"], w["source_size"]) for w in want]
+    assert all(abs(x.target - w["target"]) <= 1e-9 * max(1.0, w["target"]) for x, w in zip(got, want))
+
+
+def test_slots_fill_every_quota_over_many_sources(spark):
+    r = random.Random(4)
+    rows = spark.createDataFrame([(f"s{k:04}", int(10 ** r.uniform(1, 5))) for k in range(900)], "source string, size long")
+    sources = mixing.plan(rows)
+    quota = {x.src: x.slots for x in sources.collect()}
+    got = defaultdict(list)
+    for x in mixing.slots(sources).collect():
+        got[x.src].append(x.j)
+    assert {s: n for s, n in quota.items() if n} == {s: len(js) for s, js in got.items()}
+    assert all(sorted(js) == list(range(len(js))) for js in got.values())
+    assert len({x.shard for x in mixing.slots(sources).collect()}) > 1
+
+
+def test_taken_is_what_slots_and_permutations_replayed_by_hand_take(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(r.choice((0, 1, 5, 130, 700)))), "en", f"s{i % 4}", 0) for i in range(60)]
+    df = spark.createDataFrame(docs, DOCS)
+    placed, _, sources = mixing.mix(df)
+    sources = {x.src: x for x in sources.collect()}
+    streams = defaultdict(dict)  # the source's words, each with its document
+    for p in placed.collect():
+        streams[p.src].update({p.a + k: p.doc_id for k in range(p["size"])})
+    assert all(sorted(words) == list(range(sources[s].source_size)) for s, words in streams.items())
+    want = dict.fromkeys((d[0] for d in docs), 0)
+    for s, x in sources.items():
+        order = {}
+        for epoch in range(-(-x.slots // x.blocks) if x.blocks else 0):
+            each = spark.range(x.blocks).select("id", mixing.permuted(F.col("id"), F.lit(x.blocks), F.lit(s).cast("long"), F.lit(epoch).cast("long")).alias("p"))
+            order[epoch] = {y.id: y.p for y in each.collect()}
+        for j in range(x.slots):
+            first = order[j // x.blocks][j % x.blocks] * mixing.BLOCK
+            own = [streams[s][k] for k in range(first, min(first + mixing.BLOCK, x.source_size))]
+            for i in own[: int(x.part * len(own) + 0.5)] if j == x.slots - 1 else own:
+                want[i] += 1
+    assert {t.doc_id: t.taken for t in mixing.taken_words(df).collect()} == want
+
+
+def test_a_plan_without_loops_over_all_pairs(spark, sf_dir):
+    plan = queries.op3_source_mix(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
