@@ -1,10 +1,16 @@
-"""Quality rules with an isolation forest on rule statistics.
-
-``statistics`` counts each rule over the whole text. The forest is fitted on ratios of
-these counts: every tree splits a small subsample at random, documents that random splits
-isolate after short paths are anomalous, and the score that separates them is calibrated
-on rows that ``labels.quality`` marks. Fitting takes at most ``SAMPLE`` labelled rows (in
-the order of a hash of doc_id); statistics and verdicts cover every row.
+"""Quality rules with isolation forests on rule statistics.
+
+``statistics`` counts each rule over the whole text; ratios of these counts are a document's
+rule statistics. Each statistic has a forest of its own and all together have one more. A
+tree splits a small subsample at random, statistic and cut alike; documents that random
+splits isolate after short paths are anomalous. Labels set thresholds only: for each forest
+the anomaly from which rejecting pays on rows that ``labels.quality`` marks, the forest that pays
+most first and the others on what it leaves; forests that do not pay reject nothing. (In one forest
+over all statistics a tenth of bad rows is a cluster that random splits do not isolate,
+while rare but harmless values of another statistic are isolated at once.)
+
+Fitting takes at most ``SAMPLE`` labelled rows (in the order of a hash of doc_id); statistics
+and verdicts cover every row.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_rows
 from millrace.session import cut, ship
 
-SAMPLE, TREES, SUBSAMPLE, SEED, RARE = 20_000, 128, 256, 7, 0.015
+SAMPLE, TREES, SUBSAMPLE, SEED = 20_000, 64, 256, 7
 #: A wrongly rejected good document weighs this many times a wrongly kept bad one.
 REJECT_COST = 8.0
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -96,23 +102,13 @@ def path_norm(n: float) -> float:
 
 
 class IsolationForest:
-    """Trees as flat arrays: feature (-1: leaf), cut, left child, right child, and path length at leaves.
-
-    ``rare`` marks rows known to be anomalous: at most ``RARE`` of a subsample are such, as many of
-    them together would no longer be isolated. ``weight`` is how often each feature is split on.
-    """
+    """Trees as flat arrays: feature (-1: leaf), cut, left child, right child, and path length at leaves."""
 
-    def __init__(self, x: np.ndarray, rare: np.ndarray | None = None, weight: np.ndarray | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.weight = np.ones(x.shape[1]) if weight is None else weight + 1e-3
-        usual = np.arange(len(x)) if rare is None else np.flatnonzero(~rare)
-        odd = np.empty(0, int) if rare is None else np.flatnonzero(rare)
-        n_odd = min(len(odd), max(1, round(RARE * subsample)))
-        n_usual = min(subsample - n_odd, len(usual))
-        self.size = n_odd + n_usual
+        self.size = min(subsample, len(x))
         depth = max(1, math.ceil(math.log2(max(2, self.size))))
-        draw = lambda rows, n: rng.choice(rows, n, replace=False) if n else rows[:0]
-        self.trees = [self._grow(x[np.concatenate([draw(usual, n_usual), draw(odd, n_odd)])], depth, rng) for _ in range(trees)]
+        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], depth, rng) for _ in range(trees)]
 
     def _grow(self, x: np.ndarray, limit: int, rng: np.random.Generator):
         feature, cut_at, left, right, length = [], [], [], [], []
@@ -123,8 +119,7 @@ class IsolationForest:
                 column.append(value)
             low, high = rows.min(axis=0), rows.max(axis=0)
             if depth < limit and len(rows) > 1 and (open_ := np.flatnonzero(high > low)).size:
-                p = self.weight[open_]
-                f = int(rng.choice(open_, p=p / p.sum()))
+                f = int(rng.choice(open_))
                 c = float(rng.uniform(low[f], high[f]))
                 below = rows[:, f] < c
                 if below.any() and not below.all():
@@ -152,15 +147,6 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(path_norm(self.size), 1.0))
 
 
-def telling(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """How far each feature tells bad rows from good ones: its distance from an even ranking, squared."""
-    if not bad.any() or bad.all():
-        return np.ones(x.shape[1])
-    n, m = bad.sum(), (~bad).sum()
-    rank = pd.DataFrame(x).rank().to_numpy()
-    return ((rank[bad].sum(axis=0) - n * (n + 1) / 2) / (n * m) - 0.5) ** 2
-
-
 def calibrate(score: np.ndarray, good: np.ndarray) -> float:
     """The score from which rejecting costs least on labelled rows; infinite if nothing is gained."""
     order = np.argsort(-score, kind="stable")
@@ -174,12 +160,38 @@ def calibrate(score: np.ndarray, good: np.ndarray) -> float:
     return float(s[k] + s[k + 1]) / 2 if k + 1 < len(s) else float(s[k])
 
 
+class Verdict:
+    """Forests by the statistics that they see, and their thresholds."""
+
+    def __init__(self, x: np.ndarray, good: np.ndarray):
+        n = x.shape[1]
+        every = [([k], IsolationForest(x[:, [k]], seed=SEED + 1 + k)) for k in range(n)] + [(list(range(n)), IsolationForest(x))]
+        scores = [f.score(x[:, c]) for c, f in every]
+        self.rules: list[tuple[list[int], IsolationForest, float]] = []
+        left = np.ones(len(x), bool)
+        while True:
+            best = (0.0, 0, math.inf)
+            for k, s in enumerate(scores):
+                t = calibrate(s[left], good[left])
+                hit = left & (s >= t)
+                best = max(best, (float((~good[hit]).sum() - REJECT_COST * good[hit].sum()), -k, t))
+            if best[0] <= 0:
+                break
+            _, k, t = best
+            self.rules.append((*every[-k], t))
+            left &= scores[-k] < t
+
+    def anomaly(self, x: np.ndarray) -> np.ndarray:
+        """The largest of the forests' scores, each as a share of its threshold: 1 or more is rejected."""
+        return np.max([f.score(x[:, c]) / t for c, f, t in self.rules], axis=0) if self.rules and len(x) else np.zeros(len(x))
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, the counts, base_failed, kept and the anomaly score.
+    """Per row of ``docs``: doc_id, the counts, base_failed, kept and the anomaly.
 
     Null or empty text has no words and fails the base rule. Rows of ``labels`` without a
-    doc_id or quality are ignored; without any usable label the forest rejects nothing.
-    Null doc_ids and repeated rows are scored like any other. Extra columns are ignored.
+    doc_id or quality are ignored; without any usable label nothing is rejected.
+    Null doc_ids and repeated rows are scored like any other, ties alike. Extra columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -187,18 +199,16 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = counted.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *[c.split()[0] for c in COUNTS.split(", ")]).limit(sample).toPandas()
-    model, threshold = None, math.inf
+    model = None
     rows = rows[~base_failed(rows)]  # the base rule has judged the others
     if len(rows) >= 16:
-        x, bad = features(rows), rows.quality.to_numpy() != 1
-        model = IsolationForest(x, bad, telling(x, bad))
-        threshold = calibrate(model.score(x), ~bad)
+        model = Verdict(features(rows), rows.quality.to_numpy() == 1)
 
     def judge(batches):
         for p in batches:
             p["base_failed"] = base_failed(p)
-            p["anomaly"] = model.score(features(p)) if model is not None and len(p) else 0.0
-            p["kept"] = ~p.base_failed & ~(p.anomaly >= threshold)
+            p["anomaly"] = model.anomaly(features(p)) if model is not None else 0.0
+            p["kept"] = ~p.base_failed & (p.anomaly < 1.0)
             yield p
 
     # doc_id travels as text: a null among longs would make pandas turn all of them into floats
