@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_swept: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,38 +36,54 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+def _goes_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when this application's driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is set, a folder of its own on a local master, else an error.
+
+    The folder of this application's checkpoints is deleted when it ends.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return sc.getCheckpointDir()
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master == "local" or sc.master.startswith("local["):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _swept:
+        _swept.add(sc.applicationId)
+        _goes_at_exit(spark, sc.getCheckpointDir())
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    A reliable checkpoint: a lost executor costs nothing that was computed before.
+    A reliable checkpoint: a lost executor costs nothing that was computed before. It goes with the
+    application, or with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read again, and its path."""
+    """``df`` written as a Parquet table in the shared checkpoint folder and read again, and its path; deleted at exit, if ``dropped`` has not."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _goes_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete what ``stored`` wrote."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
@@ -76,6 +93,7 @@ def tune(builder):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }.items():
         builder = builder.config(key, value)
