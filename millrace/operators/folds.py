@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from millrace.operators.windows import interval_union
 from millrace.session import ship
 
 
@@ -71,22 +73,8 @@ def unique_names(df: DataFrame, key: str, order: str, base: str) -> DataFrame:
 
 
 def merge_clusters(df: DataFrame, key: str, lo: str, hi: str, name: str, slack: int) -> DataFrame:
-    """Clusters whose window grows as evidence joins: ``cluster`` is the smallest name, with the window and size (AGG09)."""
-    ship(df.sparkSession)
+    """Clusters whose window grows as evidence joins: ``cluster`` is the smallest name, with the window and size (AGG09).
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([lo, hi, name], kind="stable")
-        rows, now = [], None
-        for a, b, n in zip(p[lo], p[hi], p[name], strict=True):
-            if now and a <= now[1] + slack:
-                now = [now[0], max(now[1], b), min(now[2], n), now[3] + 1]
-                rows[-1] = now
-            else:
-                now = [a, b, n, 1]
-                rows.append(now)
-        out = pd.DataFrame(rows, columns=[lo, hi, "cluster", "n"])
-        out.insert(0, key, p[key].iloc[0])
-        return out
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{lo}` {kinds[lo]}, `{hi}` {kinds[hi]}, cluster {kinds[name]}, n long")
+    A row joins if it starts at most ``slack`` after the largest end so far, which a running maximum says: no fold.
+    """
+    return interval_union(df, [key], lo, hi, slack, F.min(name).alias("cluster")).select(key, lo, hi, "cluster", "n")

@@ -26,17 +26,63 @@ def reachability(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("reachability did not settle")
 
 
-def strongly_connected(edges: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
+def _trimmed(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Edges between nodes that have edges in and out, as those of a cycle do."""
+    e, n = edges, edges.count()
+    for _ in range(most_rounds):
+        ins, outs = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+        e = cut(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e
+
+
+def _settled(step, state: DataFrame, most_rounds: int) -> DataFrame:
+    """``state(node, label)`` after ``step`` has stopped raising labels."""
+    for _ in range(most_rounds):
+        new = cut(step(state).join(state.select("node", F.col("label").alias("_was")), "node", "left"))
+        state = new.select("node", "label")
+        if new.where("_was is null or label <> _was").limit(1).count() == 0:
+            return state
+    raise RuntimeError("labels did not settle")
+
+
+def strongly_connected(edges: DataFrame, least: int = 2, most: int = 5, most_rounds: int = 1000) -> DataFrame:
     """Strongly connected components of ``least`` to ``most`` nodes: ``component, members`` (GRF01).
 
-    Nodes are in one component if each reaches the other. Full reachability is needed to
-    know that a component is no larger.
+    Nodes off all cycles are trimmed. Then the largest node that reaches a node is its colour; a
+    node that has its own colour is a root, and its component is what reaches it within that colour.
+    Components found so go, and the rest is searched anew: rows are nodes and edges, never
+    pairs that a path joins.
     """
-    reach = reachability(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).where("src <> dst")
-    member = mutual.groupBy("src").agg(F.min("dst").alias("m"), (F.count("*") + 1).alias("n")).where(F.col("n").between(least, most))
-    return member.select(F.least("src", "m").alias("component"), F.col("src").alias("node")).groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    e = _trimmed(cut(edges.select("src", "dst").where("src <> dst").distinct()), most_rounds)
+    found = None
+    while e.limit(1).count():
+
+        def forward(c: DataFrame, e=e) -> DataFrame:
+            near = e.join(c, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("label").alias("_m"))
+            return c.join(near, F.col("node") == F.col("dst"), "left").select("node", F.greatest("label", F.coalesce("_m", "label")).alias("label"))
+
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = _settled(forward, cut(nodes.withColumn("label", F.col("node"))), most_rounds)
+        a, b = (colour.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in ("src", "dst"))
+        inside = cut(e.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst"))
+
+        def backward(c: DataFrame, inside=inside) -> DataFrame:
+            more = inside.join(c, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "label")
+            return c.union(more).distinct()
+
+        got = _settled(backward, cut(colour.where("node = label")), most_rounds)
+        found = got if found is None else cut(found.union(got))
+        left = got.select(F.col("node").alias("_n"))
+        e = _trimmed(cut(e.join(left, F.col("src") == F.col("_n"), "left_anti").join(left, F.col("dst") == F.col("_n"), "left_anti")), most_rounds)
+    if found is None:
+        found = e.select(F.col("src").alias("node"), F.col("src").alias("label"))
+    sized = found.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n").between(least, most)).select("label")
+    member = found.join(sized, "label")
+    return member.groupBy("label").agg(F.min("node").alias("component"), F.array_sort(F.collect_set("node")).alias("members")).drop("label")
 
 
 def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -77,8 +77,19 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, r
 
 
 def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, span: str) -> DataFrame:
-    """The shortest interval around each point; ties: later start, then larger id (JON20)."""
-    inside = points.join(spans, keys).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi)))
+    """The shortest interval around each point; ties: later start, then larger id (JON20).
+
+    Spans fall into classes by length, a power of two that holds them, and into the one or two
+    buckets of that width that they touch; a point looks into one bucket of each class. So a key
+    with many of both never meets itself whole. At most 64 class numbers reach the driver.
+    """
+    size = F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(0)) + 1)).cast("int")
+    bucket = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k))
+    s = spans.where(F.col(lo) <= F.col(hi)).withColumn("_k", size)
+    classes = [r["_k"] for r in s.select("_k").distinct().collect()]
+    s = s.withColumn("_b", F.explode(F.sequence(bucket(lo, F.col("_k")), bucket(hi, F.col("_k")))))
+    p = points.withColumn("_k", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("_b", bucket(at, F.col("_k")))
+    inside = p.join(s, [*keys, "_k", "_b"]).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi)))
     order = F.struct((F.col(hi) - F.col(lo)).alias("len"), (-F.col(lo)).alias("start"), (-F.col(span)).alias("id"))
     return inside.groupBy(*points.columns).agg(F.min_by(span, order).alias(span))
 
@@ -133,11 +144,14 @@ def cascade(refs: DataFrame, modes: list[DataFrame], key: str) -> DataFrame:
 def resolve_references(refs: DataFrame, definitions: DataFrame, name: str, most: int) -> DataFrame:
     """References by name with a cardinality gate (JON15): one of resolved, ambiguous, unknown.
 
-    Only definitions of the best rank count; more than ``most`` of them are ambiguous.
+    Only definitions of the best rank count; more than ``most`` of them are ambiguous. Definitions
+    of names that nothing refers to go first, and what is left is counted by name and rank
+    before it is shuffled.
     """
-    best = definitions.groupBy(name).agg(F.min("rank").alias("rank"))
-    top = definitions.join(best, [name, "rank"]).groupBy(name).agg(F.count("*").alias("_n"), F.min("target").alias("_t"))
-    out = refs.join(top, name, "left")
+    wanted = refs.select(name).distinct()
+    ranks = definitions.join(wanted, name, "left_semi").groupBy(name, "rank").agg(F.count("*").alias("_n"), F.min("target").alias("_t"))
+    best = ranks.groupBy(name).agg(F.min_by(F.struct("_n", "_t"), "rank").alias("_b")).select(name, "_b._n", "_b._t")
+    out = refs.join(best, name, "left")
     status = F.when(F.col("_n").isNull(), "unknown").when(F.col("_n") > most, "ambiguous").otherwise("resolved")
     return out.select(*refs.columns, status.alias("status"), F.when(F.col("_n") <= most, F.col("_t")).alias("target"))
 

@@ -17,14 +17,14 @@ def longest_run(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return runs.groupBy(key).agg(F.max("_n").alias("longest"))
 
 
-def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, touch: int = 0) -> DataFrame:
-    """Union of overlapping intervals, or of those at most ``touch`` apart (WIN09)."""
+def interval_union(df: DataFrame, keys: list[str], lo: str, hi: str, touch: int = 0, *more: Column) -> DataFrame:
+    """Union of overlapping intervals, or of those at most ``touch`` apart (WIN09), with their number and ``more`` aggregates."""
     before = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0)
     marked = df.withColumn("_top", F.max(hi).over(before))
     marked = marked.withColumn("_new", F.when(F.col("_top").isNull() | (F.col(lo) > F.col("_top") + touch), 1).otherwise(0))
     islands = marked.withColumn("_island", F.sum("_new").over(upto))
-    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n")).drop("_island")
+    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n"), *more).drop("_island")
 
 
 def sessions(df: DataFrame, key: str, at: str, gap: Column | float, tie: str) -> DataFrame:

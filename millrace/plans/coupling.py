@@ -159,7 +159,7 @@ def hotspot_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = """
 WITH e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
-k AS (SELECT src, dst FROM e WHERE src <> dst AND (src * 3 + dst * dst) % 7 < 2),
+k AS (SELECT src, dst FROM (SELECT src, dst, w, avg(w) OVER (PARTITION BY src) AS usual FROM e WHERE src <> dst) WHERE w > usual),
 d AS (SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT src AS node, 1 AS o, 0 AS i FROM k UNION ALL SELECT dst, 0, 1 FROM k) GROUP BY 1)
 """
 
@@ -173,21 +173,23 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).where("src <> dst and (src * 3 + dst * dst) % 7 < 2").select("src", "dst")
+def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between nations above the usual one of their source, out of all flows of all lines."""
+    f = flows(spark, sf_dir).where("src <> dst").withColumn("usual", F.avg("w").over(Window.partitionBy("src")))
+    return f.where("w > usual").select("src", "dst")
 
 
 @query(_EDGES + "SELECT node, fan_in, fan_out, round(fan_out::DOUBLE / (fan_in + fan_out), 6) AS instability FROM d")
 def node_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fan-in, fan-out and instability of nations as trading nodes (AGG04)."""
-    return aggregates.instability(thinned(spark, sf_dir)).withColumn("instability", F.round("instability", 6))
+    """Fan-in, fan-out and instability of nations by their strong flows (AGG04)."""
+    return aggregates.instability(strong(spark, sf_dir)).withColumn("instability", F.round("instability", 6))
 
 
 @query(_EDGES + """SELECT k.src, k.dst FROM k JOIN d a ON a.node = k.src JOIN d b ON b.node = k.dst
 WHERE a.fan_out::DOUBLE / (a.fan_in + a.fan_out) < 0.5 AND b.fan_out::DOUBLE / (b.fan_in + b.fan_out) > 0.5""")
 def instability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from stable to unstable nodes (AGG04)."""
-    e = thinned(spark, sf_dir)
+    e = strong(spark, sf_dir)
     n = aggregates.instability(e).select("node", "instability")
     a = n.select(F.col("node").alias("src"), F.col("instability").alias("_a"))
     b = n.select(F.col("node").alias("dst"), F.col("instability").alias("_b"))

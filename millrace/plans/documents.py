@@ -56,10 +56,11 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, sha256(left(regexp_replace(regexp_replace(text, '((?i:password|passwd|secret|token|api_?key)["'']?[ ]*[:=][ ]*["'']?[A-Za-z0-9+/_.=-]{4})[A-Za-z0-9+/_.=-]{8,}', '\1***', 'g'), '(AKIA|ghp_|xox[a-z]-|sk_live_)[A-Za-z0-9_-]{12,}', '\1***', 'g'), 4000)) AS redacted_hash FROM documents""")
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '((?i:password|passwd|secret|token|api_?key)["'']?[ ]*[:=][ ]*["'']?[A-Za-z0-9+/_.=-]{4})[A-Za-z0-9+/_.=-]{8,}', '\1***', 'g'), '(AKIA|ghp_|xox[a-z]-|sk_live_)[A-Za-z0-9_-]{12,}', '\1***', 'g') AS masked FROM documents)
+SELECT doc_id, sha256(masked) AS masked_hash, sha256(left(masked, 200)) AS cut_hash FROM m""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets masked before the cut (FUN03, FUN25)."""
-    return documents(spark, sf_dir).select("doc_id", F.sha2(T.redacted_cut(F.col("text"), 4000), 256).alias("redacted_hash"))
+    """Secrets masked in whole texts (FUN03), and before a cut to 200 characters (FUN25)."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("masked_hash"), F.sha2(T.redacted_cut(F.col("text"), 200), 256).alias("cut_hash"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:64] AS slug,

@@ -38,12 +38,12 @@ def mapped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS n, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents),
-t AS (SELECT doc_id, n, trim(regexp_replace(line, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS t FROM l), q AS (SELECT doc_id, n AS cited, t AS quote FROM t WHERE n % 5 = 2 AND length(t) > 20)
+t AS (SELECT doc_id, n, trim(regexp_replace(line, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS t FROM l), q AS (SELECT doc_id, n AS cited, t AS quote FROM t WHERE length(t) > 20)
 SELECT q.doc_id, q.cited, CAST(min(t.n) AS BIGINT) AS found, CAST(count(*) AS BIGINT) AS places FROM q JOIN t ON t.doc_id = q.doc_id AND t.t = q.quote GROUP BY 1, 2""")
 def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a quoted line stands in its text, white space aside (JON06, PRD21): an equi-join on text and line."""
+    """Where each line of more than 20 characters stands in its text when it is quoted, white space aside (JON06, PRD21): an equi-join on text and line."""
     l = linescan.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("lineno").cast("long").alias("n"), T.collapsed(F.col("line")).alias("t"))
-    q = l.where("n % 5 = 2 and length(t) > 20").select("doc_id", F.col("n").alias("cited"), F.col("t").alias("quote"))
+    q = l.where("length(t) > 20").select("doc_id", F.col("n").alias("cited"), F.col("t").alias("quote"))
     return findings.locate_quotes(q, l)
 
 

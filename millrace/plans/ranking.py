@@ -158,14 +158,23 @@ def tolerant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("rank"), "p")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r AS (SELECT source, doc_id, n_chars, rn, CAST(n_chars AS BIGINT) AS used, CAST(0 AS BIGINT) AS pack_no FROM d WHERE rn = 1
+ UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.rn, CASE WHEN r.used > 0 AND r.used + d.n_chars > 20000 THEN d.n_chars ELSE r.used + d.n_chars END, r.pack_no + CASE WHEN r.used > 0 AND r.used + d.n_chars > 20000 THEN 1 ELSE 0 END
+ FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.rn = r.rn + 1)
+SELECT source, doc_id, n_chars, pack_no FROM r""")
 def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source packed in order into groups of at most 20,000 characters; longer ones alone (WIN10, STM05)."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return folds.pack_in_order(d, "source", "doc_id", "n_chars", 20_000)
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS lo, o_orderkey FROM orders), n AS (SELECT *, lo + 60 AS hi, row_number() OVER (PARTITION BY o_custkey ORDER BY lo, o_orderkey) AS rn FROM o),
+r AS (SELECT o_custkey, lo, hi, o_orderkey, rn, hi AS top, true AS kept FROM n WHERE rn = 1
+ UNION ALL SELECT n.o_custkey, n.lo, n.hi, n.o_orderkey, n.rn, CASE WHEN n.lo > r.top THEN n.hi ELSE r.top END, n.lo > r.top FROM r JOIN n ON n.o_custkey = r.o_custkey AND n.rn = r.rn + 1)
+SELECT o_custkey, lo, hi, o_orderkey, kept FROM r""")
 def greedy_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's 60-day intervals that overlap none kept before (WIN13, WIN20, PRD18)."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
@@ -173,7 +182,12 @@ def greedy_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.keep_non_overlapping(o, "o_custkey", "lo", "hi", "o_orderkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT p_brand, p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:64] AS base, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
+r AS (SELECT p_brand, p_partkey, base, rn, base AS name, [base] AS taken FROM p WHERE rn = 1
+ UNION ALL SELECT p_brand, p_partkey, base, rn, name, list_append(before, name) FROM (SELECT p.p_brand, p.p_partkey, p.base, p.rn, r.taken AS before,
+  CASE WHEN NOT list_contains(r.taken, p.base) THEN p.base ELSE p.base || '-' || list_filter(range(2, len(r.taken) + 3), lambda k: NOT list_contains(r.taken, p.base || '-' || k))[1] END AS name FROM r JOIN p ON p.p_brand = r.p_brand AND p.rn = r.rn + 1))
+SELECT p_brand, p_partkey, base, name FROM r""")
 def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of part names by brand, with suffixes that avoid names already taken (WIN06, FUN10)."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", text.slug(F.col("p_name")).alias("base"))

@@ -107,7 +107,11 @@ def unowned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(~F.col("p_brand").rlike("Brand#[12]|Brand#3[0-5]|Brand#4")).select("p_partkey")
 
 
-@query()
+@query("""
+WITH o AS (SELECT o_custkey, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS lo, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 40 AS hi, o_orderkey FROM orders),
+t AS (SELECT *, max(hi) OVER (PARTITION BY o_custkey ORDER BY lo, hi, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o),
+i AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY lo, hi, o_orderkey) AS island FROM t)
+SELECT o_custkey, min(lo) AS lo, max(hi) AS hi, min(o_orderkey) AS cluster, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY o_custkey, island""")
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders merged into clusters whose window grows with each (AGG09)."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
