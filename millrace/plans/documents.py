@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -35,19 +35,87 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.n_lines(t).cast("long").alias("n_lines"), guard.alias("skipped"), F.octet_length(t).cast("long").alias("n_bytes"))
 
 
-def _rule_sql() -> str:
-    q = lambda s: s.replace("'", "''")
-    one = lambda r: f"SELECT doc_id, '{r.name}' AS rule, '{r.family}' AS family FROM l WHERE regexp_matches(line, '{q(r.pattern)}')" + (f" AND NOT regexp_matches(line, '{q(r.exclude)}')" if r.exclude else "")
-    return r"WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents), h AS (" + " UNION ALL ".join(map(one, linescan.RULES)) + ") SELECT doc_id, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY ALL"
-
-
-@query(_rule_sql())
+_M = lambda p: f"regexp_matches(line, '{p}')"
+_SATD = linescan.SATD.replace("'", "''").replace(" ", r"\s+")
+_CRED = r"(?i)\b\w*(?:password|passwd|secret|token|api_key|apikey|access_key)\w*[\"'']?\s*(?:=|:=|:)\s*[\"'']([^\"''\n]{8,})[\"'']"
+_SQLC = r"\b(?:execute|query|Query|ExecuteSqlRaw|Raw|createStatement|executeQuery|Exec)\s*\(([^\n]*)"
+#: The rules for RE2, which has no lookaround: ``rule, family, scopes, condition``.
+_CONDITIONS = [
+    ("satd-marker", "half-finished", "source tests docs ci config build manifest container iac sql runtime_version governance", _M(r"(?i)(?:#|//|/\*|^\s*\*|<!--|--).*\b(?:" + _SATD + r")\b")),
+    ("stub", "half-finished", "source tests", _M(r"(?i)NotImplementedE(?:rror|xception)|\bnot implemented\b|unimplemented!|\bTODO\(\)")),
+    ("skip-marker", "half-finished", "source tests", _M(r"\bxfail\b|expectedFailure|@pytest\.mark\.skip|@(?:Ignore|Disabled)\b|\b(?:it|test)\.skip\(|\[Ignore\]|\bt\.Skip\(")),
+    ("assertions-disabled", "error-masking", "source ci config", _M(r"\bNDEBUG\b|\bpython[\d.]*\s+-OO?\b|(?:^|[^\w-])-da\b|enableassertions\s*=\s*false|\bassert(?:ions)?[\"'']?\s*:\s*false|^\s*(?:#|//)\s*assert\b")),
+    ("legacy-name", "dead-code", "source", _M(r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function|func|class|fn|struct|interface|type|public|private|protected|internal|static|const|let|var)\b") + r" AND regexp_matches(lower(regexp_replace(line, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '(?:^|[^a-z0-9])(?:old|bak|v1|legacy)(?:[^a-z0-9]|$)')"),
+    ("deprecation", "dead-code", "source", _M(r"@[dD]eprecated\b|\[Obsolete\]|DeprecationWarning|#\[deprecated\]|^\s*(?://|#|\*|///)\s*Deprecated:|@available\(\*,\s*deprecated")),
+    ("flag-sdk", "dead-code", "source", _M(r"\b(?:bool)?[vV]ariation\(|\b[iI]sEnabled\(|\bis_active\(|\bget(?:FeatureFlag|BooleanValue)\(|\bFEATURE_[A-Z0-9_]+\b")),
+    ("credential", "security", "source ci config", _M(_CRED) + f" AND NOT regexp_matches(regexp_extract(line, '{_CRED}', 1), '(?i)^[$<%]|^\\{{\\{{|fake|dummy|example|placeholder|changeme|your_|xxx')"),
+    ("string-sql", "security", "source", _M(_SQLC) + f" AND regexp_matches(regexp_extract(line, '{_SQLC}', 1), '" + r"\+\s*\w|\w\s*\+|\bf[\"'']|\$\{|String\.format|\$\"|[\"'']\s*%\s*[\w(]|\.format\(')"),
+    ("dynamic-eval", "security", "source ci config", _M(r"\b(?:eval|exec|system)\(|shell\s*=\s*True|shell:\s*true|(?:child_process|Runtime)\.exec\(|Process\.Start\(|exec\.Command\(")),
+    ("tls-disabled", "security", "source ci config", _M(r"verify\s*=\s*False|rejectUnauthorized:\s*false|InsecureSkipVerify:\s*true|ServerCertificateValidationCallback|VERIFY_NONE|(?:^|\W)--insecure\b")),
+    ("weak-hash", "security", "source", _M(r"\b(?:md5|sha1)\(|MD5\.Create|getInstance\(\"MD5\"\)|createHash\([''\"]md5[''\"]\)|Digest::MD5|\b(?:md5|sha1)\.(?:Sum|New)\(")),
+    ("permissive-cors", "security", "source ci config", _M(r"Access-Control-Allow-Origin[\"'']?\s*[:,]\s*[\"'']?\*")),
+    ("security-suppression", "security", "source ci config", _M(r"\bnosec\b|eslint-disable[^\n]*security|nolint:gosec|pragma\s+warning\s+disable[^\n]*\bCA\d+")),
+    ("sleep", "test-quality", "tests", _M(r"\bsleep\(|Thread\.Sleep|setTimeout\(|time\.Sleep\(")),
+    ("retry-marker", "test-quality", "tests", _M(r"@retry\b|\bflaky\b|\breruns\b|\bretries\s*[=:(]|jest\.retryTimes|\[Retry\]|@Repeat\b")),
+    ("wall-clock", "test-quality", "tests", _M(r"\bnow\(\)|Date\.now\(|DateTime\.(?:Now|UtcNow)|time\.Now\(|Time\.now|new Date\(\)")),
+    ("unseeded-random", "test-quality", "tests", _M(r"\b(?:random|rand)\.\w+\(|Math\.random\(|new Random\(\)") + " AND NOT contains(lower(line), 'seed')"),
+    ("try-in-test", "test-quality", "tests", _M(r"^\s*try\s*[:{]?\s*$|\bcatch\s*\(")),
+    ("conditional-in-test", "test-quality", "tests", _M(r"^\s*(?:if|elif|else if|switch)\b")),
+    ("numeric-assert", "test-quality", "tests", _M(r"\b(?:assert\w*|expect|Assert\.\w+|require\.\w+|should)\b(?:[^\n]*?[^\w.])??(?:\d{2,}|\d+\.\d+)\b")),
+    ("stdout-write", "pipeline-infra", "source", _M(r"\bprintf?\(|console\.log\(|System\.out\.println\(|fmt\.Print(?:ln|f)?\(|^\s*(?:puts|echo)\s|Console\.WriteLine\(")),
+    ("inline-disable", "lint", "source", _M(r"\bno(?:qa|lint|sec)\b|eslint-disable|pragma\s+warning\s+disable|SuppressWarnings|rubocop:disable|#\[allow\(")),
+    ("licence-line", "provenance", "", _M("(?i)released under the [A-Z0-9.-]+ licen[sc]e|all rights reserved|copyright")),
+    ("shouting", "style", "", _M("^[^a-z]*[A-Z]{3,}[^a-z]*!![^a-z]*$")),
+    ("bar-table", "style", "", _M(r"^([^|\n]+\|){5,}")),
+]
+#: Lines that some rule hits, and lines that look like them and are not hit.
+_CASES = (
+    "# TODO later", "x = todo", "raise NotImplementedError", "implemented", "@pytest.mark.skip(reason)", "skip(it)", "java -da Main", "node-da x", "def old_value():", "def bold_value():", "class HTTPClientV1Legacy {", "let goldV1 = 2",
+    "@Deprecated", "deprecated", "if flags.isEnabled('x'):", "FEATURE_NEW_UI = 1", "feature_new", "password = \"hunter2hunter2\"", "password = \"${SECRET_VALUE}\"", "token: 'your_token_here'", "db.execute(\"select \" + name)", "db.execute(\"select 1\")",
+    "eval(x)", "medieval(x)", "requests.get(u, verify=False)", "curl --insecure u", "x--insecure", "h = md5(a)", "hmd5(a)", "Access-Control-Allow-Origin: *", "Access-Control-Allow-Origin: https://a", "x  # nosec", "// eslint-disable-line security/detect",
+    "time.sleep(1)", "asleep (1)", "@retry", "retries = 3", "t = now()", "knownow", "random.choice(xs)", "random.seed(3); random.choice(xs)", "try:", "retry:", "    if x:", "iffy", "assert x == 42", "assert x == 4", "assertEqual(a1.22, b)", "expect 3.5", "print(x)", "reprint (x)", "  echo hello", "x = 1  # noqa", "<!-- this is wrong -->", "/* fix me later */", "plain line",
+)
+_SCOPES = ("source", "tests", "ci", "config", "docs")
+
+
+def _rule_sql(lines: str, key: str, scoped: bool, rules: list[str]) -> str:
+    where = lambda s: f" AND list_contains({s.split()!r}, scope)" if scoped and s else ""
+    one = lambda n, f, s, c: f"SELECT {key}, '{n}' AS rule, '{f}' AS family FROM l WHERE {c}{where(s)}"
+    return f"WITH l AS ({lines}), h AS (" + " UNION ALL ".join(one(*x) for x in _CONDITIONS if x[0] in rules) + f") SELECT {key}, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY ALL"
+
+
+@query(_rule_sql(r"SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents", "doc_id", False, [x[0] for x in _CONDITIONS]))
 def regex_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line rules in one pass over all lines, hits by document and rule (§2.13, AGG16, FUN32)."""
-    hits = linescan.scan_rules(linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text"), linescan.RULES)
+    hits = linescan.scan_rules(linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text"), linescan.RULES + linescan.PROSE)
     return hits.groupBy("doc_id", "rule", "family").agg(F.count("*").alias("hits"))
 
 
+_Q = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+@query(_rule_sql(f"SELECT {_Q(_CASES)}[CAST(p_partkey % {len(_CASES)} + 1 AS INTEGER)] AS line, {_Q(_SCOPES)}[CAST(p_size % {len(_SCOPES)} + 1 AS INTEGER)] AS scope FROM part", "scope, line", True, [r.name for r in linescan.RULES]))
+def line_rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line rule on lines that it hits and lines that it does not, in the scopes of files (§2.13)."""
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
+    l = table(spark, sf_dir, "part").select(pick(_CASES, "p_partkey").alias("line"), pick(_SCOPES, "p_size").alias("scope"))
+    return linescan.scan_rules(l, linescan.RULES, scope="scope").groupBy("scope", "line", "rule", "family").agg(F.count("*").alias("hits"))
+
+
+@query(r"""
+WITH l AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE CAST(o_orderkey // 4 % 7 AS INTEGER) WHEN 0 THEN 'code()' WHEN 1 THEN '# x = f(1)' WHEN 2 THEN '# return (x)' WHEN 3 THEN '# plain words' WHEN 4 THEN '// if (x) {' WHEN 5 THEN '// }' ELSE '  # def g():' END AS line FROM orders),
+c AS (SELECT o_custkey, n, trim(regexp_replace(line, '^\s*(#|//)\s?', ''), ' ') AS body FROM l WHERE regexp_matches(line, '^\s*(#|//)\s?')), i AS (SELECT *, n - row_number() OVER (PARTITION BY o_custkey ORDER BY n) AS run FROM c)
+SELECT o_custkey, CAST(min(n) AS INTEGER) AS lo, CAST(max(n) AS INTEGER) AS hi, CAST(count(*) FILTER (WHERE regexp_matches(body, '^(if|return|def)\b|^[A-Za-z_][\w.]*\s*(=[^=]|\()|[;{]$')) AS BIGINT) AS code_like, CAST(count(*) AS BIGINT) AS total FROM i GROUP BY o_custkey, run
+HAVING count(*) >= 3 AND 2 * count(*) FILTER (WHERE regexp_matches(body, '^(if|return|def)\b|^[A-Za-z_][\w.]*\s*(=[^=]|\()|[;{]$')) > count(*)
+ AND sum(length(body) - length(replace(body, '(', ''))) = sum(length(body) - length(replace(body, ')', ''))) AND sum(length(body) - length(replace(body, '{', ''))) = sum(length(body) - length(replace(body, '}', '')))""")
+def commented_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of comment lines that are mostly code, from lines that orders pick (§2.13 commented-out-code)."""
+    some = ("code()", "# x = f(1)", "# return (x)", "# plain words", "// if (x) {", "// }", "  # def g():")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    line = F.element_at(F.array(*map(F.lit, some)), (F.floor(F.col("o_orderkey") / 4) % 7 + 1).cast("int"))
+    return linescan.commented_code(table(spark, sf_dir, "orders").select("o_custkey", n.alias("lineno"), line.alias("line")), "o_custkey")
+
+
 @query(r"""
 SELECT doc_id, substr(sha1(concat_ws('|', lang, source, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))), 1, 16) AS fingerprint, substr(sha256(text), 1, 8) AS block_hash FROM documents""")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

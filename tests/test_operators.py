@@ -199,7 +199,7 @@ def test_text_functions(spark):
 def test_line_rules(spark):
     d = spark.createDataFrame([(1, "x = md5(a)\nmd5(b, usedforsecurity=False)\n# TODO"), (2, None), (3, "")], "id int, t string")
     l = linescan.explode_lines(d, "id", "t")
-    assert sorted((r.id, r.lineno, r.rule) for r in linescan.scan_rules(l, linescan.RULES).collect()) == [(1, 1, "weak-hash"), (1, 3, "open-marker")]
+    assert sorted((r.id, r.lineno, r.rule) for r in linescan.scan_rules(l, linescan.RULES).collect()) == [(1, 1, "weak-hash"), (1, 2, "weak-hash"), (1, 3, "satd-marker")]
     m = {r.id: r for r in linescan.line_metrics(l, "id").collect()}
     assert (m[1].n_lines, m[1].loc, m[3].n_lines, m[3].loc) == (3, 3, 1, 0)
 
