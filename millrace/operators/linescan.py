@@ -21,7 +21,7 @@ class Rule:
     """A line rule: what must match and what must not, and where it applies (empty: everywhere).
 
     ``needles`` are lower-case strings of which every line that matches has one: the cheap test that
-    comes first. Where the pattern has a group, the first match's must match ``holds`` and not
+    comes first, and one of ``marks``, if it has any. Where the pattern has a group, the first match's must match ``holds`` and not
     ``lacks``. ``words``: one of these must stand in the line as a word, camel case and underscores cut.
     """
 
@@ -34,6 +34,7 @@ class Rule:
     holds: str | None = None
     lacks: str | None = None
     words: tuple[str, ...] = ()
+    marks: tuple[str, ...] = ()
 
 
 def scan_rules(lines: DataFrame, rules: list[Rule], line: str = "line", scope: str | None = None) -> DataFrame:
@@ -43,7 +44,8 @@ def scan_rules(lines: DataFrame, rules: list[Rule], line: str = "line", scope: s
     each rule's expression runs only where one of its needles stands.
     """
     c, low = F.col(line), F.col("_low")
-    has = lambda r: reduce(lambda x, y: x | y, [F.contains(low, F.lit(n)) for n in r.needles])
+    some = lambda xs: reduce(lambda x, y: x | y, [F.contains(low, F.lit(n)) for n in xs])
+    has = lambda r: some(r.marks) & some(r.needles) if r.marks else some(r.needles)
 
     def hit(r: Rule):
         ok = has(r)
@@ -60,8 +62,8 @@ def scan_rules(lines: DataFrame, rules: list[Rule], line: str = "line", scope: s
             ok = ok & F.arrays_overlap(F.split(F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), F.array(*map(F.lit, r.words)))
         return F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family")))
 
-    some = reduce(lambda x, y: x | y, [F.contains(low, F.lit(n)) for n in sorted({n for r in rules for n in r.needles})])
-    open_ = lines.withColumn("_low", F.lower(c)).where(some)
+    plain = sorted({n for r in rules if not r.marks for n in r.needles})
+    open_ = lines.withColumn("_low", F.lower(c)).where(reduce(lambda x, y: x | y, [has(r) for r in rules if r.marks], some(plain) if plain else F.lit(False)))
     return open_.select(*lines.columns, F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("_h")).select(*lines.columns, "_h.rule", "_h.family")
 
 
@@ -116,7 +118,7 @@ DEFINITION = r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function|func|class|fn|stru
 
 #: Ids, families, patterns and scopes of the line rules. ``\\w`` is ASCII here.
 RULES = [
-    Rule("satd-marker", "half-finished", r"(?i)(?:#|//|/\*|^\s*\*|<!--|--).*\b(?:" + SATD.replace(" ", r"\s+") + r")\b", tuple(x.split(" ")[0] for x in SATD.split("|")), ALL_TEXT),
+    Rule("satd-marker", "half-finished", r"(?i)(?:#|//|/\*|^\s*\*|<!--|--).*\b(?:" + SATD.replace(" ", r"\s+") + r")\b", tuple(max(x.split(" "), key=len) for x in SATD.split("|")), ALL_TEXT, marks=("#", "//", "*", "<!--", "--")),
     Rule("stub", "half-finished", r"(?i)NotImplementedError|NotImplementedException|\bnot implemented\b|unimplemented!|panic\(\"not implemented|throw new Error\(\"not implemented|\bTODO\(\)", ("notimplemented", "not implemented", "unimplemented!", "todo()"), SOURCE_TESTS),
     Rule("skip-marker", "half-finished", r"\bxfail\b|expectedFailure|@pytest\.mark\.skip|@Ignore\b|@Disabled\b|\bit\.skip\(|\btest\.skip\(|\[Ignore\]|\bt\.Skip\(", ("xfail", "expectedfailure", "@pytest.mark.skip", "@ignore", "@disabled", ".skip(", "[ignore]"), SOURCE_TESTS),
     Rule("assertions-disabled", "error-masking", r"\bNDEBUG\b|\bpython[\d.]*\s+-OO?\b|(?<![\w-])-da\b|enableassertions\s*=\s*false|\bassert(?:ions)?[\"']?\s*:\s*false|^\s*(?:#|//)\s*assert\b", ("ndebug", "python", "-da", "assert"), SOURCE_CI_CONFIG),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import aggregates, classify, joins, linescan
 from millrace.plans.registry import query
-from millrace.sources.tables import table
+from millrace.sources.tables import spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,8 @@ def _rule_sql(lines: str, key: str, scoped: bool, rules: list[str]) -> str:
 @query(_rule_sql(r"SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents", "doc_id", False, [x[0] for x in _CONDITIONS]))
 def regex_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line rules in one pass over all lines, hits by document and rule (§2.13, AGG16, FUN32)."""
-    hits = linescan.scan_rules(linescan.explode_lines(documents(spark, sf_dir), "doc_id", "text"), linescan.RULES + linescan.PROSE)
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    hits = linescan.scan_rules(linescan.explode_lines(docs, "doc_id", "text"), linescan.RULES + linescan.PROSE)
     return hits.groupBy("doc_id", "rule", "family").agg(F.count("*").alias("hits"))
 
 
