@@ -8,30 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import covertree, htmlmain, langid, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
-from millrace.sources.tables import table
+from millrace.sources.tables import spread, table
 
 
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
 def op2_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = toxicity.toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language(table(spark, sf_dir, "documents"))
+    return langid.language(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +43,15 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmlmain.extract(table(spark, sf_dir, "pages"))
+    return htmlmain.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
