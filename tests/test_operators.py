@@ -263,7 +263,7 @@ def test_fact_rules(spark):
     assert sorted(r.rule for r in facts.workflow_rules(w).collect()) == ["ci.mutable-runner", "ci.no-cache", "ci.no-permissions", "ci.no-timeout", "ci.unpinned-action"]
     lines = ["FROM node AS build", "RUN apt-get install curl", "RUN curl x | sh", "ADD a b", "FROM build", "FROM python:3.12@sha256:x"]
     l = spark.createDataFrame([("Dockerfile", i, x) for i, x in enumerate(lines, 1)], "file string, lineno int, line string")
-    assert sorted((r.rule, r.line) for r in facts.container_rules(l).collect()) == sorted([("container.untagged-base", 1), ("container.unversioned-install", 2), ("container.no-pipefail", 3), ("container.add-local", 4), ("container.no-user", None)], key=str)
+    assert sorted((r.rule, r.line) for r in facts.container_rules(l).collect()) == sorted([("container.untagged-base", 1), ("container.unversioned-install", 2), ("container.no-pipefail", 3), ("container.add-local", 4), ("container.no-user", 1)], key=str)
     k = spark.createDataFrame([("k.yml", '{"kind":"Deployment","spec":{"template":{"spec":{"containers":[{"name":"c","image":"a/b","securityContext":{"privileged":true}}]}}}}')], "file string, doc string")
     assert sorted(r.rule for r in facts.deployment_rules(k).collect()) == ["iac.latest-image", "iac.no-resource-limits", "iac.privileged"]
     f = spark.createDataFrame([("a/package.json",), ("b/package.json",), ("b/yarn.lock",), ("c/package.json",), ("c/yarn.lock",), ("c/package-lock.json",)], "file string")
