@@ -114,3 +114,20 @@ def extends_by_one_span(old: Column, new: Column, most: int) -> Column:
         & (F.slice(new, k + extra + 1, F.size(old) - k) == F.slice(old, k + 1, F.size(old) - k)),
     )
     return extra.between(1, most) & F.when(extra.between(1, most), fits).otherwise(F.lit(False))
+
+
+#: What a scenario does that keeps others from running beside it, and the tag that says so.
+EXCLUSIVE, ALONE, DEFECT = r"Stubs\.reset\(|Stubs\.load\(|Db\.truncate\(|\btruncate:|\bstubs:", "@parallel=false", "@known-defect"
+
+
+def effective_scenarios(blocks: DataFrame, key: str) -> DataFrame:
+    """Scenarios of feature files ``(key, kind, name, tags, line, body)`` with their feature's tags added: ``tags, unsafe, defect`` (PRD25).
+
+    One is unsafe if it, or a Background of its file, does what ``EXCLUSIVE`` names and no tag says that it runs alone.
+    """
+    does = F.col("body").rlike(EXCLUSIVE)
+    above = blocks.groupBy(key).agg(F.flatten(F.collect_list(F.when(F.col("kind") == "Feature", F.col("tags")))).alias("_above"), F.bool_or((F.col("kind") == "Background") & does).alias("_tainted"))
+    s = blocks.where("kind in ('Scenario', 'Scenario Outline')").join(above, key).withColumn("tags", F.array_sort(F.array_union("tags", "_above")))
+    name = F.coalesce(F.nullif("name", F.lit("")), F.col("kind"))
+    unsafe = ~F.array_contains("tags", F.lit(ALONE)) & (F.col("_tainted") | does)
+    return s.select(key, "line", name.alias("name"), "tags", unsafe.alias("unsafe"), F.array_contains("tags", F.lit(DEFECT)).alias("defect"))

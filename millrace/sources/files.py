@@ -138,8 +138,10 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:
-    """The log with 1-based iteration numbers (SRC26); a log of a run's iterations is small."""
-    return spark.read.schema(schema).json(path).withColumn("iteration", F.row_number().over(Window.orderBy(order)))
+    """The log with 1-based iteration numbers (SRC26)."""
+    from millrace.operators.windows import numbered
+
+    return numbered(spark.read.schema(schema).json(path), [F.asc(order)], "iteration")
 
 
 def tail(lines: DataFrame, key: str, n: int) -> DataFrame:
