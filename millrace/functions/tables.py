@@ -158,41 +158,136 @@ def python_definitions(text: str | None) -> Iterator[tuple[str, str, int, int]]:
                         yield t.id, "constant", x.lineno, x.end_lineno
 
 
+def braced(lines: list[str], at: int, column: int) -> tuple[list[str], int]:
+    """The lines between the brace at a place and the one that closes it, and the number of the last line; to the end without one."""
+    depth, body, first = 0, [], True
+    for n in range(at, len(lines)):
+        start, part = (column if first else 0), lines[n]
+        kept = start
+        for m in re.finditer(r"[{}]", part[start:]):
+            place = start + m.start()
+            depth += 1 if m[0] == "{" else -1
+            if depth == 1 and m[0] == "{" and first:
+                kept, first = place + 1, False
+            elif not depth:
+                return [*body, part[kept:place]], n
+        body.append(part[kept:])
+        first = False
+    return body, len(lines) - 1
+
+
+def indented(lines: list[str], at: int) -> tuple[list[str], int]:
+    """The lines below a header that are indented more, blank ones included, and the number of the last of them."""
+    depth = len(lines[at]) - len(lines[at].lstrip())
+    n = at + 1
+    while n < len(lines) and (not lines[n].strip() or len(lines[n]) - len(lines[n].lstrip()) > depth):
+        n += 1
+    return lines[at + 1 : n], n - 1
+
+
+#: Heads of handlers, and what their bodies say.
+HANDLER = re.compile(
+    r"^\s*except\b(?P<py>[^:]*):|\bcatch\s*\((?P<brace>[^)]*)\)|\bcatch\s*(?=\{)|\bcatch\s+(?P<bare>[A-Za-z_]\w*)\s*(?=\{|$)"
+    r"|\bif\b[^{]*?\b(?P<error>\w*[eE]rr\w*)\s*!=\s*nil\s*(?=\{)"
+)
+LOGS = re.compile(r"\b(?:log|logger|logging|console|Log|fmt\.Print\w*|print|puts|warn|warning|error|info|debug|trace|Console\.WriteLine|System\.out)\b")
+CARRIES = re.compile(r"exc_info|\.exception\(|\bstack\w*|stackTrace|\berr\b|\bex\b|\be\)")
+NOTHING = re.compile(r"^(?:pass|continue|return(?:\s+(?:None|null|nil|False|false|\[\]|\{\}|\"\"|''))?;?|\.\.\.|;)$")
+
+
 def swallowed(text: str | None) -> Iterator[tuple[int, str, str | None]]:
-    """``(line, body, name)`` of Python handlers: empty, pass, return, log, or handled (FUN12, FUN28)."""
+    """``(line, body, name)`` of handlers of Python and of languages with braces: empty, pass, return, log, or handled (FUN12, FUN28).
+
+    A body that logs the error itself, or how it came about, handles it.
+    """
     lines = (text or "").split("\n")
     for n, line in enumerate(lines):
-        m = re.match(r"(\s*)except\b([^:]*)(?:\bas\s+(\w+))?[^:]*:\s*(.*)$", line)
+        m = HANDLER.search(line)
         if not m:
             continue
-        body = [m[4]] if m[4] else []
-        for after in lines[n + 1 :]:
-            if after.strip() and len(after) - len(after.lstrip()) <= len(m[1]):
-                break
-            body.append(after)
-        body = [b.strip() for b in body if b.strip() and not b.strip().startswith("#")]
-        name = re.search(r"\bas\s+(\w+)", line)
-        if not body:
+        if m["py"] is not None:
+            tail = line[m.end() :].strip()
+            body, name = ([tail] if tail else []) + indented(lines, n)[0], re.search(r"\bas\s+(\w+)", m["py"])
+            name = name[1] if name else None
+        else:
+            at = line.find("{", m.start())
+            place = (n, at) if at >= 0 else (n + 1, 0)
+            body = braced(lines, *place)[0] if place[0] < len(lines) else []
+            words = re.findall(r"[A-Za-z_]\w*", m["brace"] or "")
+            name = m["bare"] or m["error"] or (words[-1] if words else None)
+        code = [x.strip() for x in body if x.strip() and not x.strip().startswith(("#", "//", "*", "/*"))]
+        if not code:
             kind = "empty"
-        elif all(b in ("pass", "...", "continue") for b in body):
-            kind = "pass"
-        elif all(re.match(r"return\b(\s+(None|False|\[\]|\{\}|\"\"|''))?$", b) for b in body):
-            kind = "return"
-        elif all(re.match(r"(?:self\.)?(?:log|logger|logging|print)\b", b) for b in body):
+        elif all(map(NOTHING.match, code)):
+            kind = "return" if any(x.startswith("return") for x in code) else "pass"
+        elif all(map(LOGS.search, code)) and not any(CARRIES.search(x) or (name and re.search(rf"\b{re.escape(name)}\b", x)) for x in code):
             kind = "log"
         else:
             kind = "handled"
-        yield n + 1, kind, name[1] if name else None
+        yield n + 1, kind, name
 
 
-def boundaries(text: str | None) -> Iterator[tuple[str, str, str, str]]:
-    """``(field, rule, value, expected)`` at and beyond the limits that ``Field(...)`` declarations set (EXT04)."""
-    for m in re.finditer(r"(?m)^\s*(\w+)\s*:\s*[^=\n]+=\s*Field\(([^)\n]*)\)", text or ""):
+DECLARED = re.compile(
+    r"^\s*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|internal|static|final|abstract|sealed|async|override)\s+)*"
+    r"(?:(?P<kind>class|interface|enum|struct|record)\s+(?P<type>\w+)|function\s*\*?\s*(?P<function>\w+)|type\s+(?P<go>\w+)\s+(?:struct|interface)\b"
+    r"|func\s+(?:\(\s*\w*\s*\*?(?P<of>\w+)\s*\)\s*)?(?P<func>\w+)\s*\(|(?:const|let|var)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|(?P<result>[\w<>\[\],.?]+)\s+(?P<method>\w+)\s*\([^;]*$)"
+)
+NO_RESULT = frozenset("return new else throw await yield case if for while switch catch using lock".split())
+
+
+def declared(text: str | None) -> Iterator[tuple[str, str, int, int]]:
+    """``(name, kind, l0, l1)`` of types, functions and methods in code of languages with braces, by a line grammar (EXT05)."""
+    lines = (text or "").split("\n")
+    within: list[tuple[str, int]] = []
+    for n, line in enumerate(lines):
+        while within and within[-1][1] < n:
+            within.pop()
+        m = DECLARED.match(line)
+        if not m or (m["method"] and (m["result"] in NO_RESULT or not within)):
+            continue
+        at = next(((k, c) for k in range(n, min(n + 3, len(lines))) if (c := lines[k].find("{")) >= 0), None)
+        last = braced(lines, *at)[1] if at else n
+        name = m["type"] or m["function"] or m["go"] or m["func"] or m["arrow"] or m["method"]
+        kind = "class" if m["type"] or m["go"] else "function"
+        owner = m["of"] or (within[-1][0] if within and (m["method"] or kind == "class") else "")
+        yield f"{owner}.{name}" if owner else name, kind, n + 1, last + 1
+        if kind == "class":
+            within.append((f"{owner}.{name}" if owner else name, last))
+
+
+#: What annotations and attributes of other languages limit.
+LIMITS = {"Min": "ge", "DecimalMin": "ge", "Max": "le", "DecimalMax": "le", "MinLength": "min_length", "MaxLength": "max_length", "StringLength": "max_length"}
+ANNOTATED = re.compile(r"[@\[](Min|Max|DecimalMin|DecimalMax|Size|Range|MinLength|MaxLength|StringLength)\(([^)\n]*)\)")
+FIELD = re.compile(r"\b(?:private|protected|public|internal)\s+(?:[\w<>\[\],.?]+\s+)+?(\w+)\s*[;={]")
+
+
+def limits_of(text: str) -> Iterator[tuple[str, str, int]]:
+    """``(field, rule, limit)`` of ``Field(...)`` declarations, bean annotations and data attributes, which may stand on lines above their field."""
+    for m in re.finditer(r"(?m)^\s*(\w+)\s*:\s*[^=\n]+=\s*Field\(([^)\n]*)\)", text):
         for rule, raw in re.findall(r"\b(ge|le|gt|lt|min_length|max_length)\s*=\s*(-?[0-9]+)", m[2]):
-            k = int(raw)
-            inside, outside = {"ge": (k, k - 1), "le": (k, k + 1), "gt": (k + 1, k), "lt": (k - 1, k), "min_length": (k, k - 1), "max_length": (k, k + 1)}[rule]
-            yield m[1], rule, str(inside), "accept"
-            yield m[1], rule, str(outside), "reject"
+            yield m[1], rule, int(raw)
+    found: list[tuple[str, int]] = []
+    for line in text.split("\n"):
+        for name, arguments in ANNOTATED.findall(line):
+            named = dict(re.findall(r"(\w+)\s*=\s*(-?[0-9]+)", arguments))
+            plain = re.findall(r"(?<![\w=.-])-?[0-9]+", re.sub(r"\w+\s*=\s*-?[0-9]+", "", arguments)) or ([named["value"]] if "value" in named else [])
+            if name == "Size":
+                found += [(r, int(named[k])) for k, r in (("min", "min_length"), ("max", "max_length")) if k in named]
+            elif name == "Range" and len(plain) > 1:
+                found += [("ge", int(plain[0])), ("le", int(plain[1]))]
+            elif name in LIMITS and plain:
+                found.append((LIMITS[name], int(plain[0])))
+        if found and (m := FIELD.search(line)):
+            yield from ((m[1], rule, k) for rule, k in found)
+            found = []
+
+
+def boundaries(text: str | None) -> Iterator[tuple[str, str, str, str]]:
+    """``(field, rule, value, expected)`` at and beyond the limits that declarations of three languages set (EXT04)."""
+    for name, rule, k in limits_of(text or ""):
+        inside, outside = {"ge": (k, k - 1), "le": (k, k + 1), "gt": (k + 1, k), "lt": (k - 1, k), "min_length": (k, k - 1), "max_length": (k, k + 1)}[rule]
+        yield name, rule, str(inside), "accept"
+        yield name, rule, str(outside), "reject"
 
 
 def joined_lines(text: str | None, most: int = 200) -> Iterator[tuple[int, int, str]]:
@@ -231,31 +326,71 @@ def md_tables(text: str | None) -> Iterator[tuple[int, int, str, str]]:
                     yield at, n, name, cell
 
 
-#: What to look for in the body of a Python loop.
+#: Heads of loops, and what to look for in their bodies.
+LOOP = re.compile(r"^\s*(?:async\s+for\b|for\b|while\b|foreach\b|.*\.forEach\s*\()")
 SMELLS = {
-    "io-in-loop": re.compile(r"\b(open|requests\.(get|post)|urlopen|execute|fetch\w*)\s*\("),
-    "regex-in-loop": re.compile(r"\bre\.(compile|match|search|sub|findall)\s*\("),
-    "sort-in-loop": re.compile(r"\b(sorted\s*\(|\w+\.sort\s*\()"),
-    "membership-in-loop": re.compile(r"\bif\s+\w+\s+(not\s+)?in\s+\w*(list|items|rows)\b"),
+    "io-in-loop": re.compile(r"\b(?:open|subprocess\.(?:run|check_output|call|Popen)|requests\.(?:get|post|put|delete|head)|fetch|axios\.\w+|urlopen)\s*\(|\.(?:query|execute|fetchone|fetchall|find_one|find)\s*\("),
+    "regex-in-loop": re.compile(r"\b(?:re\.compile|new\s+RegExp|Pattern\.compile|regexp\.MustCompile|Regex::new)\s*\("),
+    "sort-in-loop": re.compile(r"\bsorted\s*\(|\.sort(?:ed|By)?\s*\("),
+    "membership-in-loop": re.compile(r"\bin\s*\[|\.includes\s*\(\s*['\"]"),
 }
 
 
 def loop_smells(text: str | None) -> Iterator[tuple[str, int, int]]:
-    """``(rule, line, loop line)`` of costly calls in loops, told once against the outermost loop (FUN29)."""
-    outer: tuple[int, int] | None = None
-    for at, line in enumerate((text or "").split("\n"), 1):
-        bare = re.sub(r"#.*$", "", line)
-        if not bare.strip():
+    """``(rule, line, loop line)`` of costly calls in loops of Python and of languages with braces, told once against the outermost loop (FUN29).
+
+    Comments say nothing, and a head of an inner loop is not part of a body.
+    """
+    lines = (text or "").split("\n")
+    n = 0
+    while n < len(lines):
+        bare = re.sub(r"(?:#|//).*$", "", lines[n]).rstrip()
+        last = n
+        if LOOP.match(bare):
+            if bare.endswith(":"):
+                last = indented(lines, n)[1]
+            elif "{" in bare:
+                last = braced(lines, n, bare.find("{"))[1]
+            elif n + 1 < len(lines) and lines[n + 1].lstrip().startswith("{"):
+                last = braced(lines, n + 1, 0)[1]
+            for at in range(n + 1, last + 1):
+                body = re.sub(r"(?:#|//).*$", "", lines[at])
+                if not LOOP.match(body):
+                    yield from ((rule, at + 1, n + 1) for rule, smell in SMELLS.items() if smell.search(body))
+        n = last + 1
+
+
+#: Client, its call, and the argument that bounds its time.
+CLIENTS = [
+    ("requests/httpx", r"\b(?:requests|httpx)\.(?:get|post|put|delete|patch|head|request)\(", r"\btimeout\s*="),
+    ("fetch", r"\bfetch\(", r"\bsignal\b|\btimeout\b"),
+    ("axios", r"\baxios(?:\.\w+)?\(", r"\btimeout\b|\bsignal\b"),
+    ("HttpClient", r"new\s+HttpClient\(", r"\bTimeout\b"),
+    ("net/http", r"\bhttp\.(?:Get|Post|Head|PostForm)\(", r"\bTimeout\b"),
+    ("http.Client", r"&http\.Client\{", r"\bTimeout\b"),
+    ("Net::HTTP", r"Net::HTTP", r"read_timeout"),
+    ("urlopen", r"\burlopen\(", r"\btimeout\b"),
+    ("curl", r"(?<![\w.])curl\b", r"--max-time|(?<!\w)-m\s+\d"),
+]
+CLIENTS = [(name, re.compile(call), re.compile(bound)) for name, call, bound in CLIENTS]
+
+
+def no_timeout(text: str | None, most: int = 20) -> Iterator[tuple[int, str]]:
+    """``(line, client)`` of calls, at most ``most`` more lines long, of nine clients that set no limit of time (FUN30)."""
+    lines = (text or "").split("\n")
+    for n, line in enumerate(lines):
+        if line.lstrip().startswith(("#", "//", "*")):
             continue
-        depth = len(bare) - len(bare.lstrip())
-        if outer and depth <= outer[1]:
-            outer = None
-        if outer:
-            for rule, smell in SMELLS.items():
-                if smell.search(bare):
-                    yield rule, at, outer[0]
-        elif re.match(r"\s*(for|while)\b.*:", bare):
-            outer = (at, depth)
+        for name, call, bound in CLIENTS:
+            if m := call.search(line):
+                span, open_ = line, m[0][-1]
+                if open_ in "({":
+                    shut, last = {"(": ")", "{": "}"}[open_], n
+                    while span.count(open_) > span.count(shut) and last + 1 < len(lines) and last - n < most:
+                        last += 1
+                        span += " " + lines[last]
+                if not bound.search(span):
+                    yield n + 1, name
 
 
 def calls_without(text: str | None, call: str = r"requests\.(?:get|post|put|delete)", argument: str = "timeout", most: int = 20) -> Iterator[tuple[int, int, str]]:
@@ -297,6 +432,8 @@ FUNCTIONS = {
     "md_inlines": (md_inlines, "line int, c0 int, c1 int, kind string, text string, target string"),
     "gherkin_blocks": (gherkin_blocks, "kind string, name string, tags array<string>, line int, body string"),
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
+    "declared": (declared, "name string, kind string, l0 int, l1 int"),
+    "no_timeout": (no_timeout, "line int, client string"),
     "swallowed": (swallowed, "line int, body string, name string"),
     "boundaries": (boundaries, "field string, rule string, value string, expected string"),
     "front_matter": (front_matter, "key string, value string"),

@@ -314,3 +314,122 @@ def joined_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     t = texts(orders(spark, sf_dir), "o_custkey", "o_orderkey", F.when(k % 2 == 0, cat("f(", s(k), ",\n 1)")).otherwise(cat("x = ", s(k), "\ny")))
     return tables.apply(t, "joined_lines", "t", ["o_custkey"]).toDF("o_custkey", "l0", "l1", "text")
+
+
+def code(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """A customer's orders as a file of code, two lines or more each."""
+    return texts(orders(spark, sf_dir), "o_custkey", "o_orderkey", line)
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CAST(4 * n - 3 AS INTEGER) AS line, CASE k // 4 % 7 WHEN 0 THEN 'pass' WHEN 1 THEN 'log' WHEN 2 THEN 'handled' WHEN 3 THEN 'empty' WHEN 4 THEN 'return' WHEN 5 THEN 'handled' ELSE 'return' END AS body, CASE k // 4 % 7 WHEN 0 THEN NULL WHEN 1 THEN 'e' || k WHEN 2 THEN 'e' || k WHEN 3 THEN 'ex' WHEN 4 THEN NULL WHEN 5 THEN 'err' ELSE 'err' END AS name FROM o""")
+def code_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What handlers of three languages do with an error (FUN12, FUN28)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 7
+    one = (
+        F.when(r == 0, "except ValueError:\n    # why\n    pass\n").when(r == 1, cat("except E as e", s(k), ":\n    logger.info('x')\n\n")).when(r == 2, cat("except E as e", s(k), ":\n    logger.info(e", s(k), ")\n\n"))
+        .when(r == 3, "} catch (IOException ex) {\n  // nothing\n}\n").when(r == 4, "} catch {\n  return null;\n}\n").when(r == 5, "if err != nil {\n  return fmt.Errorf(x)\n}\n").otherwise("if err != nil {\n  return nil\n}\n")
+    )
+    return tables.apply(code(spark, sf_dir, one), "swallowed", "t", ["o_custkey"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey // 4 % 6 AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CASE k WHEN 0 THEN 'io-in-loop' WHEN 1 THEN 'regex-in-loop' WHEN 2 THEN 'sort-in-loop' ELSE 'membership-in-loop' END AS rule, CAST(4 * n - 1 AS INTEGER) AS line, CAST(4 * n - 3 AS INTEGER) AS loop FROM o WHERE k < 4""")
+def code_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costly calls in loops, against the outermost (FUN29)."""
+    r = F.floor(F.col("o_orderkey") / 4) % 6
+    one = (
+        F.when(r == 0, "for x in y:\n  while z:\n    open(f)\n").when(r == 1, "for (;;) {\n  x();\n  new RegExp(s);\n}").when(r == 2, "xs.forEach(x => {\n  y\n  ys.sort();\n})")
+        .when(r == 3, "while a:\n  b\n  if c in ['d']: e\n").when(r == 4, "for x in y:\n  # open(f)\n  z\n").otherwise("open(f)\nsorted(x)\n\n")
+    )
+    return tables.apply(code(spark, sf_dir, one), "loop_smells", "t", ["o_custkey"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey // 4 % 6 AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CAST(3 * n - 2 AS INTEGER) AS line, CASE k WHEN 0 THEN 'requests/httpx' WHEN 1 THEN 'curl' ELSE 'http.Client' END AS client FROM o WHERE k < 3""")
+def code_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that set no limit of time, over several lines (FUN30)."""
+    r = F.floor(F.col("o_orderkey") / 4) % 6
+    one = F.when(r == 0, "requests.get(u,\n  headers=h)\nx").when(r == 1, "curl -s u\n\n").when(r == 2, "c := &http.Client{\n}\n").when(r == 3, "httpx.post(u,\n  json=j,\n  timeout=3)").when(r == 4, "curl -m 5 u\n# fetch(u)\n").otherwise("c := &http.Client{\n  Timeout: t,\n}")
+    return tables.apply(code(spark, sf_dir, one), "no_timeout", "t", ["o_custkey"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey // 4 % 5 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CASE r WHEN 0 THEN 'C' || k WHEN 1 THEN 'f' || k WHEN 2 THEN 'T.m' || k WHEN 3 THEN 'g' || k ELSE 'S' || k END AS name, CASE WHEN r IN (0, 4) THEN 'class' ELSE 'function' END AS kind, CAST(4 * n - 3 AS INTEGER) AS l0, CAST(4 * n AS INTEGER) AS l1 FROM o
+UNION ALL SELECT o_custkey, 'C' || k || '.run', 'function', CAST(4 * n - 2 AS INTEGER), CAST(4 * n - 1 AS INTEGER) FROM o WHERE r = 0""")
+def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, functions and methods of code with braces (EXT05)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 5
+    one = (
+        F.when(r == 0, cat("public class C", s(k), " {\n  public void run(int a) {\n  }\n}")).when(r == 1, cat("export async function f", s(k), "(a) {\n  if (a) {\n  }\n}")).when(r == 2, cat("func (t *T) m", s(k), "(a int) {\n  for {\n  }\n}"))
+        .when(r == 3, cat("const g", s(k), " = (a) => {\n  return new A(b)\n\n}")).otherwise(cat("type S", s(k), " struct {\n  a int\n\n}"))
+    )
+    return tables.apply(code(spark, sf_dir, one), "declared", "t", ["o_custkey"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, 'f' || o_orderkey AS field, o_orderkey % 90 + 1 AS k, o_orderkey // 4 % 4 AS r FROM orders),
+l AS (SELECT o_custkey, field, 'ge' AS rule, k FROM o WHERE r IN (0, 2) UNION ALL SELECT o_custkey, field, 'le', k + 9 FROM o WHERE r = 2 UNION ALL SELECT o_custkey, field, 'max_length', k FROM o WHERE r IN (1, 3) UNION ALL SELECT o_custkey, field, 'min_length', 1 FROM o WHERE r = 1)
+SELECT o_custkey, field, rule, CAST(k AS VARCHAR) AS value, 'accept' AS expected FROM l UNION ALL SELECT o_custkey, field, rule, CAST(CASE WHEN rule IN ('ge', 'min_length') THEN k - 1 ELSE k + 1 END AS VARCHAR), 'reject' FROM l""")
+def declared_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at and beyond the limits that three languages declare (EXT04)."""
+    k = F.col("o_orderkey")
+    r, n = F.floor(k / 4) % 4, k % 90 + 1
+    one = (
+        F.when(r == 0, cat("f", s(k), ": int = Field(ge=", s(n), ")")).when(r == 1, cat("@Size(min = 1, max = ", s(n), ")\n@NotNull\nprivate String f", s(k), ";"))
+        .when(r == 2, cat("[Range(", s(n), ", ", s(n + 9), ")]\npublic int f", s(k), " { get; set; }")).otherwise(cat("[StringLength(", s(n), ")] public string f", s(k), " = x;"))
+    )
+    return tables.apply(code(spark, sf_dir, one), "boundaries", "t", ["o_custkey"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey // 4 % 4 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CASE r WHEN 0 THEN 'heading2' WHEN 1 THEN 'code' WHEN 2 THEN 'item' ELSE 'para' END AS kind, CAST(4 * n - 3 AS INTEGER) AS l0, CAST(4 * n - 3 + CASE r WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS l1, CASE r WHEN 0 THEN 'H' || k WHEN 1 THEN 'c' || k WHEN 2 THEN 'i' || k ELSE 'p' || k || chr(10) || 'q' END AS text FROM o""")
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, code, items and paragraphs with their lines (SRC18, EXT01)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 4
+    one = F.when(r == 0, cat("## H", s(k), " ##\n\n\n")).when(r == 1, cat("```py\nc", s(k), "\n```\n")).when(r == 2, cat("- i", s(k), "\n\n\n")).otherwise(cat("p", s(k), "\n  q\n\n"))
+    return tables.apply(code(spark, sf_dir, one), "md_blocks", "t", ["o_custkey"]).select("o_custkey", "kind", "l0", "l1", "text")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey // 4 % 4 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CAST(2 * n - 1 AS INTEGER) AS line, CASE r WHEN 0 THEN 'code' WHEN 1 THEN 'link' WHEN 2 THEN 'image' ELSE 'link' END AS kind, CASE r WHEN 0 THEN 'c' || k WHEN 1 THEN 'l' || k WHEN 2 THEN 'i' ELSE 'https://h/' || k END AS text, CASE r WHEN 1 THEN 'd/' || k || '.md#x' WHEN 2 THEN k || '.png' WHEN 3 THEN 'https://h/' || k END AS target FROM o""")
+def markdown_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code spans, links and images with their targets (SRC18, SRC33)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 4
+    one = F.when(r == 0, cat("a `` c", s(k), " `` b\n")).when(r == 1, cat("[l", s(k), "](d/", s(k), '.md#x "t")\n')).when(r == 2, cat("![i](", s(k), ".png)\n")).otherwise(cat("<https://h/", s(k), ">\n"))
+    return tables.apply(code(spark, sf_dir, one), "md_inlines", "t", ["o_custkey"]).select("o_custkey", "line", "kind", "text", "target")
+
+
+@query("""
+SELECT o_custkey, 'k' AS name, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row, CAST(o_orderkey AS VARCHAR) AS cell FROM orders
+UNION ALL SELECT o_custkey, 'v', CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER), 'a|' || o_orderstatus FROM orders""")
+def markdown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a table by column and row (SRC34)."""
+    t = code(spark, sf_dir, cat("| ", s("o_orderkey"), " | a\\|", F.col("o_orderstatus"), " |")).select("o_custkey", cat("text\n\n| k | v |\n|---|:-:|\n", F.col("t"), "\n").alias("t"))
+    return tables.apply(t, "md_tables", "t", ["o_custkey"]).select("o_custkey", "name", "row", "cell")
+
+
+@query("SELECT p_partkey, unnest(['name', 'size']) AS key, unnest([p_name, CAST(p_size AS VARCHAR)]) AS value FROM part WHERE p_partkey % 4 <> 0")
+def front_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of front matter; a text that does not begin with it has none (SRC20)."""
+    t = cat(F.when(F.col("p_partkey") % 4 == 0, "x\n").otherwise(""), "---\nname: '", F.col("p_name"), "'\nsize:  ", s("p_size"), " \n- no\n---\nafter: 1")
+    return tables.apply(table(spark, sf_dir, "part").select("p_partkey", t.alias("t")), "front_matter", "t", ["p_partkey"])
+
+
+@query("""
+SELECT p_partkey, '--size' AS name, CAST(p_size AS VARCHAR) AS "default", ['a', p_brand] AS choices, CASE WHEN p_partkey % 2 = 0 THEN true END AS required FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'path', NULL, [], NULL FROM part WHERE p_partkey % 5 <> 0""")
+def command_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of command lines with default, choices and need; code that does not parse has none (FUN36, FUN37)."""
+    k = F.col("p_partkey")
+    t = cat("p.add_argument('-s', '--size', default=", s("p_size"), ", choices=['a', '", F.col("p_brand"), "']", F.when(k % 2 == 0, ", required=True").otherwise(""), ")\np.add_argument('path')\n", F.when(k % 5 == 0, "def (").otherwise(""))
+    return tables.apply(table(spark, sf_dir, "part").select("p_partkey", t.alias("t")), "cli_options", "t", ["p_partkey"])
