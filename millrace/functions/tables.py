@@ -7,7 +7,10 @@ generators run per text, so a partition needs memory for one text at a time.
 from __future__ import annotations
 
 import ast
+import configparser
+import json
 import re
+import tomllib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -426,6 +429,85 @@ def cli_options(text: str | None) -> Iterator[tuple[str, str | None, list[str],
                 yield max(names, key=len), None if default is None else str(default), choices, value("required")
 
 
+LITERAL = re.compile(r"//[^\n]*|--[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?", re.S)
+
+
+def masked_lines(text: str | None) -> Iterator[tuple[int, str]]:
+    """``(line, code)`` of code with comments and strings blanked, each character by a space, so that columns stay (FUN36)."""
+    blank = LITERAL.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text or "")
+    yield from ((n, x.rstrip()) for n, x in enumerate(blank.split("\n"), 1))
+
+
+#: Kinds of tokens in code spans, the first that fits.
+TOKENS = [
+    ("cite", re.compile(r"[\w./-]+\.\w+:[0-9]+(?:-[0-9]+)?$")),
+    ("version", re.compile(r"v?[0-9]+(?:\.[0-9]+)+(?:[-+][\w.]+)?$")),
+    ("script", re.compile(r"(?:npm run|yarn|pnpm|make|just)\s+[\w:-]+$")),
+    ("anchor", re.compile(r"#[\w-]+$")),
+    ("path", re.compile(r"(?:\.{0,2}/)?[\w.-]+(?:/[\w.-]+)*/?$")),
+]
+
+
+def md_tokens(text: str | None) -> Iterator[tuple[int, int, int, str, str]]:
+    """``(line, c0, c1, kind, text)`` of citations, versions, scripts, anchors and paths in code spans and link targets (SRC33).
+
+    A path has a slash or an ending; other words are ``name``.
+    """
+    for at, c0, c1, kind, body, target in md_inlines(text):
+        token = body if kind == "code" else target
+        if token and "://" not in token:
+            found = next((k for k, p in TOKENS if p.match(token) and (k != "path" or "/" in token or "." in token.strip("."))), "name")
+            yield at, c0, c1, found, token
+
+
+def _leaves(node: object, prefix: str = "") -> Iterator[tuple[str, str]]:
+    if isinstance(node, dict):
+        for k, v in node.items():
+            yield from _leaves(v, f"{prefix}.{k}" if prefix else str(k))
+    elif isinstance(node, list):
+        for k, v in enumerate(node):
+            yield from _leaves(v, f"{prefix}[{k}]")
+    elif node is not None:
+        yield prefix, str(node).lower() if isinstance(node, bool) else str(node)
+
+
+def _nested(text: str) -> Iterator[tuple[str, str]]:
+    """Maps by indentation with plain values, which is what settings files have of YAML; lists and anchors are left out."""
+    above: list[tuple[int, str]] = []
+    for line in text.split("\n"):
+        if m := re.match(r"( *)([\w.-]+):(?:[ \t]+(.*?))?[ \t]*$", re.sub(r"(?:^|[ \t])#.*$", "", line)):
+            depth = len(m[1])
+            while above and above[-1][0] >= depth:
+                above.pop()
+            above.append((depth, m[2]))
+            if m[3]:
+                yield ".".join(k for _, k in above), m[3].strip("\"'")
+
+
+def settings(path: str | None, text: str | None) -> Iterator[tuple[str, str]]:
+    """``(key, value)`` of a settings file of six formats, by its ending; nested keys with dots; none where it does not parse (SRC21)."""
+    ending = (path or "").rsplit(".", 1)[-1].lower()
+    text = text or ""
+    try:
+        if ending == "json":
+            yield from _leaves(json.loads(text))
+        elif ending == "toml":
+            yield from _leaves(tomllib.loads(text))
+        elif ending in ("yml", "yaml"):
+            yield from _nested(text)
+        elif ending in ("ini", "cfg"):
+            c = configparser.ConfigParser(interpolation=None)
+            c.optionxform = str
+            c.read_string(text)
+            yield from ((f"{s}.{k}", v) for s in c.sections() for k, v in c.items(s))
+        elif ending in ("properties", "env"):
+            for line in text.split("\n"):
+                if m := re.match(r"\s*(?:export\s+)?([\w.-]+)\s*[=:]\s*(.*?)\s*$", line):
+                    yield m[1], m[2].strip("\"'")
+    except (ValueError, configparser.Error, RecursionError):
+        return
+
+
 #: EXT01: the table functions with their schemas.
 FUNCTIONS = {
     "md_blocks": (md_blocks, "idx int, kind string, l0 int, l1 int, parent int, text string"),
@@ -434,6 +516,8 @@ FUNCTIONS = {
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
     "declared": (declared, "name string, kind string, l0 int, l1 int"),
     "no_timeout": (no_timeout, "line int, client string"),
+    "masked_lines": (masked_lines, "line int, code string"),
+    "md_tokens": (md_tokens, "line int, c0 int, c1 int, kind string, text string"),
     "swallowed": (swallowed, "line int, body string, name string"),
     "boundaries": (boundaries, "field string, rule string, value string, expected string"),
     "front_matter": (front_matter, "key string, value string"),
@@ -462,6 +546,21 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, udtf(wrapped(f), returnType=schema))
 
 
+def read_settings(files: DataFrame) -> DataFrame:
+    """``source, key, value`` of settings files ``(path, text)``, the path as source (SRC21)."""
+    import pandas as pd
+
+    ship(files.sparkSession)
+
+    def run(batches):
+        for p in batches:
+            rows = [(path, *r) for path, t in p.itertuples(index=False) for r in settings(path, t)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "key", "value"]).astype(object)
+
+    return files.select("path", "text").mapInPandas(run, "source string, key string, value string")
+
+
 def apply(df: DataFrame, function: str, text: str, keep: list[str]) -> DataFrame:
     """Rows of a table function for each text, with the columns to keep; Arrow batches, no shuffle."""
     import pandas as pd

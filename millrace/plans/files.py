@@ -433,3 +433,77 @@ def command_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     t = cat("p.add_argument('-s', '--size', default=", s("p_size"), ", choices=['a', '", F.col("p_brand"), "']", F.when(k % 2 == 0, ", required=True").otherwise(""), ")\np.add_argument('path')\n", F.when(k % 5 == 0, "def (").otherwise(""))
     return tables.apply(table(spark, sf_dir, "part").select("p_partkey", t.alias("t")), "cli_options", "t", ["p_partkey"])
+
+
+@query("""
+WITH p AS (SELECT p_size AS key, p_partkey AS k, p_partkey % 6 AS r FROM part), b AS (SELECT key, min(r) AS r FROM p GROUP BY 1)
+SELECT 'a.k' || p.key AS key, 'v' || min(k) AS value, ['f.env', 'f.properties', 'f.json', 'f.toml', 'f.ini', 'f.yml'][CAST(p.r + 1 AS INTEGER)] AS source FROM p JOIN b ON b.key = p.key AND b.r = p.r GROUP BY p.key, p.r""")
+def settings_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A setting's value from files of six formats, the first in rank order (SRC21)."""
+    k = F.col("p_partkey")
+    names = ("f.env", "f.properties", "f.json", "f.toml", "f.ini", "f.yml")
+    one = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("key"), (k % 6).cast("int").alias("r")).agg(F.min("p_partkey").alias("k"))
+    key, v = cat("k", s("key")), cat("v", s("k"))
+    line = (
+        F.when(F.col("r") == 0, cat("export a.", key, "='", v, "'")).when(F.col("r") == 1, cat("a.", key, " : ", v)).when(F.col("r") == 2, cat('"', key, '": "', v, '"'))
+        .when(F.col("r") == 3, cat(key, ' = "', v, '"')).when(F.col("r") == 4, cat(key, "=", v)).otherwise(cat("  ", key, ": ", v, "  # why"))
+    )
+    whole = texts(one.withColumn("_r", F.col("r")), "r", "key", line, "\n")
+    t = F.col("t")
+    body = F.when(F.col("r") == 2, cat('{"a": {', F.replace(t, F.lit("\n"), F.lit(", ")), "}}")).when(F.col("r").isin(3, 4), cat("[a]\n", t)).when(F.col("r") == 5, cat("a:\n", t)).otherwise(t)
+    files_ = whole.select(F.element_at(F.array(*map(F.lit, names)), F.col("r") + 1).alias("path"), body.alias("text"))
+    return files.flattened(tables.read_settings(files_), {n: i for i, n in enumerate(names)})
+
+
+@query("""
+SELECT 'p' || p_partkey AS path, 'c' || p_partkey AS name, p_brand AS image, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 8000 + p_size END AS INTEGER) AS port, CASE WHEN p_partkey % 4 = 0 THEN '/health' END AS ready, CASE p_partkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['A', 'cfg'] ELSE ['A'] END AS env FROM part WHERE p_partkey % 7 <> 0""")
+def deployment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Port, readiness and environment of the first container (SRC22)."""
+    k = F.col("p_partkey")
+    c = F.struct(
+        cat("c", s(k)).alias("name"), F.col("p_brand").alias("image"), F.when(k % 3 != 0, F.array(F.struct((8000 + F.col("p_size")).alias("containerPort")))).alias("ports"), F.when(k % 4 == 0, F.struct(F.struct(F.lit("/health").alias("path")).alias("httpGet"))).alias("readinessProbe"),
+        F.when(k % 5 != 0, F.array(F.struct(F.lit("A").alias("name")))).alias("env"), F.when(k % 5 == 1, F.array(F.struct(F.struct(F.lit("cfg").alias("name")).alias("configMapRef")))).alias("envFrom"),
+    )
+    other = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("image", "string"), ("ports", "array<struct<containerPort:int>>"), ("readinessProbe", "struct<httpGet:struct<path:string>>"), ("env", "array<struct<name:string>>"), ("envFrom", "array<struct<configMapRef:struct<name:string>>>"))])
+    pods = F.when(k % 7 == 0, F.slice(F.array(other), 1, 0)).otherwise(F.array(c, other))
+    doc = F.to_json(F.struct(F.struct(F.struct(F.struct(pods.alias("containers")).alias("spec")).alias("template")).alias("spec")))
+    return files.deployments(table(spark, sf_dir, "part").select(cat("p", s(k)).alias("path"), doc.alias("doc")))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders), t AS (SELECT o_custkey, string_agg('l' || o_orderkey, chr(10) ORDER BY o_orderkey) AS tail FROM o WHERE rn <= 2 GROUP BY 1)
+SELECT c_custkey, coalesce(tail, 'no output') AS tail FROM customer LEFT JOIN t ON o_custkey = c_custkey""")
+def log_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of each log, or that there is none (SRC35)."""
+    l = orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("lineno"), cat("l", s("o_orderkey")).alias("line"))
+    return files.tail(l, "c_custkey", 2, table(spark, sf_dir, "customer"), "no output")
+
+
+@query("""
+SELECT replace('[ ' || string_agg('{~  "key" : ' || r_regionkey || ',~  "name" : "' || r_name || '"~}', ', ' ORDER BY r_name) || ' ]', '~', chr(10)) AS document FROM region""")
+def pretty_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as one indented document with sorted keys (SRC11)."""
+    return files.document(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")), ["name"])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey // 4 % 4 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CAST(2 * n - 1 AS INTEGER) AS line, CASE r WHEN 0 THEN 'a' || k || ' = 1;' WHEN 1 THEN 'f(' || repeat(' ', length(CAST(k AS VARCHAR)) + 2) || ', b)' WHEN 2 THEN 'x' ELSE 'SELECT a' || k END AS code FROM o
+UNION ALL SELECT o_custkey, CAST(2 * n AS INTEGER), CASE r WHEN 0 THEN 'b' WHEN 1 THEN 'c' WHEN 2 THEN repeat(' ', length(CAST(k AS VARCHAR)) + 3) || 'y' ELSE 'd' END FROM o""")
+def masked_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code with its comments and strings blanked in place (FUN36)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 4
+    one = F.when(r == 0, cat("a", s(k), " = 1; // it's\nb")).when(r == 1, cat('f("', s(k), '", b)\nc')).when(r == 2, cat("x /* '\n ", s(k), "*/y")).otherwise(cat("SELECT a", s(k), " -- \"no\nd"))
+    return tables.apply(code(spark, sf_dir, one), "masked_lines", "t", ["o_custkey"]).select("o_custkey", "line", "code")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey // 4 % 7 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_custkey, CAST(2 * n - 1 AS INTEGER) AS line, CASE r WHEN 0 THEN 'cite' WHEN 1 THEN 'version' WHEN 2 THEN 'script' WHEN 3 THEN 'path' WHEN 4 THEN 'name' ELSE 'anchor' END AS kind, CASE r WHEN 0 THEN 'src/a.py:' || k WHEN 1 THEN 'v1.' || k WHEN 2 THEN 'npm run t' || k WHEN 3 THEN 'src/' || k WHEN 4 THEN 'word' || k ELSE '#h' || k END AS text FROM o WHERE r < 6""")
+def markdown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations, versions, scripts, paths and anchors in a text (SRC33)."""
+    k = F.col("o_orderkey")
+    r = F.floor(k / 4) % 7
+    one = F.when(r == 0, cat("see `src/a.py:", s(k), "`")).when(r == 1, cat("`v1.", s(k), "`")).when(r == 2, cat("`npm run t", s(k), "`")).when(r == 3, cat("[x](src/", s(k), ")")).when(r == 4, cat("`word", s(k), "`")).when(r == 5, cat("[y](#h", s(k), ")")).otherwise("<https://h/x>")
+    return tables.apply(code(spark, sf_dir, F.concat(one, F.lit("\n"))), "md_tokens", "t", ["o_custkey"]).select("o_custkey", "line", "kind", "text")

@@ -144,10 +144,28 @@ def read_log(spark: SparkSession, path: str, schema: str, order: str) -> DataFra
     return numbered(spark.read.schema(schema).json(path), [F.asc(order)], "iteration")
 
 
-def tail(lines: DataFrame, key: str, n: int) -> DataFrame:
-    """The last n lines of each text as one (SRC35)."""
+def tail(lines: DataFrame, key: str, n: int, sources: DataFrame | None = None, instead: str = "") -> DataFrame:
+    """The last n lines of each text as one; with ``sources(key)`` a row for each of them, ``instead`` where one is empty (SRC35)."""
     last = lines.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("lineno")))).where(F.col("_r") <= n)
-    return last.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("tail"))
+    out = last.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("tail"))
+    return out if sources is None else sources.select(key).distinct().join(out, key, "left").withColumn("tail", F.coalesce("tail", F.lit(instead)))
+
+
+def document(df: DataFrame, order: list[str]) -> DataFrame:
+    """One JSON text of all rows in order, indented, keys sorted (SRC11). A document is read whole by its reader, so the rows are few."""
+    row = F.struct(*[F.col(c) for c in sorted(df.columns)])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), row.alias("r")))), lambda x: x["r"])
+    return df.agg(F.to_json(rows, {"pretty": "true"}).alias("document"))
+
+
+def deployments(manifests: DataFrame) -> DataFrame:
+    """``path, name, image, port, ready, env`` of the first container of deployments ``(path, doc)`` (SRC22)."""
+    c = "struct<name string, image string, ports array<struct<containerPort int>>, readinessProbe struct<httpGet struct<path string>>, env array<struct<name string>>, envFrom array<struct<configMapRef struct<name string>>>>"
+    d = F.from_json("doc", f"struct<spec struct<template struct<spec struct<containers array<{c}>>>>>")["spec"]["template"]["spec"]["containers"]
+    one = manifests.select("path", F.get(d, F.lit(0)).alias("c")).where("c is not null")
+    names = lambda a, get: F.coalesce(F.transform(a, get), F.array().cast("array<string>"))
+    env = F.concat(names(F.col("c.env"), lambda e: e["name"]), names(F.col("c.envFrom"), lambda e: e["configMapRef"]["name"]))
+    return one.select("path", "c.name", "c.image", F.get("c.ports", F.lit(0))["containerPort"].alias("port"), F.col("c.readinessProbe.httpGet.path").alias("ready"), F.array_sort(env).alias("env"))
 
 
 def flattened(settings: DataFrame, sources: dict[str, int]) -> DataFrame:
