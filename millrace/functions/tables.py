@@ -508,6 +508,21 @@ def settings(path: str | None, text: str | None) -> Iterator[tuple[str, str]]:
         return
 
 
+def md_anchors(text: str | None, tag: str = "finding") -> Iterator[tuple[str, int, str, str]]:
+    """``(slug, line, key, value)`` of the pairs in code blocks fenced with ``tag``, under the heading that names them (SRC20).
+
+    The slug is the block's own, else the heading's; a report with a slug twice is for its reader to refuse.
+    """
+    above = ""
+    for _, kind, l0, l1, _, body in md_blocks(text):
+        if kind.startswith("heading"):
+            above = re.sub(r"[^a-z0-9]+", "-", body.lower()).strip("-")
+        elif kind == "code" and re.match(rf" {{0,3}}(?:`{{3,}}|~{{3,}})[ \t]*{tag}\b", (text or "").replace("\r\n", "\n").split("\n")[l0 - 1]):
+            pairs = [(m[1], m[2].strip("\"'")) for x in body.split("\n") if (m := re.match(r"([A-Za-z_][\w-]*):[ \t]*(.*?)[ \t]*$", x))]
+            slug = next((v for k, v in pairs if k == "slug"), above)
+            yield from ((slug, l0, k, v) for k, v in pairs if k != "slug")
+
+
 #: EXT01: the table functions with their schemas.
 FUNCTIONS = {
     "md_blocks": (md_blocks, "idx int, kind string, l0 int, l1 int, parent int, text string"),
@@ -516,6 +531,7 @@ FUNCTIONS = {
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
     "declared": (declared, "name string, kind string, l0 int, l1 int"),
     "no_timeout": (no_timeout, "line int, client string"),
+    "md_anchors": (md_anchors, "slug string, line int, key string, value string"),
     "masked_lines": (masked_lines, "line int, code string"),
     "md_tokens": (md_tokens, "line int, c0 int, c1 int, kind string, text string"),
     "swallowed": (swallowed, "line int, body string, name string"),

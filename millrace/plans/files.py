@@ -507,3 +507,33 @@ def markdown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.floor(k / 4) % 7
     one = F.when(r == 0, cat("see `src/a.py:", s(k), "`")).when(r == 1, cat("`v1.", s(k), "`")).when(r == 2, cat("`npm run t", s(k), "`")).when(r == 3, cat("[x](src/", s(k), ")")).when(r == 4, cat("`word", s(k), "`")).when(r == 5, cat("[y](#h", s(k), ")")).otherwise("<https://h/x>")
     return tables.apply(code(spark, sf_dir, F.concat(one, F.lit("\n"))), "md_tokens", "t", ["o_custkey"]).select("o_custkey", "line", "kind", "text")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+a AS (SELECT o_custkey, CASE WHEN k % 3 = 0 THEN 's' || k % 2 ELSE 'title-' || k END AS slug, k FROM o WHERE k // 4 % 5 <> 0)
+SELECT o_custkey, slug, list_sort(list('h' || k)) AS files, count(*) > 1 AS repeated FROM a GROUP BY 1, 2""")
+def report_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in fenced blocks of a report, by their own or their heading's slug, and slugs that come twice (SRC20)."""
+    k = F.col("o_orderkey")
+    block = cat("```", F.when(F.floor(k / 4) % 5 == 0, "text").otherwise("finding"), "\n", F.when(k % 3 == 0, cat("slug: s", s(k % 2), "\n")).otherwise(""), "file: 'h", s(k), "'\nnot a pair\n```\n")
+    a = tables.apply(code(spark, sf_dir, cat("# Title: ", s(k), "!\n", block)), "md_anchors", "t", ["o_custkey"])
+    return a.where("key = 'file'").groupBy("o_custkey", "slug").agg(F.array_sort(F.collect_list("value")).alias("files"), (F.count("*") > 1).alias("repeated"))
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of the folder as a tree scan finds them, contents unread (SRC01, SRC32)."""
+    t = files.scan_tree(spark, sf_dir, "*.parquet").select(F.split_part("path", F.lit(".parquet"), F.lit(1)).alias("name"))
+    return t.distinct()
+
+
+@query("""
+SELECT * FROM (VALUES ('coupling.bulk', '50'), ('coupling.ratio', '0.5'), ('coupling.support', '4'), ('hotspots.fraction', '0.1'), ('hotspots.least', '5'), ('hotspots.most', '50'), ('ranking.spread', '0.5'), ('ranking.top', '10'), ('warning', 'coupling.bulk should be int'), ('warning', 'unknown key odd')) AS t(key, value)""")
+def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings over their defaults, key by key, and what is wrong with them (SET08, PRD24)."""
+    from millrace import config
+
+    got, warnings = config.checked(config.merged({"coupling": {"support": 4, "bulk": "x"}, "ranking": {"top": 25}}, {"coupling": {"ratio": 0.5}, "ranking": {"top": 10}, "odd": 1}))
+    rows = [(f"{a}.{b}", str(v)) for a, part in got.items() if isinstance(part, dict) for b, v in part.items()] + [("warning", w) for w in warnings]
+    return spark.createDataFrame(rows, "key string, value string")
