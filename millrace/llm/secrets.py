@@ -162,7 +162,10 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets replaced in ``text`` and ``n_chars`` counted anew; all columns and rows stay."""
+    """``docs`` with secrets replaced in ``text`` and ``n_chars`` counted anew; all columns and rows stay.
+
+    Null and empty texts stay as they are, texts of any length are scanned whole, rows that repeat change alike.
+    """
     fields = docs.schema
     names = docs.columns
     at_text, at_n = names.index("text"), names.index("n_chars") if "n_chars" in names else None

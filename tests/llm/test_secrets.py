@@ -105,3 +105,13 @@ def test_strings_without_digits_and_long_texts():
     assert found("getUserAccountSettingsById Donaudampfschiffahrtsgesellschaft thanwhtion_anthrererendanhe UNABHAENGIGKEITSERKLAERUNG") == []
     many = " ".join(["x9F3kQ0zP7LmT2vB8cN4", "plainwordsofletters"] * 20_000)
     assert len(found(many)) == 20_000
+
+
+def test_repeated_rows_with_secrets(spark):
+    row = (7, 'my token = "x9F3kQ0zP7LmT2vB8cN4" and x9F3kQ0zP7LmT2vB8cN4dR6w', 1)
+    df = spark.createDataFrame([row, row, (None, row[1], 2), (8, None, 3)], "doc_id long, text string, n_chars long")
+    got = bag(secrets.find_secrets(df))
+    assert got.count(next(g for g in got if g[0] == 7)) == 2 and next(g for g in got if g[0] is None)[1:] == next(g for g in got if g[0] == 7)[1:]
+    out = secrets.redacted(df).collect()
+    assert sorted(str(r.text) for r in out) == ["None"] + ["my [SECRET]\" and [SECRET]"] * 3
+    assert {r.n_chars for r in out if r.text} == {len('my [SECRET]" and [SECRET]')}
