@@ -175,9 +175,25 @@ def candidates(distinct: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose texts are alike."""
+    """Those of ``pairs(u, v)`` whose texts are alike.
+
+    A task sends the text of a node once, so that copies do not meet in the shuffle; it remembers a number for each of its nodes.
+    """
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = map_rows(docs.select("text"), lambda: lambda t: (node_of(words_of(t)), t), "node long, text string")
+
+    def once():
+        seen: set[int] = set()
+
+        def one(t):
+            node = node_of(words_of(t))
+            if node in seen:
+                return []
+            seen.add(node)
+            return [(node, t)]
+
+        return one
+
+    texts = flat_map_rows(docs.select("text"), once, "node long, text string")
     texts = cut(texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(t)) for x, t in (("u", "a"), ("v", "b")))
 
