@@ -433,8 +433,10 @@ LITERAL = re.compile(r"//[^\n]*|--[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"
 
 
 def masked_lines(text: str | None) -> Iterator[tuple[int, str]]:
-    """``(line, code)`` of code with comments and strings blanked, each character by a space, so that columns stay (FUN36)."""
-    blank = LITERAL.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text or "")
+    """``(line, code)`` of code with comments and strings blanked, each character by a space, so that columns stay; a null text has none (FUN36)."""
+    if text is None:
+        return
+    blank = LITERAL.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     yield from ((n, x.rstrip()) for n, x in enumerate(blank.split("\n"), 1))
 
 
