@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import covertree, htmlmain, langid, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
+from millrace.llm import covertree, digest, htmlmain, langid, mixing, packing, quality, resample, secrets, simhash, spelling, toxicity, urlfilter
 from millrace.sources.tables import spread, table
 
 
@@ -54,6 +54,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spread(table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(spread(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
