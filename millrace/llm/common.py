@@ -105,3 +105,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+#: SQL for DuckDB, which has no crc32: its table, bit by bit, as ``crc(t)``.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i) AS c FROM range(256) r(i)))"
+
+
+def sql_bytes(text: str) -> str:
+    """SQL for the list of a text's UTF-8 bytes."""
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+def sql_crc32(data: str) -> str:
+    """SQL for the crc32 of a list of bytes, where ``crc`` is joined."""
+    return f"xor(list_reduce({data}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"

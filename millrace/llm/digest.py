@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, sql_bytes
 from millrace.session import ship
 
 WINDOW, BUCKETS, FAR, STEP, BOUND = 5, 256, 6, 6, 384
@@ -170,3 +170,26 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs, key, text).mapInArrow(compared, schema)
+
+
+def oracle() -> str:
+    """SQL for ``documents`` with different ids: lists of bytes, triplets by place, quartiles of sorted counts."""
+    triplet = "SELECT k, kind, unnest(list_transform(range(1, len(l) - {j} + 1), lambda p: (l[p] + l[p + {i}] * 256 + l[p + {j}] * 65536 + {salt}) * {f} % 4294967296 >> {shift})) AS bucket FROM b"
+    triplets = " UNION ALL ".join(triplet.format(i=i, j=j, salt=kind << 24, f=FACTOR, shift=SHIFT) for kind, (i, j) in enumerate(TRIPLETS, 1))
+    code = " + ".join(f"(n > q[{k * BUCKETS // 4}])::INT" for k in (1, 2, 3))
+    apart = f"sum(CASE abs(a.code - b.code) WHEN 3 THEN {FAR} ELSE abs(a.code - b.code) END) + {STEP} * greatest(0, abs(any_value(a.steps) - any_value(b.steps)) - 1)"
+    near = f"1 - least({BOUND}, {apart})::DOUBLE / {BOUND}"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER o AS k, doc_id, coalesce(text, '') AS text, count(*) OVER () AS many FROM documents WINDOW o AS (ORDER BY doc_id)),
+u AS MATERIALIZED (SELECT k, 0 AS kind, text FROM d UNION ALL SELECT d.k, 1, left(d.text, length(d.text) - length(d.text) // 4) || left(a.text, length(d.text) // 4) FROM d JOIN d a ON a.k = d.k % d.many + 1),
+b AS MATERIALIZED (SELECT k, kind, {sql_bytes("text")} AS l FROM u),
+c AS (SELECT k, kind, bucket, count(*) AS n FROM ({triplets}) GROUP BY ALL),
+f AS MATERIALIZED (SELECT u.k, u.kind, r.bucket, coalesce(n, 0) AS n FROM u CROSS JOIN range({BUCKETS}) r(bucket) LEFT JOIN c ON c.k = u.k AND c.kind = u.kind AND c.bucket = r.bucket),
+q AS (SELECT k, kind, list_sort(list(n)) AS q FROM f GROUP BY ALL),
+l AS (SELECT k, kind, CASE WHEN strlen(text) = 0 THEN 0 ELSE 8 * length(bin(strlen(text))) + (strlen(text) * 16 >> length(bin(strlen(text)))) % 8 END AS steps FROM u),
+e AS MATERIALIZED (SELECT k, kind, bucket, steps, {code} AS code FROM f JOIN q USING (k, kind) JOIN l USING (k, kind)),
+w AS (SELECT k, kind, printf('%03x', any_value(steps)) || string_agg(digit, '' ORDER BY pair) AS word FROM (SELECT k, kind, any_value(steps) AS steps, bucket // 2 AS pair, printf('%x', CAST(sum(CASE bucket % 2 WHEN 0 THEN 4 * code ELSE code END) AS INT)) AS digit FROM e GROUP BY k, kind, bucket // 2) GROUP BY k, kind),
+ne AS (SELECT a.k, {near} AS near FROM e a JOIN e b ON a.k = b.k AND a.bucket = b.bucket AND a.kind = 0 AND b.kind = 1 GROUP BY a.k),
+nn AS (SELECT a.k, {near} AS near FROM d JOIN e a ON a.k = d.k AND a.kind = 0 JOIN e b ON b.k = d.k % d.many + 1 AND b.bucket = a.bucket AND b.kind = 0 GROUP BY a.k)
+SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars, sha256(u.text) AS edited_sha256, wa.word AS fingerprint, wb.word AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next
+FROM d JOIN u ON u.k = d.k AND u.kind = 1 JOIN w wa ON wa.k = d.k AND wa.kind = 0 JOIN w wb ON wb.k = d.k AND wb.kind = 1 JOIN ne ON ne.k = d.k JOIN nn ON nn.k = d.k"""

@@ -71,4 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.oracle()}
+    found = {"op6_url_filter": urlfilter, "op11_spelling_variants": spelling, "op12_importance_resample": resample, "op13_quartile_digest": digest}
+    return {name: module.oracle() for name, module in found.items()}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import flat_map_rows, map_rows, slices
+from millrace.llm.common import CRC_TABLE, flat_map_rows, map_rows, slices, sql_bytes, sql_crc32
 from millrace.operators.windows import numbered
 from millrace.session import cut, ship
 
@@ -151,3 +151,23 @@ def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     columns = ["doc_id", "n_features", "weight", "score"]
     ranked = numbered(able.select(*columns), order, "rank").select(*columns, F.when(F.col("rank") <= most, F.col("rank")).cast("long").alias("rank"))
     return ranked.union(scored.where(F.col("n_words") < LEAST_WORDS).select(*columns, F.lit(None).cast("long").alias("rank")))
+
+
+def oracle() -> str:
+    """SQL for ``documents`` and ``benchmark``: features listed text by text, hashed once each."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({low}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    runs = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f"
+    return f"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+fd AS MATERIALIZED (SELECT row, {runs} FROM d), fb AS MATERIALIZED (SELECT {runs} FROM (SELECT {words} AS w FROM benchmark)),
+h AS MATERIALIZED (SELECT f, {sql_crc32("data")} % {BUCKETS} AS bucket FROM (SELECT f, {sql_bytes("f")} AS data FROM (SELECT f FROM fd UNION SELECT f FROM fb)), crc),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM fb JOIN h USING (f) GROUP BY 1),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS}) / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + {BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM fd JOIN h USING (f) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight, ('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN m USING (row)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+ CASE WHEN words >= {LEAST_WORDS} AND place <= {SHARE} * (SELECT count(*) FROM y WHERE words >= {LEAST_WORDS}) // 100 THEN place END AS rank FROM z"""

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import CRC_TABLE, sql_bytes, sql_crc32
 from millrace.session import cut
 
 LEAST, MOST_OFTEN, EDITED, RARE, CROWDED = 7, 10, 31, 3, 32
@@ -118,3 +119,19 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     most = words.agg(F.max("n")).first()[0] or 0
     led = roots(known.where("form is not null"), most)
     return known.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle() -> str:
+    """SQL for ``documents``: pairs by words without a letter, roots by recursion."""
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{LEAST},}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+r AS (SELECT run, n, {sql_crc32("data")} AS h FROM (SELECT run, count(*) AS n, any_value({sql_bytes("coalesce(doc_id::VARCHAR, '') || ':' || run")}) AS data FROM o GROUP BY doc_id, run), crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % {EDITED} = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM r) WHERE length(word) >= {LEAST} GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+b AS (SELECT p.word, count(*) AS n_near, max(o.n) AS most, arg_min(other, struct_pack(n := -o.n, w := other)) AS best FROM p JOIN w o ON o.word = other GROUP BY p.word),
+f AS MATERIALIZED (SELECT w.word, CASE WHEN most >= {MOST_OFTEN} * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN most >= {MOST_OFTEN} * n THEN most END AS form_n FROM w LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at WHERE e.form IS NULL"""
