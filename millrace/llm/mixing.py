@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD_SLOTS, SLOTS_PER_TASK, ROUNDS, SEED, TOGETHER = 128, 2048, 200_000, 16, 17, 256
 #: Slots that change their source meet the sources that fell short in stretches of so many.
 STRETCH = 1024
+#: A source's stream is put in order by at least so many buckets.
+LEAST_BUCKETS = 64
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -165,8 +167,8 @@ def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
 
 def places(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``src, doc_id, tie, size, a``: each document's place in its source's stream."""
-    spark = rows.sparkSession
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 20_000)
+    # the bucket is part of the order, so it follows from the rows alone and not from a setting
+    buckets = max(LEAST_BUCKETS, rows.count() // 20_000)
     known = sources.select("src", F.col("source").alias("_s"))
     numbered = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     dealt = numbered.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))

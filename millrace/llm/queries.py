@@ -27,7 +27,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted")
+    return out.select("doc_id", "held_out", "score", "predicted", "offending")
 
 
 def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,12 @@ def test_taken_is_what_slots_and_permutations_replayed_by_hand_take(spark):
 def test_a_plan_without_loops_over_all_pairs(spark, sf_dir):
     plan = queries.op3_source_mix(spark, sf_dir)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_the_mix_does_not_hang_on_settings(spark, sf_dir):
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in (4, 16, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(bag(queries.op3_source_mix(spark, sf_dir)))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
