@@ -12,6 +12,7 @@ import json
 import re
 import tomllib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -396,22 +397,6 @@ def no_timeout(text: str | None, most: int = 20) -> Iterator[tuple[int, str]]:
                     yield n + 1, name
 
 
-def calls_without(text: str | None, call: str = r"requests\.(?:get|post|put|delete)", argument: str = "timeout", most: int = 20) -> Iterator[tuple[int, int, str]]:
-    """``(l0, l1, call)`` of calls, at most ``most`` lines long, that lack a named argument (FUN30)."""
-    lines = (text or "").split("\n")
-    for n, line in enumerate(lines):
-        for m in re.finditer(rf"\b({call})\s*\(", line):
-            depth, body, last = 0, "", n
-            for last in range(n, min(len(lines), n + most)):
-                part = lines[last][m.start() :] if last == n else lines[last]
-                body += part + "\n"
-                depth += part.count("(") - part.count(")")
-                if depth <= 0:
-                    break
-            if depth <= 0 and not re.search(rf"\b{argument}\s*=", body):
-                yield n + 1, last + 1, m[1]
-
-
 def cli_options(text: str | None) -> Iterator[tuple[str, str | None, list[str], bool | None]]:
     """``(name, default, choices, required)`` of argparse options in Python source; required is null when it is not said (FUN36, FUN37)."""
     try:
@@ -525,10 +510,24 @@ def md_anchors(text: str | None, tag: str = "finding") -> Iterator[tuple[str, in
             yield from ((slug, l0, k, v) for k, v in pairs if k != "slug")
 
 
+def md_structure(text: str | None) -> Iterator[tuple]:
+    from millrace.functions import markdown
+
+    return markdown.md_structure(text)
+
+
+def md_spans(text: str | None) -> Iterator[tuple]:
+    from millrace.functions import markdown
+
+    return markdown.md_spans(text)
+
+
 #: EXT01: the table functions with their schemas.
 FUNCTIONS = {
     "md_blocks": (md_blocks, "idx int, kind string, l0 int, l1 int, parent int, text string"),
     "md_inlines": (md_inlines, "line int, c0 int, c1 int, kind string, text string, target string"),
+    "md_structure": (md_structure, "idx int, kind string, l0 int, l1 int, parent int, level int, info string, closed boolean, list_id int, text string"),
+    "md_spans": (md_spans, "block int, cell int, kind string, l0 int, c0 int, l1 int, c1 int, o_l0 int, o_c0 int, o_l1 int, o_c1 int, text string, label string"),
     "gherkin_blocks": (gherkin_blocks, "kind string, name string, tags array<string>, line int, body string"),
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
     "declared": (declared, "name string, kind string, l0 int, l1 int"),
@@ -541,12 +540,17 @@ FUNCTIONS = {
     "front_matter": (front_matter, "key string, value string"),
     "md_tables": (md_tables, "at int, row int, name string, cell string"),
     "loop_smells": (loop_smells, "rule string, line int, loop int"),
-    "calls_without": (calls_without, "l0 int, l1 int, call string"),
     "cli_options": (cli_options, "name string, default string, choices array<string>, required boolean"),
     "joined_lines": (joined_lines, "l0 int, l1 int, statement string"),
 }
 
 
+def _gathered(rows: Iterator[tuple], most: int = 4096) -> Iterator[list[tuple]]:
+    """Lists of at most ``most`` rows, so that a worker holds few rows at a time however many texts a batch has."""
+    while part := list(islice(rows, most)):
+        yield part
+
+
 def register(spark: SparkSession) -> None:
     """Make every table function callable from SQL, as in ``FROM docs, LATERAL md_blocks(text)``."""
     from pyspark.sql.functions import udtf
@@ -572,8 +576,7 @@ def read_settings(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for p in batches:
-            rows = [(path, *r) for path, t in p.itertuples(index=False) for r in settings(path, t)]
-            if rows:
+            for rows in _gathered((path, *r) for path, t in p.itertuples(index=False) for r in settings(path, t)):
                 yield pd.DataFrame(rows, columns=["source", "key", "value"]).astype(object)
 
     return files.select("path", "text").mapInPandas(run, "source string, key string, value string")
@@ -590,8 +593,7 @@ def apply(df: DataFrame, function: str, text: str, keep: list[str]) -> DataFrame
 
     def run(batches):
         for p in batches:
-            rows = [(*k, *r) for *k, t in p.itertuples(index=False) for r in f(t)]
-            if rows:
+            for rows in _gathered((*k, *r) for *k, t in p.itertuples(index=False) for r in f(t)):
                 yield pd.DataFrame(rows, columns=keep + names).astype(object)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), schema]))
