@@ -522,12 +522,26 @@ def md_spans(text: str | None) -> Iterator[tuple]:
     return markdown.md_spans(text)
 
 
+def comment_spans(language: str | None, text: str | None) -> Iterator[tuple]:
+    from millrace.functions import code
+
+    return code.comment_spans(language, text)
+
+
+def sql_definitions(text: str | None) -> Iterator[tuple]:
+    from millrace.functions import code
+
+    return code.sql_definitions(text)
+
+
 #: EXT01: the table functions with their schemas.
 FUNCTIONS = {
     "md_blocks": (md_blocks, "idx int, kind string, l0 int, l1 int, parent int, text string"),
     "md_inlines": (md_inlines, "line int, c0 int, c1 int, kind string, text string, target string"),
     "md_structure": (md_structure, "idx int, kind string, l0 int, l1 int, parent int, level int, info string, closed boolean, list_id int, text string"),
     "md_spans": (md_spans, "block int, cell int, kind string, l0 int, c0 int, l1 int, c1 int, o_l0 int, o_c0 int, o_l1 int, o_c1 int, text string, label string"),
+    "comment_spans": (comment_spans, "line int, c0 int, c1 int, kind string, text string"),
+    "sql_definitions": (sql_definitions, "name string, kind string, owner string, l0 int, l1 int"),
     "gherkin_blocks": (gherkin_blocks, "kind string, name string, tags array<string>, line int, body string"),
     "python_definitions": (python_definitions, "name string, kind string, l0 int, l1 int"),
     "declared": (declared, "name string, kind string, l0 int, l1 int"),
@@ -559,8 +573,8 @@ def register(spark: SparkSession) -> None:
 
     def wrapped(f):
         class Handler:
-            def eval(self, text: str):
-                yield from f(text)
+            def eval(self, *texts: str):
+                yield from f(*texts)
 
         return Handler
 
@@ -582,18 +596,18 @@ def read_settings(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "source string, key string, value string")
 
 
-def apply(df: DataFrame, function: str, text: str, keep: list[str]) -> DataFrame:
-    """Rows of a table function for each text, with the columns to keep; Arrow batches, no shuffle."""
+def apply(df: DataFrame, function: str, text: str | list[str], keep: list[str]) -> DataFrame:
+    """Rows of a table function for each text, or for what it takes besides, with the columns to keep; Arrow batches, no shuffle."""
     import pandas as pd
 
     ship(df.sparkSession)
     f, schema = FUNCTIONS[function]
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = dict(df.dtypes)
+    kinds, taken, n = dict(df.dtypes), [text] if isinstance(text, str) else text, len(keep)
 
     def run(batches):
         for p in batches:
-            for rows in _gathered((*k, *r) for *k, t in p.itertuples(index=False) for r in f(t)):
+            for rows in _gathered((*x[:n], *r) for x in p.itertuples(index=False, name=None) for r in f(*x[n:])):
                 yield pd.DataFrame(rows, columns=keep + names).astype(object)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), schema]))
+    return df.select(*keep, *[F.col(c).alias(f"_text{i}") for i, c in enumerate(taken)]).mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), schema]))

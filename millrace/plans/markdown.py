@@ -69,14 +69,14 @@ PARTS: list[tuple[str, list[tuple], list[tuple]]] = [
 _BEFORE, _AFTER = "# Part\n\n", "\n\n"
 
 
-def _values(rows: list[tuple], names: str) -> str:
+def values(rows: list[tuple], names: str) -> str:
     say = lambda v: "NULL" if v is None else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) v({names})"
 
 
-_SIZES = _values([(k, body.count("\n") + 4, len(blocks) + 1) for k, (body, blocks, _) in enumerate(PARTS)], "part, n_lines, n_blocks")
-_BLOCKS = _values([(k, *b) for k, (_, blocks, _) in enumerate(PARTS) for b in blocks], "part, idx, kind, l0, l1, parent, level, info, closed, list_id, body")
-_SPANS = _values([(k, *s) for k, (_, _, spans) in enumerate(PARTS) for s in spans], "part, block, cell, kind, l0, c0, l1, c1, o_l0, o_c0, o_l1, o_c1, body, label")
+_SIZES = values([(k, body.count("\n") + 4, len(blocks) + 1) for k, (body, blocks, _) in enumerate(PARTS)], "part, n_lines, n_blocks")
+_BLOCKS = values([(k, *b) for k, (_, blocks, _) in enumerate(PARTS) for b in blocks], "part, idx, kind, l0, l1, parent, level, info, closed, list_id, body")
+_SPANS = values([(k, *s) for k, (_, _, spans) in enumerate(PARTS) for s in spans], "part, block, cell, kind, l0, c0, l1, c1, o_l0, o_c0, o_l1, o_c1, body, label")
 _LAID = f"""
 WITH o AS (SELECT o_custkey AS doc, o_orderkey, CAST(o_orderkey // 4 % {len(PARTS)} AS INTEGER) AS part FROM orders), z AS (SELECT * FROM {_SIZES}),
 a AS (SELECT doc, part, CAST(coalesce(sum(n_lines) OVER w, 0) AS INTEGER) AS line, CAST(coalesce(sum(n_blocks) OVER w, 0) AS INTEGER) AS b FROM o JOIN z USING (part) WINDOW w AS (PARTITION BY doc ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
