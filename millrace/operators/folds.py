@@ -27,7 +27,7 @@ def pack_in_order(df: DataFrame, key: str, order: str, size: str, budget: int) -
         p = p.sort_values(order, kind="stable")
         packs, no, used = [], 0, 0
         for n in p[size]:
-            if used and used + n > budget:
+            if packs and packs[-1] == no and used + n > budget:
                 no, used = no + 1, 0
             used += n
             packs.append(no)

@@ -6,7 +6,7 @@ def test_comments_of_odd_texts():
     for text in (None, "", "\n", "x"):
         assert list(comment_spans("go", text)) == [] and list(comment_spans(None, text)) == []
     assert list(comment_spans("c", "/* a\n\n * b")) == [(1, 3, 4, "block", "a"), (3, 3, 4, "block", "b")]
-    assert list(comment_spans("c", "\"open // no\n// yes")) == [(1, 8, 10, "line", "no"), (2, 3, 6, "line", "yes")]
+    assert list(comment_spans("c", "\"open // no\n// yes")) == [(1, 9, 11, "line", "no"), (2, 3, 6, "line", "yes")]
     assert list(comment_spans("Python", "r'\\' # a' # b")) == [(1, 12, 13, "line", "b")]
     assert len(list(comment_spans("python", "# x\n" * 50_000))) == 50_000
 
