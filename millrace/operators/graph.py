@@ -100,3 +100,44 @@ def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if both.where("component <> _was").limit(1).count() == 0:
             return label
     raise RuntimeError("components did not settle")
+
+
+def are_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, a, b, found``: whether ``a`` is ``b`` or an ancestor of it over ``edges(parent, child)``, for each of ``pairs(id, a, b)`` (GRF04).
+
+    A search of each pair from both sides, down from ``a`` and up from ``b``, a step of the side with the smaller frontiers at a time, until the
+    sides meet or one has nowhere left to go. Only what the pairs' nodes reach is read by joins with the edges; pairs that are settled leave the search,
+    so rounds go on no longer than half the longest open way and the driver sees counts only. Ids are different; a null node has no ancestors.
+    """
+    e = edges.where("parent is not null and child is not null").select("parent", "child").distinct()
+    open_ = pairs.where("a is not null and b is not null")
+    sides = {"a": cut(open_.select("id", F.col("a").alias("node"))), "b": cut(open_.select("id", F.col("b").alias("node")))}
+    seen, front = dict(sides), dict(sides)
+    met = cut(sides["a"].join(sides["b"], ["id", "node"]).select("id").distinct())
+    while True:
+        alive = front["a"].select("id").distinct().join(front["b"].select("id").distinct(), "id").join(met, "id", "left_anti")
+        front = {k: cut(f.join(alive, "id", "left_semi")) for k, f in front.items()}
+        sizes = {k: f.count() for k, f in front.items()}
+        if not all(sizes.values()):
+            break
+        k = min(sizes, key=lambda x: (sizes[x], x))
+        way = e.select(F.col("parent" if k == "a" else "child").alias("node"), F.col("child" if k == "a" else "parent").alias("next"))
+        reached = front[k].join(way, "node").select("id", F.col("next").alias("node")).distinct()
+        front[k] = cut(reached.join(seen[k], ["id", "node"], "left_anti"))
+        seen[k] = cut(seen[k].union(front[k]))
+        other = "b" if k == "a" else "a"
+        met = cut(met.union(front[k].join(seen[other], ["id", "node"]).select("id").distinct()))
+    return pairs.join(met.withColumn("_met", F.lit(True)), "id", "left").select("id", "a", "b", F.coalesce("_met", F.lit(False)).alias("found"))
+
+
+def later_of_two(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``id, chosen, source`` for ``candidates(id, head, recorded, committed)`` (GRF04): of the two that are ancestors of ``head`` the recorded one if
+    the committed one comes before it, else the committed one; null where neither is one."""
+    asked = candidates.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("a"), F.col("head").alias("b")) for k in ("recorded", "committed")], F.struct(F.lit("order").alias("kind"), F.col("committed").alias("a"), F.col("recorded").alias("b")))))
+    keyed = asked.withColumn("key", F.struct("id", "kind"))
+    said = are_ancestors(edges, keyed.select(F.col("key").alias("id"), "a", "b")).select("id.id", "id.kind", "found")
+    flag = lambda kind: F.coalesce(F.bool_or(F.when(F.col("kind") == kind, F.col("found"))), F.lit(False)).alias(f"_{kind}")
+    flags = said.groupBy("id").agg(flag("recorded"), flag("committed"), flag("order"))
+    newer = F.col("_recorded") & (~F.col("_committed") | (F.col("_order") & (F.col("recorded") != F.col("committed"))))
+    source = F.when(newer, "record").when(F.col("_committed"), "commit")
+    return candidates.join(flags, "id").select("id", F.when(newer, F.col("recorded")).when(F.col("_committed"), F.col("committed")).alias("chosen"), source.alias("source"))

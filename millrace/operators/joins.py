@@ -94,11 +94,52 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at:
     return inside.groupBy(*points.columns).agg(F.min_by(span, order).alias(span))
 
 
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``i, t``: the rows of two sides with equal keys (null equals nothing) whose intervals ``lo`` to ``hi`` overlap, ends included (JON16).
+
+    Both sides fall into classes by length, a power of two that holds them. A pair is met at the class of the longer of the two, where each
+    touches one or two buckets of that width, and in the bucket in which its overlap begins; the shorter side looks into the classes that the other
+    side has. So a group's pairs are never all formed, and what meets in a bucket is mostly what overlaps. At most 64 class numbers a side reach the driver.
+    """
+    size = F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")
+    side = lambda df, name: df.where("lo <= hi").select(*keys, F.col("lo").alias(f"_{name}lo"), F.col("hi").alias(f"_{name}hi"), size.alias(f"_{name}k"), F.struct(*df.columns).alias(name))
+    sides = {"i": side(left, "i"), "t": side(right, "t")}
+    classes = {n: [r[0] for r in d.select(f"_{n}k").distinct().collect()] for n, d in sides.items()}
+
+    def touched(name: str, level: Column) -> DataFrame:
+        bucket = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_k")))
+        at = sides[name].withColumn("_k", level)
+        return at.withColumn("_b", F.explode(F.sequence(bucket(f"_{name}lo"), bucket(f"_{name}hi"))))
+
+    def longer(name: str) -> DataFrame:
+        return touched(name, F.col(f"_{name}k"))
+
+    def shorter(name: str, other: str, least: Column) -> DataFrame:
+        levels = F.array(*map(F.lit, sorted(classes[other]))).cast("array<int>")
+        return touched(name, F.explode(F.filter(levels, lambda k: k >= least)))
+
+    on = [*keys, "_k", "_b"]
+    met = longer("i").join(shorter("t", "i", F.col("_tk")), on).select("_ilo", "_ihi", "_tlo", "_thi", "_k", "_b", "i", "t")
+    met = met.union(shorter("i", "t", F.col("_ik") + 1).join(longer("t"), on).select("_ilo", "_ihi", "_tlo", "_thi", "_k", "_b", "i", "t"))
+    begins = F.floor(F.greatest("_ilo", "_tlo") / F.pow(F.lit(2.0), F.col("_k")))
+    return met.where((F.col("_ilo") <= F.col("_thi")) & (F.col("_tlo") <= F.col("_ihi")) & (begins == F.col("_b"))).select("i", "t")
+
+
 def theta_match(items: DataFrame, truths: DataFrame, group: str = "grp") -> DataFrame:
-    """Group equal, path null-safe equal, intervals overlapping where the truth has one (JON13)."""
-    i, t = items.alias("i"), truths.alias("t")
-    overlap = F.col("t.lo").isNull() | ((F.col("i.lo") <= F.col("t.hi")) & (F.col("t.lo") <= F.col("i.hi")))
-    return i.join(t, (F.col(f"i.{group}") == F.col(f"t.{group}")) & F.col("i.path").eqNullSafe(F.col("t.path")) & overlap)
+    """``i, t``: group equal, path null-safe equal, intervals overlapping where the truth has one (JON13).
+
+    A truth with a list of ``sources`` takes only items one of whose ``producers`` is in it; an entry that ends in ``*`` takes what
+    begins like it. Truths with an interval are met by ``interval_join``; one without takes all items of its group and path, which are results.
+    """
+    keyed = lambda df: df.withColumn("_path", F.concat(F.when(F.col("path").isNull(), "0").otherwise("1"), F.coalesce("path", F.lit(""))))
+    i, t = keyed(items), keyed(truths)
+    whole = i.select(group, "_path", F.struct(*i.columns).alias("i")).join(t.where("lo is null").select(group, "_path", F.struct(*t.columns).alias("t")), [group, "_path"]).select("i", "t")
+    out = whole.union(interval_join(i, t.where("lo is not null"), [group, "_path"]))
+    if "sources" in truths.columns and "producers" in items.columns:
+        like = lambda s, p: F.when(F.endswith(s, F.lit("*")), F.startswith(p, F.rtrim(s, F.lit("*")))).otherwise(s == p)
+        named = F.exists("t.sources", lambda s: F.exists("i.producers", lambda p: like(s, p)))
+        out = out.where((F.coalesce(F.size("t.sources"), F.lit(0)) <= 0) | F.coalesce(named, F.lit(False)))
+    return out
 
 
 def suffixes(path: Column, sep: str = "/") -> Column:
