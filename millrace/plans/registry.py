@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from millrace.plans import coupling, documents, edits, facts, files, findings, history, markdown, meetings, payloads, ranking, resolution, snapshots, sourcecode, streams, trees  # noqa: F401
+    from millrace.plans import coupling, documents, edits, facts, files, findings, history, markdown, meetings, payloads, ranking, resolution, snapshots, sourcecode, standing, streams, trees  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
