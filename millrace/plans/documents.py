@@ -141,14 +141,13 @@ def slug_and_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slug(bare).alias("slug"), T.error_class(message).alias("error_class"))
 
 
-@query(r"""SELECT page_id, regexp_replace('https://me:pw' || page_id || '@' || regexp_replace(url, '^[a-z]+://', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\1') AS bare,
- regexp_replace(url, '^[a-z]+://', '') || ':' || page_id || '-' || (page_id + 3) AS cited, CAST(page_id AS INTEGER) AS lo, CAST(page_id + 3 AS INTEGER) AS hi FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[^:#\s]+$')""")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS bare FROM pages)
+SELECT page_id, 'https://' || bare AS bare, regexp_replace(bare, '[:#\s]', '_', 'g') || ':' || page_id || '-' || (page_id + 3) AS cited, CAST(page_id AS INTEGER) AS lo, CAST(page_id + 3 AS INTEGER) AS hi FROM p""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Userinfo off URLs; citations built and parsed again (FUN04, FUN17)."""
+    """Userinfo off URLs; citations of every page built and parsed again (FUN04, FUN17)."""
     bare = F.regexp_replace("url", "^[a-z]+://", "")
-    p = table(spark, sf_dir, "pages").where(bare.rlike(r"^[^:#\s]+$"))
-    cited = F.concat(bare, F.lit(":"), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") + 3).cast("string"))
-    out = p.select("page_id", T.without_userinfo(F.concat(F.lit("https://me:pw"), F.col("page_id").cast("string"), F.lit("@"), bare)).alias("bare"), cited.alias("cited"))
+    cited = F.concat(F.regexp_replace(bare, r"[:#\s]", "_"), F.lit(":"), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") + 3).cast("string"))
+    out = table(spark, sf_dir, "pages").select("page_id", T.without_userinfo(F.concat(F.lit("https://me:pw"), F.col("page_id").cast("string"), F.lit("@"), bare)).alias("bare"), cited.alias("cited"))
     return out.withColumn("c", T.citation(F.col("cited"))).select("page_id", "bare", "cited", "c.lo", "c.hi")
 
 
@@ -239,14 +238,14 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS old, list_concat(list_concat(string_split(text, ' ')[1:2], ['new', 'words']), string_split(text, ' ')[3:]) AS one,
- list_concat(list_concat(['x'], string_split(text, ' ')), ['y']) AS two FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, true AS one_span, false AS two_spans, false AS none FROM a""")
+ list_concat(list_concat(['x'], string_split(text, ' ')), ['y']) AS two FROM conversations)
+SELECT conv_id, turn, len(one) - len(old) BETWEEN 1 AND 4 AND len(list_filter(range(0, len(old) + 1), lambda k: one[1:k] = old[1:k] AND one[k + len(one) - len(old) + 1:] = old[k + 1:])) > 0 AS one_span, len(two) - len(old) BETWEEN 1 AND 4 AND len(list_filter(range(0, len(old) + 1), lambda k: two[1:k] = old[1:k] AND two[k + len(two) - len(old) + 1:] = old[k + 1:])) > 0 AS two_spans, len(old) - len(old) BETWEEN 1 AND 4 AND len(list_filter(range(0, len(old) + 1), lambda k: old[1:k] = old[1:k] AND old[k + len(old) - len(old) + 1:] = old[k + 1:])) > 0 AS none FROM a""")
 def token_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text is another with one span put in (PRD23), on texts changed in known ways."""
     old = F.split("text", " ")
     one = F.concat(F.slice(old, 1, 2), F.array(F.lit("new"), F.lit("words")), F.slice(old, F.lit(3), F.size(old)))
     two = F.concat(F.array(F.lit("x")), old, F.array(F.lit("y")))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     test = lambda new: classify.extends_by_one_span(old, new, 4)
     return c.select("conv_id", "turn", test(one).alias("one_span"), test(two).alias("two_spans"), test(old).alias("none"))
 

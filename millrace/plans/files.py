@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import tables, text
-from millrace.operators import classify, findings, joins, normalise
+from millrace.operators import classify, findings, joins, normalise, settings
 from millrace.plans.payloads import by_order, lines
 from millrace.plans.registry import query
+from millrace.session import scratch
 from millrace.sources import files
 from millrace.sources.tables import table
 
@@ -151,11 +152,11 @@ def log_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tail(orders(spark, sf_dir).select("o_custkey", F.col("o_orderkey").alias("lineno"), cat("l", s("o_orderkey")).alias("line")), "o_custkey", 3)
 
 
-@query("SELECT doc_id AS path, contains(left(text, 400), 'the') AS the, contains(left(text, 400), 'token') AS token FROM documents")
+@query("SELECT doc_id AS path, contains(left(text, 65536), 'the') AS the, contains(left(text, 65536), 'token') AS token FROM documents")
 def head_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which marks stand in the first part of each text (SRC31)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return files.heads(d, {"the": "the", "token": "token"}, 400)
+    return files.heads(d, {"the": "the", "token": "token"}, 65_536)
 
 
 @query("""
@@ -171,12 +172,12 @@ def artefact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT 'DB_' || p_size AS name, p_brand AS value, 'manifest' AS source, 0 AS r FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'DB_' || p_size, p_type, 'image', 1 FROM part WHERE p_partkey % 5 = 1 UNION ALL SELECT 'DB_' || p_size, p_name, 'config', 2 FROM part WHERE p_partkey % 5 = 2),
+WITH e AS (SELECT 'DB_' || p_size AS name, p_brand AS value, 'manifest' AS source, 0 AS r FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'DB_' || p_size, p_type, 'image', 1 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'DB_' || p_size, p_name, 'config', 2 FROM part WHERE p_partkey % 3 = 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY r, value) AS rn FROM e) SELECT name, value, source FROM b WHERE rn = 1""")
 def environment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A service's settings by environment name, the first of manifest, image and configuration (SRC36, EXT08)."""
     p = table(spark, sf_dir, "part")
-    part = lambda k, sep, c: p.where(F.col("p_partkey") % 5 == k).select(cat(f"db{sep}", s("p_size")).alias("name"), F.col(c).alias("value"))
+    part = lambda k, sep, c: p.where(F.col("p_partkey") % 3 == k).select(cat(f"db{sep}", s("p_size")).alias("name"), F.col(c).alias("value"))
     return files.environment(part(0, ".", "p_brand"), part(1, "-", "p_type"), part(2, "_", "p_name"))
 
 
@@ -521,19 +522,25 @@ def report_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.where("key = 'file'").groupBy("o_custkey", "slug").agg(F.array_sort(F.collect_list("value")).alias("files"), (F.count("*") > 1).alias("repeated"))
 
 
-@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
+@query("""SELECT source AS folder, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents GROUP BY 1""")
 def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of the folder as a tree scan finds them, contents unread (SRC01, SRC32)."""
-    t = files.scan_tree(spark, sf_dir, "*.parquet").select(F.split_part("path", F.lit(".parquet"), F.lit(1)).alias("name"))
-    return t.distinct()
+    """All documents as text files in a folder for each source, found and read again by a tree scan (SRC01, SRC32)."""
+    at = scratch(spark, "tree")
+    table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 256).text(at)
+    t = files.scan_tree(spark, at, "*.txt").select(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder"), F.decode("content", "UTF-8").alias("text"))
+    return t.groupBy("folder").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines"))
 
 
 @query("""
-SELECT * FROM (VALUES ('coupling.bulk', '50'), ('coupling.ratio', '0.5'), ('coupling.support', '4'), ('hotspots.fraction', '0.1'), ('hotspots.least', '5'), ('hotspots.most', '50'), ('ranking.spread', '0.5'), ('ranking.top', '10'), ('warning', 'coupling.bulk should be int'), ('warning', 'unknown key odd')) AS t(key, value)""")
+WITH d(key, type, fallback) AS (VALUES ('coupling.bulk', 'int', '50'), ('coupling.support', 'int', '3'), ('coupling.ratio', 'float', '0.3'), ('ranking.top', 'int', '25'), ('ranking.spread', 'float', '0.5'), ('hotspots.fraction', 'float', '0.1'), ('hotspots.least', 'int', '5'), ('hotspots.most', 'int', '50')),
+r AS (SELECT o_custkey AS scope, o_orderpriority AS layer, CASE o_orderkey // 4 % 7 WHEN 0 THEN 'coupling.bulk' WHEN 1 THEN 'coupling.ratio' WHEN 2 THEN 'ranking.top' WHEN 3 THEN 'hotspots.fraction' WHEN 4 THEN 'hotspots.most' WHEN 5 THEN 'odd.key' ELSE 'ranking' END AS key,
+ CASE o_orderkey // 28 % 4 WHEN 0 THEN CAST(o_orderkey % 90 AS VARCHAR) WHEN 1 THEN '0.' || (o_orderkey % 9) WHEN 2 THEN 'x' ELSE '-7' END AS value FROM orders),
+t AS (SELECT scope, key, arg_max(value, struct_pack(l := layer, v := value)) AS value FROM r GROUP BY 1, 2),
+j AS (SELECT t.*, type, fallback, (type = 'int' AND try_cast(value AS BIGINT) IS NOT NULL AND NOT contains(value, '.')) OR (type = 'float' AND try_cast(value AS DOUBLE) IS NOT NULL) AS fits FROM t LEFT JOIN d USING (key))
+SELECT scope, key, CASE WHEN fits THEN value ELSE fallback END AS value, CASE WHEN type IS NULL THEN 'unknown key ' || key WHEN NOT fits THEN key || ' should be ' || type END AS warning FROM j
+UNION ALL SELECT s.scope, d.key, fallback, NULL FROM (SELECT DISTINCT scope FROM r) s CROSS JOIN d WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.scope = s.scope AND t.key = d.key)""")
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings over their defaults, key by key, and what is wrong with them (SET08, PRD24)."""
-    from millrace import config
-
-    got, warnings = config.checked(config.merged({"coupling": {"support": 4, "bulk": "x"}, "ranking": {"top": 25}}, {"coupling": {"ratio": 0.5}, "ranking": {"top": 10}, "odd": 1}))
-    rows = [(f"{a}.{b}", str(v)) for a, part in got.items() if isinstance(part, dict) for b, v in part.items()] + [("warning", w) for w in warnings]
-    return spark.createDataFrame(rows, "key string, value string")
+    """Settings of each customer's orders in layers over typed defaults, and what is wrong with them (SET08, PRD24)."""
+    key = F.expr("CASE o_orderkey div 4 % 7 WHEN 0 THEN 'coupling.bulk' WHEN 1 THEN 'coupling.ratio' WHEN 2 THEN 'ranking.top' WHEN 3 THEN 'hotspots.fraction' WHEN 4 THEN 'hotspots.most' WHEN 5 THEN 'odd.key' ELSE 'ranking' END")
+    value = F.expr("CASE o_orderkey div 28 % 4 WHEN 0 THEN string(o_orderkey % 90) WHEN 1 THEN '0.' || (o_orderkey % 9) WHEN 2 THEN 'x' ELSE '-7' END")
+    return settings.layered(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("layer"), key.alias("key"), value.alias("value")))

@@ -52,10 +52,10 @@ def staged_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.staged(old, d.select("doc_id", digest(F.col("text")).alias("digest")), "doc_id", "digest", 6)
 
 
-@query("""SELECT source, CAST(max(doc_id) AS BIGINT) AS doc_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1""")
+@query("""SELECT source, CAST(max(doc_id) AS BIGINT) AS doc_id FROM documents GROUP BY 1""")
 def high_water_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The furthest mark of each source (STM03)."""
-    return state.high_water(table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("source", "doc_id"), "source", "doc_id")
+    return state.high_water(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
 @query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")

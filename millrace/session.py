@@ -72,6 +72,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there is deleted at exit."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _goes_at_exit(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as a Parquet table in the shared checkpoint folder and read again, and its path; deleted at exit, if ``dropped`` has not."""
     spark = df.sparkSession
