@@ -35,56 +35,112 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.n_lines(t).cast("long").alias("n_lines"), guard.alias("skipped"), F.octet_length(t).cast("long").alias("n_bytes"))
 
 
-_M = lambda p: f"regexp_matches(line, '{p}')"
-_SATD = linescan.SATD.replace("'", "''").replace(" ", r"\s+")
-_CRED = r"(?i)\b\w*(?:password|passwd|secret|token|api_key|apikey|access_key)\w*[\"'']?\s*(?:=|:=|:)\s*[\"'']([^\"''\n]{8,})[\"'']"
-_SQLC = r"\b(?:execute|query|Query|ExecuteSqlRaw|Raw|createStatement|executeQuery|Exec)\s*\(([^\n]*)"
-#: The rules for RE2, which has no lookaround: ``rule, family, scopes, condition``.
-_CONDITIONS = [
-    ("satd-marker", "half-finished", "source tests docs ci config build manifest container iac sql runtime_version governance", _M(r"(?i)(?:#|//|/\*|^\s*\*|<!--|--).*\b(?:" + _SATD + r")\b")),
-    ("stub", "half-finished", "source tests", _M(r"(?i)NotImplementedE(?:rror|xception)|\bnot implemented\b|unimplemented!|\bTODO\(\)")),
-    ("skip-marker", "half-finished", "source tests", _M(r"\bxfail\b|expectedFailure|@pytest\.mark\.skip|@(?:Ignore|Disabled)\b|\b(?:it|test)\.skip\(|\[Ignore\]|\bt\.Skip\(")),
-    ("assertions-disabled", "error-masking", "source ci config", _M(r"\bNDEBUG\b|\bpython[\d.]*\s+-OO?\b|(?:^|[^\w-])-da\b|enableassertions\s*=\s*false|\bassert(?:ions)?[\"'']?\s*:\s*false|^\s*(?:#|//)\s*assert\b")),
-    ("legacy-name", "dead-code", "source", _M(r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function|func|class|fn|struct|interface|type|public|private|protected|internal|static|const|let|var)\b") + r" AND regexp_matches(lower(regexp_replace(line, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '(?:^|[^a-z0-9])(?:old|bak|v1|legacy)(?:[^a-z0-9]|$)')"),
-    ("deprecation", "dead-code", "source", _M(r"@[dD]eprecated\b|\[Obsolete\]|DeprecationWarning|#\[deprecated\]|^\s*(?://|#|\*|///)\s*Deprecated:|@available\(\*,\s*deprecated")),
-    ("flag-sdk", "dead-code", "source", _M(r"\b(?:bool)?[vV]ariation\(|\b[iI]sEnabled\(|\bis_active\(|\bget(?:FeatureFlag|BooleanValue)\(|\bFEATURE_[A-Z0-9_]+\b")),
-    ("credential", "security", "source ci config", _M(_CRED) + f" AND NOT regexp_matches(regexp_extract(line, '{_CRED}', 1), '(?i)^[$<%]|^\\{{\\{{|fake|dummy|example|placeholder|changeme|your_|xxx')"),
-    ("string-sql", "security", "source", _M(_SQLC) + f" AND regexp_matches(regexp_extract(line, '{_SQLC}', 1), '" + r"\+\s*\w|\w\s*\+|\bf[\"'']|\$\{|String\.format|\$\"|[\"'']\s*%\s*[\w(]|\.format\(')"),
-    ("dynamic-eval", "security", "source ci config", _M(r"\b(?:eval|exec|system)\(|shell\s*=\s*True|shell:\s*true|(?:child_process|Runtime)\.exec\(|Process\.Start\(|exec\.Command\(")),
-    ("tls-disabled", "security", "source ci config", _M(r"verify\s*=\s*False|rejectUnauthorized:\s*false|InsecureSkipVerify:\s*true|ServerCertificateValidationCallback|VERIFY_NONE|(?:^|\W)--insecure\b")),
-    ("weak-hash", "security", "source", _M(r"\b(?:md5|sha1)\(|MD5\.Create|getInstance\(\"MD5\"\)|createHash\([''\"]md5[''\"]\)|Digest::MD5|\b(?:md5|sha1)\.(?:Sum|New)\(")),
-    ("permissive-cors", "security", "source ci config", _M(r"Access-Control-Allow-Origin[\"'']?\s*[:,]\s*[\"'']?\*")),
-    ("security-suppression", "security", "source ci config", _M(r"\bnosec\b|eslint-disable[^\n]*security|nolint:gosec|pragma\s+warning\s+disable[^\n]*\bCA\d+")),
-    ("sleep", "test-quality", "tests", _M(r"\bsleep\(|Thread\.Sleep|setTimeout\(|time\.Sleep\(")),
-    ("retry-marker", "test-quality", "tests", _M(r"@retry\b|\bflaky\b|\breruns\b|\bretries\s*[=:(]|jest\.retryTimes|\[Retry\]|@Repeat\b")),
-    ("wall-clock", "test-quality", "tests", _M(r"\bnow\(\)|Date\.now\(|DateTime\.(?:Now|UtcNow)|time\.Now\(|Time\.now|new Date\(\)")),
-    ("unseeded-random", "test-quality", "tests", _M(r"\b(?:random|rand)\.\w+\(|Math\.random\(|new Random\(\)") + " AND NOT contains(lower(line), 'seed')"),
-    ("try-in-test", "test-quality", "tests", _M(r"^\s*try\s*[:{]?\s*$|\bcatch\s*\(")),
-    ("conditional-in-test", "test-quality", "tests", _M(r"^\s*(?:if|elif|else if|switch)\b")),
-    ("numeric-assert", "test-quality", "tests", _M(r"\b(?:assert\w*|expect|Assert\.\w+|require\.\w+|should)\b(?:[^\n]*?[^\w.])??(?:\d{2,}|\d+\.\d+)\b")),
-    ("stdout-write", "pipeline-infra", "source", _M(r"\bprintf?\(|console\.log\(|System\.out\.println\(|fmt\.Print(?:ln|f)?\(|^\s*(?:puts|echo)\s|Console\.WriteLine\(")),
-    ("inline-disable", "lint", "source", _M(r"\bno(?:qa|lint|sec)\b|eslint-disable|pragma\s+warning\s+disable|SuppressWarnings|rubocop:disable|#\[allow\(")),
-    ("licence-line", "provenance", "", _M("(?i)released under the [A-Z0-9.-]+ licen[sc]e|all rights reserved|copyright")),
-    ("shouting", "style", "", _M("^[^a-z]*[A-Z]{3,}[^a-z]*!![^a-z]*$")),
-    ("bar-table", "style", "", _M(r"^([^|\n]+\|){5,}")),
-]
-#: Lines that some rule hits, and lines that look like them and are not hit.
+#: Where a fixed pattern looks around, which RE2 cannot, and the same with what it looks at taken along.
+_RE2 = {"assertions-disabled": (r"(?<![\w-])-da", r"(?:^|[^\w-])-da"), "tls-disabled": (r"(?<!\w)--insecure", r"(?:^|\W)--insecure"), "numeric-assert": (r"[^\n]*?(?<![\w.])", r"(?:[^\n]*?[^\w.])??")}
+
+
+def _condition(r: linescan.Rule) -> str:
+    """SQL of a rule's fixed pattern, for the counts over all lines; which lines it should hit is told by hand in ``_CASES``."""
+    quoted = lambda p: p.replace("'", "''")
+    pattern = quoted(r.pattern.replace(*_RE2.get(r.name, ("", ""))) if r.name in _RE2 else r.pattern)
+    parts = [f"regexp_matches(line, '{pattern}')"]
+    parts += [f"NOT regexp_matches(line, '{quoted(r.exclude)}')"] if r.exclude else []
+    parts += [f"regexp_matches(regexp_extract(line, '{pattern}', 1), '{quoted(r.holds)}')"] if r.holds else []
+    parts += [f"NOT regexp_matches(regexp_extract(line, '{pattern}', 1), '{quoted(r.lacks)}')"] if r.lacks else []
+    parts += [rf"regexp_matches(lower(regexp_replace(line, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '(?:^|[^a-z0-9])(?:{'|'.join(r.words)})(?:[^a-z0-9]|$)')"] if r.words else []
+    return " AND ".join(parts)
+
+
+#: Lines, and by hand the rules that hit them where the scope is theirs.
 _CASES = (
-    "# TODO later", "x = todo", "raise NotImplementedError", "implemented", "@pytest.mark.skip(reason)", "skip(it)", "java -da Main", "node-da x", "def old_value():", "def bold_value():", "class HTTPClientV1Legacy {", "let goldV1 = 2",
-    "@Deprecated", "deprecated", "if flags.isEnabled('x'):", "FEATURE_NEW_UI = 1", "feature_new", "password = \"hunter2hunter2\"", "password = \"${SECRET_VALUE}\"", "token: 'your_token_here'", "db.execute(\"select \" + name)", "db.execute(\"select 1\")",
-    "eval(x)", "medieval(x)", "requests.get(u, verify=False)", "curl --insecure u", "x--insecure", "h = md5(a)", "hmd5(a)", "Access-Control-Allow-Origin: *", "Access-Control-Allow-Origin: https://a", "x  # nosec", "// eslint-disable-line security/detect",
-    "time.sleep(1)", "asleep (1)", "@retry", "retries = 3", "t = now()", "knownow", "random.choice(xs)", "random.seed(3); random.choice(xs)", "try:", "retry:", "    if x:", "iffy", "assert x == 42", "assert x == 4", "assertEqual(a1.22, b)", "expect 3.5", "print(x)", "reprint (x)", "  echo hello", "x = 1  # noqa", "<!-- this is wrong -->", "/* fix me later */", "plain line",
+    ('# TODO later', 'satd-marker'),
+    ('x = todo', ''),
+    ('raise NotImplementedError', 'stub'),
+    ('implemented', ''),
+    ('@pytest.mark.skip(reason)', 'skip-marker'),
+    ('skip(it)', ''),
+    ('java -da Main', 'assertions-disabled'),
+    ('node-da x', ''),
+    ('def old_value():', 'legacy-name'),
+    ('def bold_value():', ''),
+    ('class HTTPClientV1Legacy {', 'legacy-name'),
+    ('let goldV1 = 2', 'legacy-name'),
+    ('@Deprecated', 'deprecation'),
+    ('deprecated', ''),
+    ("if flags.isEnabled('x'):", 'flag-sdk conditional-in-test'),
+    ('FEATURE_NEW_UI = 1', 'flag-sdk'),
+    ('feature_new', ''),
+    ('password = "hunter2hunter2"', 'credential'),
+    ('password = "${SECRET_VALUE}"', ''),
+    ("token: 'your_token_here'", ''),
+    ('db.execute("select " + name)', 'string-sql'),
+    ('db.execute("select 1")', ''),
+    ('eval(x)', 'dynamic-eval'),
+    ('medieval(x)', ''),
+    ('requests.get(u, verify=False)', 'tls-disabled'),
+    ('curl --insecure u', 'tls-disabled'),
+    ('x--insecure', ''),
+    ('h = md5(a)', 'weak-hash'),
+    ('hmd5(a)', ''),
+    ('Access-Control-Allow-Origin: *', 'permissive-cors'),
+    ('Access-Control-Allow-Origin: https://a', ''),
+    ('x  # nosec', 'security-suppression inline-disable'),
+    ('// eslint-disable-line security/detect', 'security-suppression inline-disable'),
+    ('time.sleep(1)', 'sleep'),
+    ('asleep (1)', ''),
+    ('@retry', 'retry-marker'),
+    ('retries = 3', 'retry-marker'),
+    ('t = now()', 'wall-clock'),
+    ('knownow', ''),
+    ('random.choice(xs)', 'unseeded-random'),
+    ('random.seed(3); random.choice(xs)', ''),
+    ('try:', 'try-in-test'),
+    ('retry:', ''),
+    ('    if x:', 'conditional-in-test'),
+    ('iffy', ''),
+    ('assert x == 42', 'numeric-assert'),
+    ('assert x == 4', ''),
+    ('assertEqual(a1.22, b)', ''),
+    ('expect 3.5', 'numeric-assert'),
+    ('print(x)', 'stdout-write'),
+    ('reprint (x)', ''),
+    ('  echo hello', 'stdout-write'),
+    ('x = 1  # noqa', 'inline-disable'),
+    ('<!-- this is wrong -->', 'satd-marker'),
+    ('/* fix me later */', 'satd-marker'),
+    ('plain line', ''),
 )
+#: The rules of each set of scopes.
+_SCOPED = {
+    "source tests docs ci config": "satd-marker",
+    "source tests": "stub skip-marker",
+    "source ci config": "assertions-disabled credential dynamic-eval tls-disabled permissive-cors security-suppression",
+    "source": "legacy-name deprecation flag-sdk string-sql weak-hash stdout-write inline-disable",
+    "tests": "sleep retry-marker wall-clock unseeded-random try-in-test conditional-in-test numeric-assert",
+}
+#: The rules of each family.
+_FAMILIES = {
+    "half-finished": "satd-marker stub skip-marker",
+    "error-masking": "assertions-disabled",
+    "dead-code": "legacy-name deprecation flag-sdk",
+    "security": "credential string-sql dynamic-eval tls-disabled weak-hash permissive-cors security-suppression",
+    "test-quality": "sleep retry-marker wall-clock unseeded-random try-in-test conditional-in-test numeric-assert",
+    "pipeline-infra": "stdout-write",
+    "lint": "inline-disable",
+}
 _SCOPES = ("source", "tests", "ci", "config", "docs")
+_Q = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-def _rule_sql(lines: str, key: str, scoped: bool, rules: list[str]) -> str:
-    where = lambda s: f" AND list_contains({s.split()!r}, scope)" if scoped and s else ""
-    one = lambda n, f, s, c: f"SELECT {key}, '{n}' AS rule, '{f}' AS family FROM l WHERE {c}{where(s)}"
-    return f"WITH l AS ({lines}), h AS (" + " UNION ALL ".join(one(*x) for x in _CONDITIONS if x[0] in rules) + f") SELECT {key}, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY ALL"
+def _told(of: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{rule}', '{name}')" for name, rules in of.items() for rule in rules.split()) + ")"
 
 
-@query(_rule_sql(r"SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents", "doc_id", False, [x[0] for x in _CONDITIONS]))
+@query(
+    r"WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM documents), h AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, '{r.family}' AS family FROM l WHERE {_condition(r)}" for r in linescan.RULES + linescan.PROSE)
+    + ") SELECT doc_id, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY ALL"
+)
 def regex_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line rules in one pass over all lines, hits by document and rule (§2.13, AGG16, FUN32)."""
     docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
@@ -92,14 +148,14 @@ def regex_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id", "rule", "family").agg(F.count("*").alias("hits"))
 
 
-_Q = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-
-
-@query(_rule_sql(f"SELECT {_Q(_CASES)}[CAST(p_partkey % {len(_CASES)} + 1 AS INTEGER)] AS line, {_Q(_SCOPES)}[CAST(p_size % {len(_SCOPES)} + 1 AS INTEGER)] AS scope FROM part", "scope, line", True, [r.name for r in linescan.RULES]))
+@query(f"""
+WITH l AS (SELECT CAST(p_partkey % {len(_CASES)} + 1 AS INTEGER) AS k, {_Q(_SCOPES)}[CAST(p_size % {len(_SCOPES)} + 1 AS INTEGER)] AS scope FROM part),
+h AS (SELECT {_Q([x for x, _ in _CASES])}[k] AS line, scope, unnest(string_split({_Q([x for _, x in _CASES])}[k], ' ')) AS rule FROM l), s(rule, scopes) AS {_told(_SCOPED)}, f(rule, family) AS {_told(_FAMILIES)}
+SELECT scope, line, rule, family, CAST(count(*) AS BIGINT) AS hits FROM h JOIN s USING (rule) JOIN f USING (rule) WHERE list_contains(string_split(scopes, ' '), scope) GROUP BY ALL""")
 def line_rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line rule on lines that it hits and lines that it does not, in the scopes of files (§2.13)."""
     pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
-    l = table(spark, sf_dir, "part").select(pick(_CASES, "p_partkey").alias("line"), pick(_SCOPES, "p_size").alias("scope"))
+    l = table(spark, sf_dir, "part").select(pick([x for x, _ in _CASES], "p_partkey").alias("line"), pick(_SCOPES, "p_size").alias("scope"))
     return linescan.scan_rules(l, linescan.RULES, scope="scope").groupBy("scope", "line", "rule", "family").agg(F.count("*").alias("hits"))
 
 

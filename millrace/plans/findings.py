@@ -111,7 +111,7 @@ def key_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT source, lang, count(*) AS files, CAST(count(*) FILTER (WHERE n_chars > 2000) AS BIGINT) AS large FROM documents GROUP BY 1, 2)
 SELECT lang, CAST(count(*) AS BIGINT) AS sources, CAST(sum(files) AS BIGINT) AS files, round(sum(large)::DOUBLE / sum(files), 6) AS share FROM d GROUP BY 1 HAVING count(*) >= 2 AND sum(files) >= 2""")
 def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that spread over several places, with their share in a set (AGG10, AGG28)."""
+    """Groups that spread over several places, with their share in a set (AGG28)."""
     d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("files"), F.count_if(F.col("n_chars") > 2000).alias("large"))
     g = d.groupBy("lang").agg(F.count("*").alias("sources"), F.sum("files").alias("files"), F.round(F.sum("large").cast("double") / F.sum("files"), 6).alias("share"))
     return g.where("sources >= 2 and files >= 2")
@@ -173,7 +173,7 @@ def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH h AS (SELECT page_id, regexp_extract(url, '#(.*)$', 1) AS frag FROM pages), t AS (SELECT page_id, unnest(['Top', 'top', 'end']) AS slug FROM pages)
 SELECT h.page_id, frag, CASE WHEN bool_or(slug = frag) THEN 'exact' WHEN bool_or(lower(slug) = lower(frag)) THEN 'case' ELSE 'none' END AS how FROM h JOIN t USING (page_id) WHERE frag <> '' GROUP BY 1, 2""")
 def fragment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link's fragment, decoded, matched exactly or but for case (FUN24, JON31)."""
+    """A link's fragment, decoded, matched exactly or but for case (FUN24)."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "#(.*)$", 1).alias("frag")).where("frag <> ''")
     plain = F.coalesce(F.try_url_decode("frag"), F.col("frag"))
     slugs = F.array(F.lit("Top"), F.lit("top"), F.lit("end"))
@@ -215,7 +215,7 @@ def marked_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT n_regionkey, n_nationkey, n_name FROM nation), c AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
 SELECT r_regionkey, coalesce(min_by(n_name, (-n, n_nationkey)), 'none') AS target FROM region LEFT JOIN (SELECT * FROM g JOIN c ON s_nationkey = n_nationkey) ON n_regionkey = r_regionkey GROUP BY 1""")
 def best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of several homes, or none (JON24, PRD27)."""
+    """The best of several homes, or none (JON24)."""
     c = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
     g = table(spark, sf_dir, "nation").join(c, F.col("s_nationkey") == F.col("n_nationkey"))
     r = table(spark, sf_dir, "region").select("r_regionkey").join(g, F.col("n_regionkey") == F.col("r_regionkey"), "left")

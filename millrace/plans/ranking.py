@@ -176,7 +176,7 @@ r AS (SELECT o_custkey, lo, hi, o_orderkey, rn, hi AS top, true AS kept FROM n W
  UNION ALL SELECT n.o_custkey, n.lo, n.hi, n.o_orderkey, n.rn, CASE WHEN n.lo > r.top THEN n.hi ELSE r.top END, n.lo > r.top FROM r JOIN n ON n.o_custkey = r.o_custkey AND n.rn = r.rn + 1)
 SELECT o_custkey, lo, hi, o_orderkey, kept FROM r""")
 def greedy_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's 60-day intervals that overlap none kept before (WIN13, WIN20, PRD18)."""
+    """Each customer's 60-day intervals that overlap none kept before (WIN13)."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
     o = table(spark, sf_dir, "orders").select("o_custkey", day.alias("lo"), (day + 60).alias("hi"), "o_orderkey")
     return folds.keep_non_overlapping(o, "o_custkey", "lo", "hi", "o_orderkey")
