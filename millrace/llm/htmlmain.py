@@ -61,6 +61,8 @@ NAMES = frozenset(
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
+#: An element inside another says more of a zone only if it is stronger.
+STRENGTH = {"": 0, "asked": 1, "named": 2, "fixed": 3}
 #: Of these, the ones that an article element of its own is set aside by.
 ASIDE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 #: Names of a main part.
@@ -70,7 +72,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 
 
 def chrome_zone(name: str, attributes: str, inside_main: bool) -> str | None:
-    """``fixed``, ``named`` or neither."""
+    """``fixed``; ``named`` where a class or id is one of the names; ``asked`` where one has a name as a part, as in
+    ``search-results`` and ``copyright-law``, so that only the array can tell; or none of these."""
     if name in CHROME or (name == "header" and not inside_main):
         return "fixed"
     if not attributes or name in ("html", "body", "main"):
@@ -78,8 +81,12 @@ def chrome_zone(name: str, attributes: str, inside_main: bool) -> str | None:
     names, zone = ASIDE if name == "article" else NAMES, None
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and any(w in names and not (inside_main and w == "header") for w in re.split(r"[^a-z]+", value)):
-            zone = "named"
+        if key in ("class", "id"):
+            is_name = lambda w: w in names and not (inside_main and w == "header")
+            if any(map(is_name, value.split())):
+                zone = "named"
+            elif zone is None and any(map(is_name, re.split(r"[^a-z]+", value))):
+                zone = "asked"
         if key == "hidden" or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true"):
             return "fixed"
         if key == "style" and "display:none" in value.replace(" ", ""):
@@ -102,7 +109,8 @@ def is_main(name: str, attributes: str) -> bool:
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """``(zone, text, part)`` of the page's blocks in order; text decoded, white space single.
 
-    ``part`` numbers the stretches of a page that lie in one zone and, if it is ``fixed`` or ``named``, in one such element.
+    ``part`` numbers the stretches of a page that lie in one zone and, if it is ``fixed``, ``named`` or asked about, in one such element.
+    The zone of a block that is asked about is that around it with a question mark.
     """
     page = page or ""
     out: list[tuple[str, str, int]] = []
@@ -118,7 +126,8 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                zone = chrome or ("article" if article else "main" if main else "open")
+                zone = "article" if article else "main" if main else "open"
+                zone = f"{zone}?" if chrome == "asked" else chrome or zone
                 part += (zone, chrome_number) != before
                 before = (zone, chrome_number)
                 out.append((zone, text, part))
@@ -175,7 +184,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         opened[name] += 1
         article += name == "article"
         main += new_main
-        if new_chrome and chrome != "fixed" and (not chrome or new_chrome == "fixed"):
+        if new_chrome and STRENGTH[new_chrome] > STRENGTH[chrome]:
             number += 1
             chrome, chrome_number = new_chrome, number
     flush()
@@ -184,7 +193,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
 
 def protected(found: list[tuple[str, str, int]]) -> str:
     """The zone whose text stays whatever other pages repeat; none on a page without articles and main part."""
-    zones = {z for z, *_ in found}
+    zones = {z.removesuffix("?") for z, *_ in found}
     return "article" if "article" in zones else "main" if "main" in zones else ""
 
 
@@ -194,9 +203,20 @@ def judged(found: list[tuple[str, str, int]]) -> str:
 
 
 def main_text(found: list[tuple[str, str, int]], boilerplate: set[int] | None = None) -> str:
-    """The page's main text in page order; ``boilerplate`` has the numbers of blocks that repeated runs cover. None: protected text alone."""
+    """The page's main text in page order; ``boilerplate`` has the numbers of blocks that repeated runs cover. None: protected text alone.
+
+    What is asked about in these zones stays unless it is covered. A page on which nothing is protected and no block of ``RUN`` tokens would stay is a
+    mirror of another: its covered blocks of so many tokens are no boilerplate and stay.
+    """
     safe, open_ = protected(found), judged(found)
-    return "\n\n".join(t for k, (z, t, _) in enumerate(found) if z == safe or (boilerplate is not None and z == open_ and k not in boilerplate))
+    asked = {z for z in (safe and safe + "?", open_, open_ and open_ + "?") if z}
+    stays = {k for k, (z, _, _) in enumerate(found) if z == safe}
+    if boilerplate is not None:
+        stays |= {k for k, (z, _, _) in enumerate(found) if z in asked and k not in boilerplate}
+        long = {k for k, (z, t, _) in enumerate(found) if z in asked and t.count(" ") + 1 >= RUN}
+        if not safe and stays.isdisjoint(long):
+            stays |= long
+    return "\n\n".join(t for k, (_, t, _) in enumerate(found) if k in stays)
 
 
 def host(url: str | None) -> str:

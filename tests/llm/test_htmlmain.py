@@ -132,5 +132,21 @@ def test_a_long_open_page_and_deep_nesting(spark):
     mixed = "<b>" * 50_000 + "<p>x</p>" * 50_000 + "</i>" * 50_000
     rows = [(1, "http://h/1", f"<p>{words}</p>"), (2, "http://h/2", deep), (3, "http://h/3", mixed), (4, "http://h/4", f"<p>{words} more</p>")]
     got = {r.page_id: r for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1].text == "" and got[1].n_repeated == 200_000  # page 4 has all of it
+    assert got[1].text == words and got[1].n_repeated == 200_000  # page 4 has all of it, and nothing else is left: a mirror
     assert got[4].text == f"{words} more" and got[2].text == "deep" and got[3].n_chars == 3 * 50_000 - 2
+
+
+def test_mirrored_pages_keep_their_text_once_each(spark):
+    text = "The council met on Monday and could not decide whether the bridge would open in spring"
+    menu = "<div>Home</div><div>News</div><div>Our jobs</div><div>Contact us</div>"
+    rows = [(1, "http://h.org/a", page(f"{menu}<p>{text}</p>")), (2, "http://h.org/a?print", page(f"<p>{text}</p>")), (3, "http://h.org/b", page(menu)), (4, "http://h.org/c", page(menu))]
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: text, 2: text, 3: "", 4: ""}
+
+
+def test_names_within_longer_names_ask_the_array(spark):
+    own = lambda k: f"<section class='copyright-law'><p>Of copyright law {k} itself</p></section><div class=search-results><p>What a search {k} brought</p></div><div id='comments'>Nice {k}</div>"
+    shared = "<div class='newsletter-box'><p>Get all the news of the h house by post</p></div>"
+    rows = [(k, "http://h.org/", page(f"<article><p>Words {k}</p>{own(k)}{shared}</article>")) for k in range(3)]
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Words {k}\n\nOf copyright law {k} itself\n\nWhat a search {k} brought" for k in range(3)}
