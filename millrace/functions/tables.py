@@ -522,7 +522,7 @@ def md_spans(text: str | None) -> Iterator[tuple]:
     return markdown.md_spans(text)
 
 
-def comment_spans(language: str | None, text: str | None) -> Iterator[tuple]:
+def comment_spans(language: str | None, text: str | None = None) -> Iterator[tuple]:
     from millrace.functions import code
 
     return code.comment_spans(language, text)
