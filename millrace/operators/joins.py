@@ -171,17 +171,27 @@ def unmatched(left: DataFrame, names: DataFrame, key: str, forms: Column) -> Dat
 def cascade(refs: DataFrame, modes: list[DataFrame], key: str) -> DataFrame:
     """First mode that resolves a reference wins (JON17); ``modes`` hold ``key, target`` from strict to lax.
 
-    ``target`` is the smallest of the winning mode's, ``candidates`` their number.
+    ``target`` is the smallest of the winning mode's, ``candidates`` their number. A mode that brings ``candidates`` has been
+    reduced to one row a reference already, as ``by_form`` does.
     """
     every = None
     for rank, m in enumerate(modes):
-        one = m.select(key, "target").withColumn("mode", F.lit(rank))
+        one = m if "candidates" in m.columns else m.select(key, "target").distinct().groupBy(key).agg(F.min("target").alias("target"), F.count("*").alias("candidates"))
+        one = one.select(key, F.lit(rank).alias("mode"), "target", "candidates")
         every = one if every is None else every.unionByName(one)
-    per_mode = every.distinct().groupBy(key, "mode").agg(F.min("target").alias("target"), F.count("*").alias("candidates"))
-    best = per_mode.groupBy(key).agg(F.min(F.struct("mode", "target", "candidates")).alias("_b")).select(key, "_b.*")
+    best = every.groupBy(key).agg(F.min(F.struct("mode", "target", "candidates")).alias("_b")).select(key, "_b.*")
     return refs.join(best, key, "left")
 
 
+def by_form(refs: DataFrame, targets: DataFrame, key: str, form: str) -> DataFrame:
+    """``key, target, candidates``: the smallest target of the reference's form and their number, for ``cascade``.
+
+    ``targets(target, form)`` are counted by form before references meet them, so a form that many of both share forms no pairs.
+    """
+    known = targets.select("target", form).distinct().groupBy(form).agg(F.min("target").alias("target"), F.count("*").alias("candidates"))
+    return refs.join(known, form).select(key, "target", "candidates")
+
+
 def resolve_references(refs: DataFrame, definitions: DataFrame, name: str, most: int) -> DataFrame:
     """References by name with a cardinality gate (JON15): one of resolved, ambiguous, unknown.
 

@@ -40,10 +40,10 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lambda c: F.regexp_extract(c, "[^/]+$", 0)
     ref = F.when(i % 4 == 0, F.col("path")).when(i % 4 == 1, F.regexp_replace("path", "^[^/]+/", "")).when(i % 4 == 2, base("path")).otherwise(F.concat(F.lit("nowhere/"), i.cast("string")))
     r = p.select(i.alias("ref_id"), ref.alias("ref"))
-    whole = r.join(p, F.col("path") == F.col("ref")).select("ref_id", F.col("page_id").alias("target"))
-    x = p.select(F.col("page_id").alias("target"), F.explode(joins.suffixes(F.col("path"))).alias("suffix"))
-    suffix = r.join(x, F.col("suffix") == F.col("ref")).select("ref_id", "target")
-    name = r.withColumn("_b", base("ref")).join(p.select(F.col("page_id").alias("target"), base("path").alias("_b")), "_b").select("ref_id", "target")
+    t = p.select(F.col("page_id").alias("target"), "path")
+    whole = joins.by_form(r.withColumn("form", F.col("ref")), t.withColumn("form", F.col("path")), "ref_id", "form")
+    suffix = joins.by_form(r.withColumn("form", F.col("ref")), t.select("target", F.explode(joins.suffixes(F.col("path"))).alias("form")), "ref_id", "form")
+    name = joins.by_form(r.withColumn("form", base("ref")), t.withColumn("form", base("path")), "ref_id", "form")
     return joins.cascade(r, [whole, suffix, name], "ref_id")
 
 
