@@ -157,12 +157,19 @@ def osv_scanner(df: DataFrame, root: str = "") -> DataFrame:
     vuln = "struct<id string, summary string, aliases array<string>, database_specific struct<severity string>, severity array<struct<score string>>>"
     package = f"struct<package struct<name string, version string, ecosystem string>, vulnerabilities array<{vuln}>, groups array<struct<ids array<string>, max_severity string>>>"
     r = df.select(F.explode(F.from_json("payload", f"struct<results array<struct<source struct<path string, type string>, packages array<{package}>>>>")["results"]).alias("r"))
-    r = r.select("r.source", F.explode("r.packages").alias("p")).select("source", "p.package", "p.groups", F.explode("p.vulnerabilities").alias("v"))
+    r = r.select("r.source", F.explode("r.packages").alias("p"))
+    # each id's group is looked up once a package, before advisories become rows, so that none carries the groups
+    none = F.array().cast("array<string>")
+    groups = F.coalesce("p.groups", F.array().cast("array<struct<ids:array<string>,max_severity:string>>"))
+    ids = F.flatten(F.transform(groups, lambda g: F.coalesce(g["ids"], none)))
+    levels = F.flatten(F.transform(groups, lambda g: F.array_repeat(g["max_severity"], F.size(F.coalesce(g["ids"], none)))))
+    r = r.select("source", "p.package", "p.vulnerabilities", ids.alias("_ids"), levels.alias("_levels"))
+    own = F.transform("vulnerabilities", lambda v: F.struct(v.alias("v"), F.get("_levels", F.array_position("_ids", v["id"]).cast("int") - 1).alias("level")))
+    r = r.select("source", "package", F.explode(own).alias("x")).select("source", "package", "x.v", "x.level")
     score = lambda c: F.when(c.try_cast("double").between(0, 10), c.try_cast("double"))
     label = _map(OSV_LABELS)[F.upper(F.trim("v.database_specific.severity"))]
     best = F.array_max(F.transform("v.severity", lambda s: score(s["score"])))
-    own = F.filter("groups", lambda g: F.arrays_overlap(g["ids"], F.array(F.col("v.id"))))
-    group = score(F.get(own, F.lit(0))["max_severity"])
+    group = score(F.col("level"))
     severity = F.coalesce(label, F.when(best.isNotNull(), _band(best)), F.when(group.isNotNull(), _band(group)))
     elsewhere = F.coalesce(F.col("source.type").isin("docker", "git"), F.lit(False))
     file = F.when(~elsewhere, relative(F.col("source.path"), root))
