@@ -102,32 +102,79 @@ def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def are_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def least_depths(edges: DataFrame, most: int) -> DataFrame:
+    """``node, depth`` of the nodes of ``edges(parent, child)`` that have a parent: the edges of the longest way to it, ``most`` at most, which is what nodes on or below a circle have.
+
+    The nodes at depth k or more are the children of those at k - 1 or more, so each round reads fewer of them.
+    """
+    deep = cut(edges.select(F.col("child").alias("node")).distinct())
+    levels = [deep]
+    while len(levels) < most and not deep.isEmpty():
+        deep = cut(edges.join(deep, F.col("parent") == F.col("node"), "left_semi").select(F.col("child").alias("node")).distinct())
+        levels.append(deep)
+    every = levels[0].withColumn("depth", F.lit(1))
+    for k, nodes in enumerate(levels[1:], 2):
+        every = every.union(nodes.withColumn("depth", F.lit(k)))
+    return cut(every.groupBy("node").agg(F.max("depth").alias("depth")))
+
+
+def are_ancestors(edges: DataFrame, pairs: DataFrame, most_depth: int = 64) -> DataFrame:
     """``id, a, b, found``: whether ``a`` is ``b`` or an ancestor of it over ``edges(parent, child)``, for each of ``pairs(id, a, b)`` (GRF04).
 
-    A search of each pair from both sides, down from ``a`` and up from ``b``, a step of the side with the smaller frontiers at a time, until the
-    sides meet or one has nowhere left to go. Only what the pairs' nodes reach is read by joins with the edges; pairs that are settled leave the search,
-    so rounds go on no longer than half the longest open way and the driver sees counts only. Ids are different; a null node has no ancestors.
+    A search of each different pair from both sides, down from ``a`` and up from ``b``, a step of the side with the smaller frontiers at a time, until the
+    sides meet or one has nowhere left to go. An ancestor's depth, the longest way to it, is less than its descendant's: nodes that are not deeper than ``a`` or
+    not less deep than ``b`` leave the search, and so do pairs that are settled. Depths stop at ``most_depth``, and nodes that have it are kept. Only those can be met
+    again for ever, so only those are compared with what a side has seen; others come at most once a round. Frontiers are written once, a round costs what
+    they hold, and the driver sees counts only. Ids are different; a null node has no ancestors.
     """
-    e = edges.where("parent is not null and child is not null").select("parent", "child").distinct()
-    open_ = pairs.where("a is not null and b is not null")
-    sides = {"a": cut(open_.select("id", F.col("a").alias("node"))), "b": cut(open_.select("id", F.col("b").alias("node")))}
-    seen, front = dict(sides), dict(sides)
-    met = cut(sides["a"].join(sides["b"], ["id", "node"]).select("id").distinct())
-    while True:
-        alive = front["a"].select("id").distinct().join(front["b"].select("id").distinct(), "id").join(met, "id", "left_anti")
-        front = {k: cut(f.join(alive, "id", "left_semi")) for k, f in front.items()}
-        sizes = {k: f.count() for k, f in front.items()}
-        if not all(sizes.values()):
-            break
+    e = cut(edges.where("parent is not null and child is not null").select("parent", "child").distinct())
+    depths = least_depths(e, most_depth)
+    circles = not depths.where(F.col("depth") >= most_depth).isEmpty()
+    deep = lambda c: F.coalesce(c, F.lit(0))
+
+    def way(here: str, there: str) -> DataFrame:
+        to = e.select(F.col(here).alias("node"), F.col(there).alias("next"))
+        return cut(to.join(depths.select(F.col("node").alias("next"), "depth"), "next", "left").select("node", "next", deep(F.col("depth")).alias("depth")))
+
+    ways = {"a": way("parent", "child"), "b": way("child", "parent")}
+    named = lambda name: depths.select(F.col("node").alias(name), F.col("depth").alias(f"d{name}"))
+    asked = pairs.where("a is not null and b is not null").select("a", "b").distinct()
+    asked = cut(asked.join(named("a"), "a", "left").join(named("b"), "b", "left").select("a", "b", deep(F.col("da")).alias("da"), deep(F.col("db")).alias("db")))
+    found = [asked.where("a = b").select("a", "b")]
+    open_ = asked.where((F.col("a") != F.col("b")) & ((F.col("da") < F.col("db")) | (F.col("da") >= most_depth)))
+    front = {k: open_.select("a", "b", "da", "db", F.col(k).alias("node"), F.col(f"d{k}").alias("depth")) for k in ("a", "b")}
+    seen = {k: [f.select("a", "b", "node", "depth")] for k, f in front.items()}
+    sizes = dict.fromkeys(front, open_.count())
+
+    def every(k: str) -> DataFrame:
+        out = seen[k][0]
+        for more in seen[k][1:]:
+            out = out.union(more)
+        return out
+
+    last = None
+    while all(sizes.values()):
         k = min(sizes, key=lambda x: (sizes[x], x))
-        way = e.select(F.col("parent" if k == "a" else "child").alias("node"), F.col("child" if k == "a" else "parent").alias("next"))
-        reached = front[k].join(way, "node").select("id", F.col("next").alias("node")).distinct()
-        front[k] = cut(reached.join(seen[k], ["id", "node"], "left_anti"))
-        seen[k] = cut(seen[k].union(front[k]))
         other = "b" if k == "a" else "a"
-        met = cut(met.union(front[k].join(seen[other], ["id", "node"]).select("id").distinct()))
-    return pairs.join(met.withColumn("_met", F.lit(True)), "id", "left").select("id", "a", "b", F.coalesce("_met", F.lit(False)).alias("found"))
+        if last == other:  # pairs that have been settled since this side's last step
+            front[k] = front[k].join(front[other].select("a", "b").distinct(), ["a", "b"], "left_semi")
+        last = k
+        near = front[k].select("a", "b", "da", "db", "node").join(ways[k], "node").select("a", "b", "da", "db", F.col("next").alias("node"), "depth")
+        right = (F.col("depth") < F.col("db")) | (F.col("node") == F.col("b")) if k == "a" else (F.col("depth") > F.col("da")) | (F.col("node") == F.col("a"))
+        near = near.where(right | (F.col("depth") >= most_depth)).distinct()
+        if circles:
+            near = near.join(every(k).where(F.col("depth") >= most_depth).select("a", "b", "node"), ["a", "b", "node"], "left_anti")
+        near = cut(near)
+        met = cut(near.join(every(other).select("a", "b", "node"), ["a", "b", "node"]).select("a", "b").distinct())
+        found.append(met)
+        seen[k].append(near.select("a", "b", "node", "depth"))
+        front[k] = near.join(met, ["a", "b"], "left_anti")
+        sizes[k] = front[k].count()
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.union(more)
+    flagged = all_found.distinct().withColumn("_met", F.lit(True))
+    return pairs.join(flagged, ["a", "b"], "left").select("id", "a", "b", F.coalesce("_met", F.lit(False)).alias("found"))
 
 
 def later_of_two(edges: DataFrame, candidates: DataFrame) -> DataFrame:

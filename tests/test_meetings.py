@@ -56,3 +56,22 @@ def test_search_from_both_sides(spark):
     pairs = [(k, r.randrange(60), r.randrange(60)) for k in range(40)] + [(50, 100, 140), (51, 140, 100), (52, 100, 100), (53, None, 1)]
     got = graph.are_ancestors(spark.createDataFrame(edges + [(None, 1)], "parent long, child long"), spark.createDataFrame(pairs, "id long, a long, b long")).collect()
     assert {x["id"]: x["found"] for x in got} == {k: a is not None and ancestor(a, b) for k, a, b in pairs}
+
+
+def test_nodes_that_cannot_lie_between_leave_the_search(spark, monkeypatch):
+    """Every node by half and by third: frontiers stay below a bound that a search without depths passes."""
+    sizes, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    e = spark.range(2, 3000).selectExpr("id div 2 AS parent", "id AS child").union(spark.range(3, 3000).selectExpr("id div 3", "id"))
+    pairs = spark.range(1000, 1100).selectExpr("id", "(id * 7 % 2999 + 1) div 2 AS a", "id * 7 % 2999 + 1 AS b").union(spark.range(100).selectExpr("id", "id + 1000", "id + 1"))
+    assert {r["id"] for r in graph.are_ancestors(e, pairs).collect() if r["found"]} == set(range(1000, 1100))
+    search = sizes[len(sizes) - sizes[::-1].index(5994) :]  # after the edges with depths
+    assert max(search) <= 200 and sum(search) <= 1000, sizes
+
+
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_depths_stop_and_circles_are_searched(spark, most):
+    edges = [(k, k + 1) for k in range(8)] + [(8, 4), (20, 21), (21, 20), (8, 30)]
+    pairs = [(0, 0, 30), (1, 30, 0), (2, 5, 4), (3, 21, 21), (4, 20, 30), (5, 3, 99), (6, 99, 99), (7, 4, 3), (8, 0, 30)]
+    got = graph.are_ancestors(spark.createDataFrame(edges, "parent long, child long"), spark.createDataFrame(pairs, "id long, a long, b long"), most)
+    assert {r["id"] for r in got.collect() if r["found"]} == {0, 2, 3, 6, 8}
