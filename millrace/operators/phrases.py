@@ -27,27 +27,26 @@ def phrases_in_texts(sections: DataFrame, names: DataFrame) -> DataFrame:
     """``doc, section, id``: the names that each section says (JON23).
 
     ``sections(doc, section, heading, text)`` and ``names(id, name, kind, parent)``. A name stands where its words stand one after another, whole,
-    in any case; what a word is follows from its kind. One with a parent counts only in sections whose heading says the parent. Sections give their
-    different runs of words of the lengths that names have, which meet names by the run; names that are many words long cost no more than one more length. The lengths of
-    names, few numbers, reach the driver. Null and empty texts say nothing, and a name without a word is nowhere.
+    in any case; what a word is follows from its kind. One with a parent counts only in sections whose heading says the parent. Words of a section that begin
+    some name meet the first words of names, and only from those are runs of the lengths of such names made, which meet names by the run; a section that says a name
+    twice says it once. Nothing reaches the driver. Null and empty texts say nothing, and a name without a word is nowhere.
     """
     out = None
     for pattern in sorted(set(WORDS.values())):
         kinds = [k for k, p in WORDS.items() if p == pattern]
         own = F.col("kind").isin(*kinds) if pattern != WORDS["name"] else ~F.coalesce(F.col("kind").isin(*[k for k in WORDS if k not in kinds]), F.lit(False))
         some = named_phrases(names.where(own), pattern)
-        lengths = [r["n"] for r in some.select("n").distinct().orderBy("n").collect()]
-        if not lengths:
-            continue
-        said = F.concat(*[grams(F.col("_words"), n) for n in lengths])
-        runs = sections.select("doc", "section", "heading", words(F.col("text"), pattern).alias("_words")).select("doc", "section", "heading", F.explode(said).alias("phrase"))
+        some = some.withColumn("first", F.element_at(F.split("phrase", " "), 1))
+        heads = some.groupBy("first").agg(F.collect_set("n").alias("lengths"))
+        said = sections.select(F.monotonically_increasing_id().alias("_row"), "doc", "section", "heading", words(F.col("text"), pattern).alias("_words"))
+        at = said.select("_row", "doc", "section", "heading", "_words", F.posexplode("_words").alias("_at", "first")).join(heads, "first")
+        runs = at.select("_row", "doc", "section", "heading", "_words", "_at", F.explode("lengths").alias("n")).where(F.col("_at") + F.col("n") <= F.size("_words"))
+        runs = runs.select("_row", "doc", "section", "heading", F.array_join(F.slice("_words", F.col("_at") + 1, F.col("n")), " ").alias("phrase"))
         parent = F.array_join(words(F.col("parent"), WORDS["name"]), " ")
         met = runs.join(some.select("id", "phrase", parent.alias("_parent")), "phrase")
         under = F.concat(F.lit(" "), F.array_join(words(F.col("heading"), WORDS["name"]), " "), F.lit(" "))
-        kept = met.where((F.col("_parent") == "") | F.contains(under, F.concat(F.lit(" "), F.col("_parent"), F.lit(" ")))).select("doc", "section", "id")
+        kept = met.where((F.col("_parent") == "") | F.contains(under, F.concat(F.lit(" "), F.col("_parent"), F.lit(" ")))).select("_row", "doc", "section", "id").distinct().drop("_row")
         out = kept if out is None else out.union(kept)
-    if out is None:
-        return sections.join(names.select("id"), F.lit(False)).select("doc", "section", "id")
     return out
 
 

@@ -75,3 +75,11 @@ def test_depths_stop_and_circles_are_searched(spark, most):
     pairs = [(0, 0, 30), (1, 30, 0), (2, 5, 4), (3, 21, 21), (4, 20, 30), (5, 3, 99), (6, 99, 99), (7, 4, 3), (8, 0, 30)]
     got = graph.are_ancestors(spark.createDataFrame(edges, "parent long, child long"), spark.createDataFrame(pairs, "id long, a long, b long"), most)
     assert {r["id"] for r in got.collect() if r["found"]} == {0, 2, 3, 6, 8}
+
+
+def test_runs_are_made_only_where_a_name_begins(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "grams", None)
+    sections = spark.createDataFrame([(1, 1, "h", "to be or not to be, to Be"), (1, 1, "h", "to be"), (2, 1, "h", "be to"), (3, 1, "h", "to")], "doc int, section int, heading string, text string")
+    names = spark.createDataFrame([(1, "to be", "name", None), (2, "to", "name", None), (3, "be to be", "name", None), (4, "to be", "flag", None)], "id int, name string, kind string, parent string")
+    got = sorted(map(tuple, phrases.phrases_in_texts(sections, names).collect()))
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 1, 2), (1, 1, 3), (1, 1, 4), (1, 1, 4), (2, 1, 2), (3, 1, 2)]
