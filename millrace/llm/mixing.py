@@ -145,24 +145,28 @@ def drawn(sources: DataFrame, seed: int = SEED) -> tuple[DataFrame, int]:
 
 
 def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """``shard, src, j``: the source of every slot of every shard and its number within the source."""
+    """``shard, src, j, of``: the source of every slot of every shard, its number within the source, and what ``plan`` says of the source.
+
+    What is known of a source joins its drawn rows before these become slots: Spark takes exploded rows to be as few as those they
+    come from, and would send them to every executor by way of the driver. What joins slots later is told to shuffle.
+    """
     spark = sources.sparkSession
     draws, total = drawn(sources, seed)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     draws = cut(running_start(draws.withColumn("bucket", F.floor(F.col("shard") / 256)), "src", "bucket", ["shard"], "n", "first"))
-    # a drawn row stands for many slots: dealt out by number of slots, not by its few bytes
-    dealt = draws.select("shard", "src", "first", "n").repartition(max(parts, total // SLOTS_PER_TASK), "shard", "src")
-    every = dealt.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     # the draws' excess over each quota, in order, is handed to the sources that are short
-    got = sources.join(draws.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").select("src", "slots", F.coalesce("got", F.lit(0)).alias("got"))
+    got = sources.join(draws.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").select("src", F.struct("blocks", "slots", "part", "source_size").alias("of"), "slots", F.coalesce("got", F.lit(0)).alias("got"))
     got = got.withColumn("over", F.greatest(F.col("got") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("got"), F.lit(0)))
     got = got.withColumn("_all", F.lit(0)).withColumn("bucket", F.floor(F.col("src") / TOGETHER))
-    excess = running_start(got, "_all", "bucket", ["src"], "over", "start").select("src", F.col("slots").alias("quota"), "start")
-    short = running_start(got, "_all", "bucket", ["src"], "under", "low").where("under > 0").select(F.col("src").alias("to"), "got", "low", (F.col("low") + F.col("under")).alias("high"))
-    tagged = every.join(excess, "src").withColumn("x", F.when(F.col("j") >= F.col("quota"), F.col("start") + F.col("j") - F.col("quota")))
+    excess = running_start(got, "_all", "bucket", ["src"], "over", "start").select("src", "of", F.col("slots").alias("quota"), "start")
+    short = running_start(got, "_all", "bucket", ["src"], "under", "low").where("under > 0").select(F.col("src").alias("to"), F.col("of").alias("to_of"), "got", "low", (F.col("low") + F.col("under")).alias("high"))
+    # a drawn row stands for many slots: dealt out by number of slots, not by its few bytes
+    dealt = draws.select("shard", "src", "first", "n").join(excess, "src").repartition(max(parts, total // SLOTS_PER_TASK), "shard", "src")
+    every = dealt.select("shard", "src", "of", "quota", "start", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+    tagged = every.withColumn("x", F.when(F.col("j") >= F.col("quota"), F.col("start") + F.col("j") - F.col("quota")))
     met = short.select("*", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor((F.col("high") - 1) / STRETCH))).alias("stretch"))
-    moved = tagged.where("x is not null").withColumn("stretch", F.floor(F.col("x") / STRETCH)).join(met, "stretch").where("x >= low and x < high")
-    return tagged.where("x is null").select("shard", "src", "j").union(moved.select("shard", F.col("to").alias("src"), (F.col("got") + F.col("x") - F.col("low")).alias("j")))
+    moved = tagged.where("x is not null").select("shard", "x", F.floor(F.col("x") / STRETCH).alias("stretch")).hint("merge").join(met, "stretch").where("x >= low and x < high")
+    return tagged.where("x is null").select("shard", "src", "j", "of").union(moved.select("shard", F.col("to").alias("src"), (F.col("got") + F.col("x") - F.col("low")).alias("j"), F.col("to_of").alias("of")))
 
 
 def places(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -199,14 +203,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rows = cut(sized(docs))
     sources = plan(rows, weights, share, most)
     placed = cut(places(rows, sources))
-    taken = slots(sources, seed).join(sources.select("src", "blocks", "slots", "part", "source_size"), "src").withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
+    taken = slots(sources, seed).select("shard", "src", "j", "of.*").withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
     block = permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("src"), F.col("epoch"))
     length = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     taken = taken.withColumn("block", block).select(
         "shard", "src", "j", "epoch", "block", F.when(F.col("j") == F.col("slots") - 1, F.round(F.col("part") * length).cast("long")).otherwise(F.lit(BLOCK)).alias("most")
     )
     n = F.least("words", F.col("most") - F.col("within")).alias("words")
-    mixed = taken.join(blocks(placed), ["src", "block"]).select("shard", "src", "j", "epoch", "doc_id", "tie", "a", "size", "word", n).where("words > 0")
+    mixed = taken.hint("merge").join(blocks(placed), ["src", "block"]).select("shard", "src", "j", "epoch", "doc_id", "tie", "a", "size", "word", n).where("words > 0")
     return placed, mixed, sources
 
 

@@ -123,3 +123,14 @@ def test_the_mix_does_not_hang_on_settings(spark, sf_dir):
         got.append(bag(queries.op3_source_mix(spark, sf_dir)))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] == got[2]
+
+
+def test_slots_are_not_sent_by_way_of_the_driver(spark):
+    docs = [(i, " ".join(f"w{k % 50}" for k in range(900)), "en", f"s{i % 3}", 0) for i in range(300)]
+    _, mixed, _ = mixing.mix(spark.createDataFrame(docs, DOCS))
+    assert mixed.count() and len(mixed.collect()) > 2000
+    final = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    for line in final.splitlines():
+        if "BroadcastHashJoin" in line:
+            assert "block#" not in line.split("],")[0] and "stretch#" not in line.split("],")[0], line
