@@ -304,3 +304,15 @@ def test_config():
     assert config.merged({"a": {"x": 1, "y": [1]}, "b": 2}, {"a": {"y": [2]}, "c": 3}) == {"a": {"x": 1, "y": [2]}, "b": 2, "c": 3}
     got, warnings = config.checked({"coupling": {"bulk": "x", "ratio": 1}, "odd": 1, "suppress": [1]})
     assert got["coupling"] == {"bulk": 50, "support": 3, "ratio": 1} and got["suppress"] == [1] and warnings == ["coupling.bulk should be int", "unknown key odd"]
+
+
+def test_folds_run_through_many_keys_in_a_task(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        own = [(k, lo, lo + 2 if lo is not None else None, i) for k in [*range(9), None] for i, lo in enumerate((4, 0, 1, None, 3))]
+        out = folds.keep_non_overlapping(spark.createDataFrame(own, "k long, lo long, hi long, i long"), "k", "lo", "hi", "i")
+        assert sorted((x.k if x.k is not None else -1, x.i, x.kept) for x in out.collect()) == sorted((k, i, i in (1, 4)) for k in range(-1, 9) for i in range(5))
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
