@@ -6,9 +6,15 @@ and split skewed keys; nothing here is a nested loop over two large sides.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Interval joins: lengths of a class differ by at most so many times, a power of two.
+CLASS = 16
+
 
 def small_baskets(df: DataFrame, basket: str, item: str, most: int) -> DataFrame:
     """Distinct ``(basket, item)`` of baskets with at most ``most`` items (AGG01: bulk baskets say nothing).
@@ -97,32 +103,40 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at:
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``i, t``: the rows of two sides with equal keys (null equals nothing) whose intervals ``lo`` to ``hi`` overlap, ends included (JON16).
 
-    Both sides fall into classes by length, a power of two that holds them. A pair is met at the class of the longer of the two, where each
-    touches one or two buckets of that width, and in the bucket in which its overlap begins; the shorter side looks into the classes that the other
-    side has. So a group's pairs are never all formed, and what meets in a bucket is mostly what overlaps. At most 64 class numbers a side reach the driver.
+    Both sides fall into classes by length, a power of ``CLASS`` that holds them. A pair is met at the class of the longer of the two, where each
+    touches one or two buckets of that width, and in the bucket in which its overlap begins; a side looks into the classes that the other
+    side has. So a group's pairs are never all formed, and what meets in a bucket is mostly what overlaps. Wide classes are few, so few copies
+    of a row are shuffled, and each carries its columns once. At most 64 class numbers a side reach the driver.
     """
-    size = F.ceil(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")
-    side = lambda df, name: df.where("lo <= hi").select(*keys, F.col("lo").alias(f"_{name}lo"), F.col("hi").alias(f"_{name}hi"), size.alias(f"_{name}k"), F.struct(*df.columns).alias(name))
+    size = (F.ceil(F.log2(F.col("hi") - F.col("lo") + 1) / math.log2(CLASS)) * int(math.log2(CLASS))).cast("int")
+    side = lambda df, name: df.where("lo <= hi").select(*keys, *[F.col(c).alias(f"_{name}_{c}") for c in df.columns if c not in keys], size.alias("_k"))
     sides = {"i": side(left, "i"), "t": side(right, "t")}
-    classes = {n: [r[0] for r in d.select(f"_{n}k").distinct().collect()] for n, d in sides.items()}
+    classes = {n: sorted(r[0] for r in d.select("_k").distinct().collect()) for n, d in sides.items()}
 
     def touched(name: str, level: Column) -> DataFrame:
         bucket = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_k")))
         at = sides[name].withColumn("_k", level)
-        return at.withColumn("_b", F.explode(F.sequence(bucket(f"_{name}lo"), bucket(f"_{name}hi"))))
+        return at.withColumn("_b", F.explode(F.sequence(bucket(f"_{name}_lo"), bucket(f"_{name}_hi"))))
 
-    def longer(name: str) -> DataFrame:
-        return touched(name, F.col(f"_{name}k"))
+    def longer(name: str, other: str, least: Callable[[Column], Column]) -> DataFrame:
+        met = F.exists(F.array(*map(F.lit, classes[other])).cast("array<int>"), least)
+        return touched(name, F.explode(F.when(met, F.array("_k")).otherwise(F.array().cast("array<int>"))))
 
     def shorter(name: str, other: str, least: Column) -> DataFrame:
-        levels = F.array(*map(F.lit, sorted(classes[other]))).cast("array<int>")
+        levels = F.array(*map(F.lit, classes[other])).cast("array<int>")
         return touched(name, F.explode(F.filter(levels, lambda k: k >= least)))
 
-    on = [*keys, "_k", "_b"]
-    met = longer("i").join(shorter("t", "i", F.col("_tk")), on).select("_ilo", "_ihi", "_tlo", "_thi", "_k", "_b", "i", "t")
-    met = met.union(shorter("i", "t", F.col("_ik") + 1).join(longer("t"), on).select("_ilo", "_ihi", "_tlo", "_thi", "_k", "_b", "i", "t"))
-    begins = F.floor(F.greatest("_ilo", "_tlo") / F.pow(F.lit(2.0), F.col("_k")))
-    return met.where((F.col("_ilo") <= F.col("_thi")) & (F.col("_tlo") <= F.col("_ihi")) & (begins == F.col("_b"))).select("i", "t")
+    def whole(df: DataFrame, name: str) -> Column:
+        return F.struct(*[F.col(c) if c in keys else F.col(f"_{name}_{c}").alias(c) for c in df.columns]).alias(name)
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        begins = F.floor(F.greatest("_i_lo", "_t_lo") / F.pow(F.lit(2.0), F.col("_k")))
+        met = a.join(b, [*keys, "_k", "_b"]).where((F.col("_i_lo") <= F.col("_t_hi")) & (F.col("_t_lo") <= F.col("_i_hi")) & (begins == F.col("_b")))
+        return met.select(whole(left, "i"), whole(right, "t"))
+
+    # the left side is the longer, or as long; then the right side is
+    out = pairs(longer("i", "t", lambda k: k <= F.col("_k")), shorter("t", "i", F.col("_k")))
+    return out.union(pairs(shorter("i", "t", F.col("_k") + 1), longer("t", "i", lambda k: k < F.col("_k"))))
 
 
 def theta_match(items: DataFrame, truths: DataFrame, group: str = "grp") -> DataFrame:

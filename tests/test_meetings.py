@@ -83,3 +83,13 @@ def test_runs_are_made_only_where_a_name_begins(spark, monkeypatch):
     names = spark.createDataFrame([(1, "to be", "name", None), (2, "to", "name", None), (3, "be to be", "name", None), (4, "to be", "flag", None)], "id int, name string, kind string, parent string")
     got = sorted(map(tuple, phrases.phrases_in_texts(sections, names).collect()))
     assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 1, 2), (1, 1, 3), (1, 1, 4), (1, 1, 4), (2, 1, 2), (3, 1, 2)]
+
+
+def test_an_interval_of_one_length_is_copied_to_few_classes(spark):
+    from tests.test_standing import most_rows
+
+    i = spark.createDataFrame([(k, 1, 10 * k, 10 * k + 2 ** (k % 8) - 1) for k in range(64)], "a int, grp int, lo long, hi long")
+    t = spark.createDataFrame([(k, 1, 2 * k, 2 * k) for k in range(400)], "b int, grp int, lo long, hi long")
+    out = joins.interval_join(i, t, ["grp"]).select("i.a", "t.b")
+    assert most_rows(spark, out, "Generate") <= 3 * 400  # with a class for each power of two, eight times
+    assert sorted(map(tuple, out.collect())) == sorted((a, b) for a in range(64) for b in range(400) if 10 * a <= 2 * b <= 10 * a + 2 ** (a % 8) - 1)
