@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import cut, dropped, stored
 
 
 def reachability(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -86,20 +86,42 @@ def strongly_connected(edges: DataFrame, least: int = 2, most: int = 5, most_rou
 
 
 def connected(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``node, component`` with the smallest node reachable (GRF02), by minima that also jump over their own labels."""
-    e = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = cut(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(most_rounds):
-        near = e.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("_m"))
-        new = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = new.join(jump, F.col("component") == F.col("_n")).select("node", F.col("_c").alias("component"))
-        old = label.select(F.col("node").alias("_o"), F.col("component").alias("_was"))
-        both = cut(new.join(old, F.col("node") == F.col("_o")).select("node", "component", "_was"))
-        label = both.select("node", "component")
-        if both.where("component <> _was").limit(1).count() == 0:
-            return label
-    raise RuntimeError("components did not settle")
+    """``node, component`` with the smallest node reachable (GRF02), by contraction: each node becomes its neighbour, or itself, of the least hash.
+
+    A round leaves about half of the nodes or fewer, whatever the length of paths, as hashes order nodes anew each time; so all rounds read about
+    what the first few do. Contracted nodes carry the smallest node in them, and the way back joins each round's nodes once. Rounds are
+    written as tables: a checkpoint would keep the constraints and size estimates of all rounds before, which soon take longer to plan than to run.
+    """
+    spark, paths = edges.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, path = stored(df)
+        paths.append(path)
+        return table
+
+    e = kept(edges.select("src", "dst").union(edges.select("dst", "src")).where("src is not null").select("src", F.coalesce("dst", "src").alias("dst")))
+    least, rounds = None, []
+    for k in range(most_rounds):
+        rank = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("hash"), F.col(c).alias("node"))
+        near = e.groupBy("src").agg(F.min(rank("dst")).alias("_m"))
+        near = kept(near.select(F.col("src").alias("node"), F.least("_m", rank("src"))["node"].alias("to")))
+        a, b = (near.select(F.col("node").alias(x), F.col("to").alias(f"_{x}")) for x in ("src", "dst"))
+        e = kept(e.where("src <> dst").join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+        held = near.withColumn("_l", F.col("node")) if least is None else near.join(least, "node")
+        least = kept(held.groupBy(F.col("to").alias("node")).agg(F.min("_l").alias("_l")))
+        rounds.append((near, least))
+        if e.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    found = None
+    for near, least in reversed(rounds):
+        # what a later round has not met was whole by then
+        known = least if found is None else least.join(found, "node", "left").select("node", F.coalesce("component", "_l").alias("_l"))
+        found = kept(near.join(known.select(F.col("node").alias("to"), F.col("_l").alias("component")), "to").select("node", "component"))
+    for path in paths[:-1]:
+        dropped(spark, path)
+    return found
 
 
 def least_depths(edges: DataFrame, most: int) -> DataFrame:

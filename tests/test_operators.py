@@ -316,3 +316,11 @@ def test_folds_run_through_many_keys_in_a_task(spark):
         assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_components_do_not_wait_for_long_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", None)  # checkpoints carry the plans of all rounds before
+    order = [k * 7919 % 1000 for k in range(1000)]
+    edges = list(zip(order, order[1:])) + [(2000, 2000), (2001, None), (None, 2002), (None, None), (2003, 2004), (2003, 2004)]
+    got = dict(map(tuple, graph.connected(spark.createDataFrame(edges, "src long, dst long"), 12).collect()))
+    assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2001, 2002: 2002, 2003: 2003, 2004: 2003}
