@@ -152,36 +152,44 @@ def _band(score: Column) -> Column:
     return F.when(score >= 9, 5).when(score >= 7, 4).when(score >= 4, 3).when(score > 0, 2).otherwise(1)
 
 
-def osv_scanner(df: DataFrame, root: str = "") -> DataFrame:
-    """NRM07: one row per advisory and package; severity by label, else best score, else its group's."""
+def osv_scanner(df: DataFrame, root: str = "", wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """NRM07: one row per advisory and package; severity by label, else best score, else its group's.
+
+    A source's path is judged once, before its packages become rows. ``wanted`` names the values of ``extra`` to make, all where it is not
+    given: a map is made whole even where one value of it is read.
+    """
     vuln = "struct<id string, summary string, aliases array<string>, database_specific struct<severity string>, severity array<struct<score string>>>"
     package = f"struct<package struct<name string, version string, ecosystem string>, vulnerabilities array<{vuln}>, groups array<struct<ids array<string>, max_severity string>>>"
     r = df.select(F.explode(F.from_json("payload", f"struct<results array<struct<source struct<path string, type string>, packages array<{package}>>>>")["results"]).alias("r"))
-    r = r.select("r.source", F.explode("r.packages").alias("p"))
+    elsewhere = F.coalesce(F.col("r.source.type").isin("docker", "git"), F.lit(False))
+    r = r.where(F.trim("r.source.path") != "").select("r", F.when(~elsewhere, relative(F.col("r.source.path"), root)).alias("_file"), elsewhere.alias("_elsewhere"))
+    r = r.where(F.col("_elsewhere") | F.col("_file").isNotNull())
+    bare = F.when(F.col("_elsewhere"), F.regexp_replace("r.source.path", r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1"))
+    source = F.struct("_file", F.when(F.col("_elsewhere"), F.col("r.source.type")).alias("type"), bare.alias("path"))
+    r = r.select(source.alias("source"), "r.packages").select("source", F.explode("packages").alias("p"))
     # each id's group is looked up once a package, before advisories become rows, so that none carries the groups
     none = F.array().cast("array<string>")
     groups = F.coalesce("p.groups", F.array().cast("array<struct<ids:array<string>,max_severity:string>>"))
     ids = F.flatten(F.transform(groups, lambda g: F.coalesce(g["ids"], none)))
-    levels = F.flatten(F.transform(groups, lambda g: F.array_repeat(g["max_severity"], F.size(F.coalesce(g["ids"], none)))))
+    # scores become numbers once, before they are compared; what no number begins is not cast, as casts that fail are dear
+    number = lambda c: F.when(c.rlike(r"^[\s\p{Cntrl}]*[+-]?[0-9.]"), c.try_cast("double"))
+    within = lambda d: F.when(d.between(0, 10), d)
+    levels = F.flatten(F.transform(groups, lambda g: F.array_repeat(number(g["max_severity"]), F.size(F.coalesce(g["ids"], none)))))
     r = r.select("source", "p.package", "p.vulnerabilities", ids.alias("_ids"), levels.alias("_levels"))
-    own = F.transform("vulnerabilities", lambda v: F.struct(v.alias("v"), F.get("_levels", F.array_position("_ids", v["id"]).cast("int") - 1).alias("level")))
-    r = r.select("source", "package", F.explode(own).alias("x")).select("source", "package", "x.v", "x.level")
-    score = lambda c: F.when(c.try_cast("double").between(0, 10), c.try_cast("double"))
+    best = lambda v: F.array_max(F.transform(F.transform(v["severity"], lambda s: number(s["score"])), within))
+    own = F.transform("vulnerabilities", lambda v: F.struct(v.alias("v"), best(v).alias("best"), F.get("_levels", F.array_position("_ids", v["id"]).cast("int") - 1).alias("level")))
+    r = r.select("source", "package", F.explode(own).alias("x")).select("source", "package", "x.v", "x.best", "x.level")
     label = _map(OSV_LABELS)[F.upper(F.trim("v.database_specific.severity"))]
-    best = F.array_max(F.transform("v.severity", lambda s: score(s["score"])))
-    group = score(F.col("level"))
-    severity = F.coalesce(label, F.when(best.isNotNull(), _band(best)), F.when(group.isNotNull(), _band(group)))
-    elsewhere = F.coalesce(F.col("source.type").isin("docker", "git"), F.lit(False))
-    file = F.when(~elsewhere, relative(F.col("source.path"), root))
-    r = r.where(F.trim("source.path") != "").withColumn("_file", file).where(elsewhere | F.col("_file").isNotNull())
+    group = F.when(F.col("level").between(0, 10), _band(F.col("level")))
+    severity = F.coalesce(label, F.when(F.col("best").isNotNull(), _band(F.col("best"))), group)
     field = lambda c: F.coalesce(c, F.lit(""))
     message = F.concat(field("package.name"), F.lit(" "), field("package.version"), F.lit(" ("), field("package.ecosystem"), F.lit(") is affected by "), field("v.id"), F.lit(": "), field("v.summary"))
-    bare = F.regexp_replace("source.path", r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1")
-    more = extra(
-        package=F.col("package.name"), version=F.col("package.version"), ecosystem=F.col("package.ecosystem"), id=F.col("v.id"), aliases=F.to_json(F.coalesce("v.aliases", F.array().cast("array<string>"))),
-        severity=severity, source_type=F.when(elsewhere, F.col("source.type")), source_path=F.when(elsewhere, bare),
-    )
-    return _signal(r, "osv-scanner", F.lit("dependency-debt"), F.lit("vuln"), F.col("_file"), F.lit(None), F.lit(None), message, True, more, need_file=False)
+    every = {
+        "package": F.col("package.name"), "version": F.col("package.version"), "ecosystem": F.col("package.ecosystem"), "id": F.col("v.id"), "aliases": F.to_json(F.coalesce("v.aliases", F.array().cast("array<string>"))),
+        "severity": severity, "source_type": F.col("source.type"), "source_path": F.col("source.path"),
+    }
+    more = extra(**{k: v for k, v in every.items() if wanted is None or k in wanted})
+    return _signal(r, "osv-scanner", F.lit("dependency-debt"), F.lit("vuln"), F.col("source._file"), F.lit(None), F.lit(None), message, True, more, need_file=False)
 
 
 def gitleaks(df: DataFrame, root: str = "") -> DataFrame:

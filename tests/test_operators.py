@@ -1,5 +1,6 @@
 """Operators on literals: nulls, ties, empty inputs, touching intervals, hot keys."""
 
+import json
 import random
 
 import pytest
@@ -324,3 +325,15 @@ def test_components_do_not_wait_for_long_paths(spark, monkeypatch):
     edges = list(zip(order, order[1:])) + [(2000, 2000), (2001, None), (None, 2002), (None, None), (2003, 2004), (2003, 2004)]
     got = dict(map(tuple, graph.connected(spark.createDataFrame(edges, "src long, dst long"), 12).collect()))
     assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2001, 2002: 2002, 2003: 2003, 2004: 2003}
+
+
+def test_advisory_scores_are_cast_once(spark):
+    scores = ["CVSS:3.1/AV:N", " 7.5 ", "1e1", ".5", "+9", "4d", "10.1", "-1", "NaN", "Infinity", "0", ""]
+    said = [None, 4, 5, 2, 5, 3, None, None, None, None, 1, None]
+    vulns = [{"id": f"v{i}", "severity": [{"score": "x"}, {"score": s}] if i % 2 else None} for i, s in enumerate(scores)]
+    groups = [{"ids": [f"v{i}"], "max_severity": s} for i, s in enumerate(scores) if i % 2 == 0]
+    payload = json.dumps({"results": [{"source": {"path": "./a.lock", "type": "lockfile"}, "packages": [{"vulnerabilities": vulns, "groups": groups}]}, {"source": {"path": "../b"}, "packages": [{"vulnerabilities": vulns}]}]})
+    out = normalise.osv_scanner(spark.createDataFrame([(payload,)], "payload string"), wanted=("severity", "id"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("try_cast") == 2
+    got = {r["extra"]["id"]: (r["file"], r["extra"].get("severity")) for r in out.collect()}
+    assert got == {f"v{i}": ("a.lock", None if n is None else str(n)) for i, n in enumerate(said)}
