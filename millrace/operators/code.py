@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import tables
+from millrace.functions import text as T
 from millrace.operators import linescan
 
 #: Heads of tests, their names, what an assertion is, tickets, entry points, folders of commands, and names of loggers.
@@ -34,9 +37,35 @@ def spans_by_dedent(lines: DataFrame, key: str, starts: Column, holds: Column) -
     return spans.where("first.start").select(key, F.col("first.lineno").alias("lo"), "hi", F.col("first.line").alias("head"), "holds")
 
 
+def spans_in_texts(files: DataFrame, key: str, text: str, starts: Callable[[Column], Column], holds: Callable[[Column], Column]) -> DataFrame:
+    """``spans_by_dedent`` of whole texts, read where they are: lines are neither shuffled nor sorted, and a task holds those of one text."""
+    mark = lambda x, i: F.struct((i + 1).alias("n"), F.coalesce(starts(x), F.lit(False)).alias("start"), x.rlike(r"^[^\s}]").alias("margin"), F.coalesce(holds(x), F.lit(False)).alias("hold"), x.alias("line"))
+
+    def spans(marks: Column, begins: Column) -> Column:
+        def span(b: Column, j: Column) -> Column:
+            hi = F.coalesce(F.get(begins, j + 1)["n"] - 1, F.size(marks))
+            return F.struct(b["start"].alias("start"), b["n"].alias("lo"), hi.alias("hi"), b["line"].alias("head"), F.exists(F.slice(marks, b["n"], hi - b["n"] + 1), lambda m: m["hold"]).alias("holds"))
+
+        return F.filter(F.transform(begins, span), lambda s: s["start"])
+
+    # arrays of one element bind what is used more than once
+    marked = F.transform(F.array(F.transform(T.lines(F.coalesce(F.col(text), F.lit(""))), mark)), lambda ms: F.struct(ms.alias("marks"), F.filter(ms, lambda m: m["start"] | m["margin"]).alias("begins")))
+    found = F.flatten(F.transform(marked, lambda x: spans(x["marks"], x["begins"])))
+    return files.select(key, F.explode(found).alias("s")).select(key, "s.lo", "s.hi", "s.head", "s.holds")
+
+
 def tests_without_assertion(lines: DataFrame, key: str) -> DataFrame:
     """``key, line, test`` of tests in whose span nothing asserts, named as they are called, else by their first line (assert-free)."""
-    free = spans_by_dedent(lines, key, F.col("line").rlike(TEST_HEAD), F.col("line").rlike(ASSERTION)).where("not holds")
+    return _without(spans_by_dedent(lines, key, F.col("line").rlike(TEST_HEAD), F.col("line").rlike(ASSERTION)), key)
+
+
+def unasserted_tests(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``tests_without_assertion`` of whole texts, without a shuffle."""
+    return _without(spans_in_texts(files, key, text, lambda x: x.rlike(TEST_HEAD), lambda x: x.rlike(ASSERTION)), key)
+
+
+def _without(spans: DataFrame, key: str) -> DataFrame:
+    free = spans.where("not holds")
     named = lambda g: F.nullif(F.regexp_extract("head", TEST_NAME, g), F.lit(""))
     return free.select(key, F.col("lo").alias("line"), F.coalesce(named(1), named(2), F.left(F.trim("head"), F.lit(60))).alias("test"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import tables
-from millrace.operators import code, linescan
+from millrace.operators import code
 from millrace.plans.markdown import values
 from millrace.plans.registry import query
 from millrace.sources.tables import table
@@ -39,8 +39,7 @@ _TESTS: list[tuple[str, list[tuple[int, str]]]] = [
 @query(f"SELECT file, CAST(line + down AS INTEGER) AS line, test FROM {_told(len(_TESTS), [(k, *r) for k, (_, rows) in enumerate(_TESTS) for r in rows], 'line, test')}")
 def assertion_free_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests of several languages without an assertion up to the next test or the next line at the margin (FUN33, §2.13 assert-free)."""
-    lines = linescan.explode_lines(_files(spark, sf_dir, [t for t, _ in _TESTS]), "file", "text")
-    return code.tests_without_assertion(lines, "file")
+    return code.unasserted_tests(_files(spark, sf_dir, [t for t, _ in _TESTS]), "file")
 
 
 #: Language, text, its comments as ``(line, c0, c1, kind, text)``, and its marks of debt as ``(line, marker, ticket)``.

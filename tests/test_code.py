@@ -27,3 +27,13 @@ def test_spans_end_at_the_margin(spark):
     text = "def test_a():\n  x\n\nvalue\n  assert 1\ndef test_b():\n  y\n}\n  assert 2"
     lines = linescan.explode_lines(spark.createDataFrame([(1, text), (2, None)], "f long, text string"), "f", "text")
     assert [tuple(r) for r in code.tests_without_assertion(lines, "f").collect()] == [(1, 1, "test_a")]
+
+
+def test_tests_are_read_in_their_texts_without_a_shuffle(spark):
+    texts = ["def test_a():\n  x\n\nvalue\n  assert 1\ndef test_b():\n  y\n}\n  assert 2", None, "", "  x\n  def test_c():\n    assert 1\n  def test_d():\n", "it('e')\nit('f')\n\n", "x\n" * 50, "def test_g():\n\né\n  assert 1"]
+    files = spark.createDataFrame(list(enumerate(texts)), "f long, text string")
+    out = code.unasserted_tests(files, "f")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(0, 1, "test_a"), (3, 4, "test_d"), (4, 1, "e"), (4, 2, "f"), (6, 1, "test_g")]
+    assert got == sorted(map(tuple, code.tests_without_assertion(linescan.explode_lines(files, "f", "text"), "f").collect()))
